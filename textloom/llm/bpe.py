@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces, read
 
@@ -184,7 +185,7 @@ def default_vocabulary() -> str:
 
 def encode(docs: DataFrame, path: str, column: str = "text", into: str = "ids") -> DataFrame:
     """`docs` with the array of token ids of each whole text; a null or empty text has none."""
-    types = docs.drop(into).schema.add(into, "array<int>")
+    types = T.StructType([*docs.drop(into).schema, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
@@ -197,7 +198,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", into: str = "ids")
 
 def decode(tokens: DataFrame, path: str, column: str = "ids", into: str = "decoded") -> DataFrame:
     """`tokens` with the text of each id array, specials included; null ids give an empty text."""
-    types = tokens.drop(into).schema.add(into, "string")
+    types = T.StructType([*tokens.drop(into).schema, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
