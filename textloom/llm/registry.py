@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, toxicity
+from . import bpe, decontaminate, embeddings, licenses, lm, pii, reshard, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substrings": substrings.op1_substrings,
         "op2_simhash": simhash.op2_simhash,
+        "op3_licenses": licenses.op3_licenses,
+        "op4_pii": pii.op4_pii,
+        "op5_embeddings": embeddings.op5_embeddings,
         "op6_bpe": bpe.op6_bpe,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_reshard": reshard.op8_reshard,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_lm": lm.op10_lm,
     }
 
 
