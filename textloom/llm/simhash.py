@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, map_pieces, read, written
+from .common import LOWER, components, map_pieces, mix, range_hashes, read, word_hashes, words, written
 
 _LOWER = LOWER.tobytes()
 
@@ -127,17 +127,148 @@ def near_groups(docs: DataFrame, width: int = 3, most: int = 2, segments: int =
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, most: int = 2) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id, and of its repeated rows one.
+#: The wide fingerprint: bits of a segment, segments on its ring, segments that are keys, and most differing bits.
+#: 40 of 252 bits is the expected distance of two sets of shingles with a Jaccard similarity of 0.8 (38), and one standard deviation of a third.
+SEGMENT, RING, KEYED, MOST = 28, 9, 7, 40
 
-    Groups are those of fingerprints over five-word shingles.  Documents without
-    words hold nothing to compare and all stay; so do rows with a null doc_id.
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
+    """RING segments of SEGMENT majority bits over a document's distinct shingles."""
+    hashes = np.unique(hashes)
+    bits = []
+    for k in range(-(-RING * SEGMENT // 64)):
+        total = np.zeros(64, np.int64)
+        part = mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+        for i in range(0, len(part), 1 << 15):
+            total += np.unpackbits(part[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits.append(total * 2 > len(hashes))
+    rows = np.concatenate(bits)[: RING * SEGMENT].reshape(RING, SEGMENT)
+    return rows @ (1 << np.arange(SEGMENT, dtype=np.int64))
+
+
+def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, fp (binary, RING 4-byte segments) of every document with words, over its `width`-word shingles."""
+
+    def work(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+        low = LOWER[data]
+        starts, ends, first = words(low, offs)
+        hashes = word_hashes(low, starts, ends)
+        keep, out = [], []
+        for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
+            if a < b:
+                at = np.arange(a, max(b - width, a) + 1)
+                keep.append(i)
+                out.append(_wide(range_hashes(hashes, at, np.minimum(at + width, b))).astype("<i4").tobytes())
+        return pa.record_batch([rows.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["doc_id", "fp"])
+
+    return map_pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, fp binary")
+
+
+def _segments_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, RING).astype(np.int64)
+
+
+def ring_check(a: np.ndarray, b: np.ndarray, most: int = MOST) -> np.ndarray:
+    """Which pairs of rows differ in `most` bits or fewer.
+
+    First the pigeonring filter: of a pair within `most`, some chain around the
+    ring has every prefix of l segments within l * most / RING; pairs without
+    one are dropped segment by segment before the whole distance is summed.
+    """
+    ok = np.zeros(len(a), bool)
+    for start in range(RING):
+        alive, total = np.flatnonzero(~ok), 0
+        total = np.zeros(len(alive), np.int64)
+        for size in range(1, RING + 1):
+            s = (start + size - 1) % RING
+            total = total + np.bitwise_count(a[alive, s] ^ b[alive, s])
+            stay = total * RING <= size * most
+            alive, total = alive[stay], total[stay]
+            if not len(alive):
+                break
+        ok[alive] = True  # the whole ring is within its budget, which is `most`
+    return ok
+
+
+def _keys(segments: np.ndarray, table: int) -> np.ndarray:
+    """Each row's segment number `table` and its one-bit neighbours: two rows share one if it differs in two bits or fewer."""
+    flips = np.concatenate([[0], 1 << np.arange(SEGMENT, dtype=np.int64)])
+    return (table << SEGMENT) | (segments[:, table, None] ^ flips)
+
+
+def wide_links(distinct: DataFrame) -> DataFrame:
+    """(u, v): verified links between the ids of `distinct(id, fp)`.
+
+    Ids that share a key are candidates.  Each partition links its own ids
+    under one key to the first of them and passes on that one, so a key gets a
+    row from each partition at most, however many documents share it.
+    """
+
+    def local(edges: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(b.column("id").to_numpy(), _segments_of(b.column("fp"))) for b in batches if b.num_rows]
+            if not held:
+                return
+            ids, segments = np.concatenate([i for i, _ in held]), np.concatenate([s for _, s in held])
+            for table in range(KEYED):
+                keys = _keys(segments, table)
+                of = np.repeat(np.arange(len(ids)), SEGMENT + 1)
+                keys = keys.ravel()
+                order = np.lexsort((ids[of], keys))
+                keys, of = keys[order], of[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = keys[1:] != keys[:-1]
+                if not edges:
+                    yield pa.record_batch([pa.array(keys[new]), pa.array(ids[of[new]])], names=["key", "id"])
+                    continue
+                lead = of[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                last = np.concatenate([of[:1], of[:-1]])
+                pairs = np.unique(np.concatenate([np.stack([of[~new], lead[~new]], 1), np.stack([of[~new], last[~new]], 1)]), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                for i in range(0, len(pairs), 1 << 18):
+                    u, v = pairs[i : i + (1 << 18)].T
+                    good = ring_check(segments[u], segments[v])
+                    yield pa.record_batch([pa.array(ids[u[good]]), pa.array(ids[v[good]])], names=["u", "v"])
+
+        return run
+
+    parts = max(1, -(-distinct.count() // 25_000))  # what one task holds
+    distinct = distinct.repartition(parts, "id")
+    own = distinct.mapInArrow(local(True), "u long, v long").where("u <> v")
+    shared = distinct.mapInArrow(local(False), "key long, id long").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")  # one id for each partition at most
+    across = shared.select(F.explode(F.expr("concat(transform(slice(ids, 2, size(ids)), x -> struct(ids[0] as u, x as v)), transform(sequence(1, size(ids) - 1), i -> struct(ids[i - 1] as u, ids[i] as v)))")).alias("e")).select("e.*").where("u <> v").distinct()
+    fps = distinct.select(F.col("id").alias("u"), F.col("fp").alias("fu"))
+    across = across.join(fps, "u").join(fps.select(F.col("u").alias("v"), F.col("fu").alias("fv")), "v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                yield rows.select(["u", "v"]).filter(pa.array(ring_check(_segments_of(rows.column("fu")), _segments_of(rows.column("fv")))))
+
+    return own.union(across.select("u", "v", "fu", "fv").mapInArrow(verify, "u long, v long"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One document of each group of near copies stays, with all its columns: that with the smallest doc_id.
+
+    Documents are linked by wide fingerprints of their five-word shingles that
+    differ in MOST bits or fewer, a Jaccard similarity of about 0.8 or more;
+    equal texts always are.  Documents without words hold nothing to compare
+    and all stay, as do rows with a null doc_id.  Of rows with one doc_id and
+    equal texts one stays.
     """
-    columns = docs.columns
-    groups = near_groups(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), width, most)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*columns)
+    marked = written(wide_fingerprints(docs.where("doc_id is not null"), width), "wide")
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    groups = components(wide_links(distinct))
+    heads = distinct.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("head"))
+    gone = marked.join(heads, "fp").where("doc_id <> head").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # repeated rows: the first of equal (doc_id, text) stays, and only they are compared
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(twice)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
