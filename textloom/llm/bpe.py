@@ -9,7 +9,9 @@ import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -201,10 +203,22 @@ def decode(tokens: DataFrame, path: str, column: str = "ids", into: str = "decod
     types = T.StructType([*tokens.drop(into).schema, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
-        for rows in batches:
-            texts = [bpe.decode(ids or []) for ids in rows.column(column).to_pylist()]
-            yield pa.record_batch([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, into])
+        names = tokenizer(path).names
+        shown = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                rows = batch.slice(at, 200)
+                at += 200
+                ids = rows.column(column).fill_null([])
+                flat = ids.flatten()
+                known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(shown)))
+                parts = shown.take(pc.if_else(pc.fill_null(known, False), flat, pa.scalar(None, flat.type)))
+                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pc.fill_null(parts, "")), " ")
+                if parts.null_count:  # unknown ids leave no space behind
+                    texts = pa.array([" ".join([names[i] for i in row if i in names]) for row in ids.to_pylist()], pa.string())
+                yield pa.record_batch([*rows.columns, texts], names=[*rows.schema.names, into])
 
     return tokens.drop(into).mapInArrow(run, types)
 
