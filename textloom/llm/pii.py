@@ -48,18 +48,22 @@ _HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
 
 _GIVEN = {n: k for k, names in NAMES.items() for n in names}
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆΈΉΊΌ][a-zß-öø-ÿа-яα-ωάέήίόύώ]+"
-FINDERS = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"),
-    "number": re.compile(
-        r"(?<![A-Za-z0-9.])(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\.?[0-9A-Za-z])"
-        r"|(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-]))"
-        r"|(?<![0-9-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"
-        r"|(?<![0-9A-Za-z])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{1,7})(?![0-9A-Za-z])"
-    ),
-    "name": re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.? (?P<who>{_WORD}(?: {_WORD})?)|(?P<given>{'|'.join(_GIVEN)}) (?P<family>{_WORD}))\b"),
-}
+EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: A hexadecimal string of 32 digits or more, found by a digit in it with eight more after it.
+SECRET = re.compile(r"[0-9][0-9a-f]{8,}")
+#: Where numbers may stand, and what they are.
+DIGITS = re.compile(r"[0-9][0-9.() -]{6,}")
+NUMBER = re.compile(
+    r"(?<![A-Za-z0-9.])(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\.?[0-9A-Za-z])"
+    r"|(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-]))"
+    r"|(?<![0-9-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"
+    r"|(?<![0-9A-Za-z])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{1,7})(?![0-9A-Za-z])"
+)
+#: Capitalised words, of which titles and given names are looked up; then what follows them.
+CAPITAL = re.compile(rf"[{_WORD[1:].partition(']')[0]}]\w*")
+AFTER_TITLE = re.compile(rf"\.? ({_WORD}(?: {_WORD})?)\b")
+AFTER_GIVEN = re.compile(rf" {_WORD}\b")
 
 
 def _stream(key: bytes, tweak: str, n: int) -> Iterator[int]:
@@ -171,42 +175,63 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> tuple[str, str, str]:
     return new, text, new
 
 
-def entities(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, type), in order and without overlaps; of overlapping ones the first type in FINDERS."""
-    found: list[tuple[int, int, str]] = []
-    for kind, finder in FINDERS.items():
-        if kind == "email" and "@" not in text:
+def _emails(text: str) -> Iterator[tuple[int, int, str]]:
+    if "@" in text:
+        yield from ((m.start(), m.end(), "email") for m in EMAIL.finditer(text))
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in IBAN.finditer(text):
+        plain = m[0].replace(" ", "")
+        alone = not m.start() or not text[m.start() - 1].isalnum()
+        if alone and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and f"{_iban_check(plain[:2], plain[4:]):02d}" == plain[2:4]:
+            yield m.start(), m.end(), "iban"
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in SECRET.finditer(text):
+        begin, end = m.span()
+        while begin and text[begin - 1] in "0123456789abcdef":
+            begin -= 1
+        around = text[max(0, begin - 1) : begin] + text[end : end + 1]
+        if 32 <= end - begin and not any(c.isalnum() for c in around):
+            yield begin, end, "secret"
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    for region in DIGITS.finditer(text):
+        for m in NUMBER.finditer(text, max(0, region.start() - 2), region.end() + 2):
+            kind = m.lastgroup if m.lastgroup != "sep" else "card"
+            if kind != "ip" or all(int(x) < 256 for x in m["ip"].split(".")):
+                yield *m.span(kind), kind
+
+
+def _names(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in CAPITAL.finditer(text):
+        word = m[0]
+        if word not in TITLES and word not in _GIVEN or m.start() and text[m.start() - 1].isalnum():
             continue
-        for m in finder.finditer(text):
-            begin, end, name = m.start(), m.end(), kind
-            if kind == "number":
-                name = m.lastgroup if m.lastgroup != "sep" else "card"
-                begin, end = m.span(name)
-                if name == "ip" and any(int(x) > 255 for x in m["ip"].split(".")):
-                    continue
-            elif kind == "iban":
-                plain = m[0].replace(" ", "")
-                if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1 or f"{_iban_check(plain[:2], plain[4:]):02d}" != plain[2:4]:
-                    continue
-            elif kind == "name":
-                if m["title"]:
-                    begin, end = m.span("who")
-                    first = m["who"].split()[0]
-                    name = "name-" + (TITLES[m["title"]] or (_GIVEN[first][0] if first in _GIVEN else ""))
-                else:
-                    name = "name-" + _GIVEN[m["given"]][0]
-            found.append((begin, end, name))
+        if word in TITLES:
+            if after := AFTER_TITLE.match(text, m.end()):
+                first = after[1].split()[0]
+                yield *after.span(1), "name-" + (TITLES[word] or (_GIVEN[first][0] if first in _GIVEN else ""))
+        elif after := AFTER_GIVEN.match(text, m.end()):
+            yield m.start(), after.end(), "name-" + _GIVEN[word][0]
+
+
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(begin, end, type), in order and without overlaps; of overlapping ones the first found stays: email, iban, secret, number, name."""
+    found = [*_emails(text), *_ibans(text), *_secrets(text), *_numbers(text), *_names(text)]
     if len(found) < 2:
         return found
-    rank = {id(f): i for i, f in enumerate(found)}
-    kept: list[tuple[int, int, str]] = []
-    for f in sorted(found, key=lambda f: (f[0], rank[id(f)])):
-        if kept and f[0] < kept[-1][1]:
-            if rank[id(f)] < rank[id(kept[-1])]:
-                kept[-1] = f
+    kept: list[tuple[int, int, str, int]] = []
+    for begin, rank, end, kind in sorted((b, i, e, k) for i, (b, e, k) in enumerate(found)):
+        if kept and begin < kept[-1][1]:
+            if rank < kept[-1][3] and (len(kept) < 2 or begin >= kept[-2][1]):
+                kept[-1] = (begin, end, kind, rank)
             continue
-        kept.append(f)
-    return kept
+        kept.append((begin, end, kind, rank))
+    return [k[:3] for k in kept]
 
 
 class Replacer:
