@@ -81,11 +81,12 @@ def removals(docs: DataFrame, window: int = 50, gram: int = 14, shard_segments:
         return pa.record_batch([rows.column("doc_id").take(at), rows.column("fp").take(at), pa.array(signed(anchor)), pa.array(signed(segment)), pa.array(start * 64 + count)], names=["doc_id", "fp", "anchor", "segment", "place"])
 
     found = map_pieces(docs.where("doc_id is not null"), segments, "doc_id long, fp long, anchor long, segment long, place long")
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = written(found.join(counts, "anchor"), "segments")  # both sides split where an anchor is hot
+    # written, so that AQE can split the joins where an anchor is hot
+    counts = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    shared = written(found.join(counts, "anchor"), "segments")
     kinds = shared.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "fp", "place")).alias("r")).select("anchor", "segment", "r.*")
     kinds = written(kinds, "kinds")
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    many = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "many")
     # copies of a segment with a smaller doc_id go whole
     least = kinds.select("anchor", "segment", F.col("doc_id").alias("owner"), F.col("fp").alias("first_fp"), F.col("place").alias("first_place"))
     judge = shared.join(least, ["anchor", "segment"])
@@ -147,7 +148,7 @@ def removals(docs: DataFrame, window: int = 50, gram: int = 14, shard_segments:
     cold = judged.where("window = 0").select("doc_id", "fp", "place", "start")
     # windows of hot anchors: owners from all their shards
     hot = judged.where("window <> 0")
-    least = hot.where("owner is not null").groupBy("window").agg(F.min("owner").alias("least"))
+    least = written(hot.where("owner is not null").groupBy("window").agg(F.min("owner").alias("least")), "least")
     marked = cold.union(hot.join(least, "window").where("least < doc_id").select("doc_id", "fp", "place", "start"))
     first = marked.select("doc_id", F.col("fp").alias("first_fp"), F.col("place").alias("first_place"), (F.col("start") - F.shiftright("place", 6)).alias("off"))
     more = again.join(first, ["doc_id", "first_fp", "first_place"]).select("doc_id", "fp", (F.shiftright("place", 6) + F.col("off")).alias("start"))
