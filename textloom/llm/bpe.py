@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, read
+from .common import pieces, read, small_batches
 
 
 def _byte_letters() -> list[str]:
@@ -34,19 +34,22 @@ class WordBpe:
     end.  `keep` bounds how many encoded words are remembered per worker.
     """
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        self.left_of, self.right_of = [self.vocab[a] for a, _ in merges], [self.vocab[b] for _, b in merges]
+        self.made_of = [self.vocab[a + b] for a, b in merges]
+        self.rank_of = {a << 20 | b: r for r, (a, b) in enumerate(zip(self.left_of, self.right_of, strict=True))}
+        self.pairs = np.array(sorted(self.rank_of), np.int64)
+        self.pair_ranks = np.array([self.rank_of[p] for p in self.pairs.tolist()], np.int64)
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.inner, self.last = [self.vocab[c] for c in letters], [self.vocab[c + self.end] for c in letters]
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.keep = keep
         self.known: dict[str, tuple[int, ...]] = {}
@@ -66,61 +69,65 @@ class WordBpe:
 
         Active pairs are taken in ascending rank; each of a pair's places is
         merged from left to right, and only the lists of its two neighbouring
-        pairs change.
+        pairs change.  A pair is known by its rank.
         """
-        vocab, letters, ranks = self.vocab, self.letters, self.ranks
+        inner, last, rank_of, made_of, left_of, right_of = self.inner, self.last, self.rank_of, self.made_of, self.left_of, self.right_of
         ids: list[int] = []
         begins = []
         for word in words:
-            chars = [letters[b] for b in word.encode()]
-            chars[-1] += self.end
+            raw = word.encode()
             begins.append(len(ids))
-            ids.extend([vocab[c] for c in chars])
-            ids.append(-1)
+            ids += [inner[b] for b in raw[:-1]]
+            ids += (last[raw[-1]], -1)
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[tuple[int, int], list[int]] = {}
-        active: list[tuple[int, tuple[int, int]]] = []
-        for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-            if pair in ranks:
-                places.setdefault(pair, []).append(i)
-        active = [(ranks[p][0], p) for p in places]
-        heapq.heapify(active)
+        places: dict[int, list[int]] = {}
+        flat = np.array(ids, np.int64)
+        pairs = flat[:-1] << 20 | flat[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        there = np.flatnonzero((self.pairs[at] == pairs) & (flat[:-1] >= 0) & (flat[1:] >= 0))
+        rank = self.pair_ranks[at[there]]
+        order = np.argsort(rank, kind="stable")
+        there, rank = there[order], rank[order]
+        cuts = np.flatnonzero(np.diff(rank)) + 1
+        for r, held in zip(rank[np.concatenate([[0], cuts])].tolist() if len(rank) else (), np.split(there, cuts), strict=False):
+            places[r] = held.tolist()
+        active = list(places)  # ascending, so a heap
+        push, pop, get = heapq.heappush, heapq.heappop, rank_of.get
         while active:
-            _, pair = heapq.heappop(active)
-            a, b = pair
-            made = ranks[pair][1]
-            for i in sorted(places.pop(pair)):
-                j = after[i] if ids[i] == a else n
+            r = pop(active)
+            a, b, made = left_of[r], right_of[r], made_of[r]
+            held = places.pop(r)
+            held.sort()
+            for i in held:
+                if ids[i] != a:
+                    continue
+                j = after[i]
                 if j >= n or ids[j] != b:
                     continue
                 ids[i], ids[j] = made, -2
                 k = after[i] = after[j]
-                if k < n:
-                    before[k] = i
-                    new = (made, ids[k])
-                    if new in ranks:
-                        if new not in places:
-                            places[new] = []
-                            heapq.heappush(active, (ranks[new][0], new))
-                        places[new].append(i)
+                before[k] = i
+                if (q := get(made << 20 | ids[k])) is not None:
+                    if q in places:
+                        places[q].append(i)
+                    else:
+                        places[q] = [i]
+                        push(active, q)
                 h = before[i]
-                if h >= 0:
-                    new = (ids[h], made)
-                    if new in ranks:
-                        if new not in places:
-                            places[new] = []
-                            heapq.heappush(active, (ranks[new][0], new))
-                        places[new].append(h)
-        if len(self.known) > self.keep:
-            self.known.clear()
-            self.shown.clear()
+                if h >= 0 and (q := get(ids[h] << 20 | made)) is not None:
+                    if q in places:
+                        places[q].append(h)
+                    else:
+                        places[q] = [h]
+                        push(active, q)
+        known = self.known
         for word, i in zip(words, begins, strict=True):
             out = []
-            while ids[i] != -1:
-                out.append(ids[i])
+            while (t := ids[i]) != -1:
+                out.append(t)
                 i = after[i]
-            self.known[word] = tuple(out)
+            known[word] = tuple(out)
 
     def parts(self, text: str) -> list[str | int]:
         """Words of the text; the id of each special token that stands in it."""
@@ -134,11 +141,10 @@ class WordBpe:
 
     def prepare(self, texts: list[str | None]) -> list[list[str | int]]:
         found = [self.parts(t or "") for t in texts]
-        new = {w for words in found for w in set(words) if type(w) is str}
         if len(self.known) > self.keep:
             self.known.clear()
             self.shown.clear()
-        if new := [w for w in new if w not in self.known]:
+        if new := [w for w in set().union(*found) - self.known.keys() if type(w) is str]:
             self.learn(new)
         return found
 
@@ -156,13 +162,10 @@ class WordBpe:
         counts, of_ids, of_text = [], [], []
         shown, known = self.shown, self.known
         for words in self.prepare(texts):
-            rows = []
-            for w in words:
-                row = shown.get(w)
-                if row is None:
-                    ids = known[w] if type(w) is str else (w,)
-                    row = shown[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-                rows.append(row)
+            for w in set(words) - shown.keys():
+                ids = known[w] if type(w) is str else (w,)
+                shown[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            rows = [shown[w] for w in words]
             counts.append(sum([r[0] for r in rows]))
             of_ids.append(hashlib.sha256(" ".join([r[1] for r in rows]).encode()).hexdigest())
             of_text.append(hashlib.sha256(" ".join([r[2] for r in rows]).encode()).hexdigest())
@@ -189,6 +192,8 @@ def encode(docs: DataFrame, path: str, column: str = "text", into: str = "ids")
     """`docs` with the array of token ids of each whole text; a null or empty text has none."""
     types = T.StructType([*docs.drop(into).schema, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for rows, _, _ in pieces(batches, column):
