@@ -223,16 +223,17 @@ def wide_links(distinct: DataFrame) -> DataFrame:
                     continue
                 lead = of[np.flatnonzero(new)[np.cumsum(new) - 1]]
                 last = np.concatenate([of[:1], of[:-1]])
-                pairs = np.unique(np.concatenate([np.stack([of[~new], lead[~new]], 1), np.stack([of[~new], last[~new]], 1)]), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                for i in range(0, len(pairs), 1 << 18):
-                    u, v = pairs[i : i + (1 << 18)].T
+                same = of[~new].astype(np.int64) << 32
+                pairs = np.unique(np.concatenate([same | lead[~new], same | last[~new]]))
+                pairs = pairs[(pairs >> 32) != (pairs & 0xFFFFFFFF)]
+                for i in range(0, len(pairs), 1 << 16):
+                    u, v = pairs[i : i + (1 << 16)] >> 32, pairs[i : i + (1 << 16)] & 0xFFFFFFFF
                     good = ring_check(segments[u], segments[v])
                     yield pa.record_batch([pa.array(ids[u[good]]), pa.array(ids[v[good]])], names=["u", "v"])
 
         return run
 
-    parts = max(1, -(-distinct.count() // 25_000))  # what one task holds
+    parts = max(1, -(-distinct.count() // 10_000))  # what one task holds
     distinct = distinct.repartition(parts, "id")
     own = distinct.mapInArrow(local(True), "u long, v long").where("u <> v")
     shared = distinct.mapInArrow(local(False), "key long, id long").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")  # one id for each partition at most

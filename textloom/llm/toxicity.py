@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
-        for rows, data, offs in pieces(batches):
+        for rows, data, offs in pieces(batches, most=512 << 10):
             bag, y = bags(data, offs), rows.column("y").to_numpy(zero_copy_only=False)
             both = np.unique(bag.row[bag.of] * BUCKETS + bag.feature)
             for k in (0, 1):
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(held.value).astype(bool)
-        for rows, data, offs in pieces(batches):
+        for rows, data, offs in pieces(batches, most=512 << 10):
             bag = bags(data, offs, mask)
             edge = np.searchsorted(bag.row, np.arange(rows.num_rows + 1))
             inner = np.searchsorted(bag.of, edge)
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",)) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, model = _got(held)
-        for rows, data, offs in pieces(batches):
+        for rows, data, offs in pieces(batches, most=512 << 10):
             bag, n = bags(data, offs, use), rows.num_rows
             z = sentence_logits(bag, model)
             worst = np.full(n, -1)
@@ -227,7 +227,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, model = _got(held)
-        for rows, data, offs in pieces(batches):
+        for rows, data, offs in pieces(batches, most=512 << 10):
             bag = bags(data, offs, use)
             yield rows.filter(pa.array(noisy_or(sentence_logits(bag, model), bag.row, rows.num_rows) < threshold))
 
