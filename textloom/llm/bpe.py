@@ -144,7 +144,7 @@ class WordBpe:
         if len(self.known) > self.keep:
             self.known.clear()
             self.shown.clear()
-        if new := [w for w in set().union(*found) - self.known.keys() if type(w) is str]:
+        if new := [w for w in set().union(*found).difference(self.known) if type(w) is str]:
             self.learn(new)
         return found
 
@@ -162,7 +162,7 @@ class WordBpe:
         counts, of_ids, of_text = [], [], []
         shown, known = self.shown, self.known
         for words in self.prepare(texts):
-            for w in set(words) - shown.keys():
+            for w in set(words).difference(shown):
                 ids = known[w] if type(w) is str else (w,)
                 shown[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             rows = [shown[w] for w in words]
