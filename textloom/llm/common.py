@@ -181,25 +181,37 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], names=["u", "v"])
 
 
+#: Links that one task may hold when forests are merged.
+FOREST_LINKS = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in `edges(u long, v long)`, component being the smallest reachable id.
 
-    Large-star and small-star rounds (each a min per id and a join, both split
-    by AQE where one id has very many links) until the links are stars.  Before
-    each round every partition shrinks its own links to a forest, so a round
-    shuffles at most one row per id and partition.
+    Every partition shrinks its links to a forest, and forests are merged
+    FOREST_LINKS at a time; where they all fit into one task, that is the
+    result.  Beyond that, rounds of large-star and small-star (each a min per
+    id and a join) go on until the links are stars.
     """
     held = written(edges.where("u <> v").mapInArrow(_forest, "u long, v long"), "links")
     while True:
+        parts = -(-held.count() // FOREST_LINKS)
+        if parts <= 1:
+            new = written(held.coalesce(1).mapInArrow(_forest, "u long, v long"), "stars")
+            break
+        held = written(held.coalesce(parts).mapInArrow(_forest, "u long, v long"), "links")
         both = held.select("u", "v").union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large-star: larger neighbours move to the smallest id around
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.mapInArrow(_forest, "u long, v long")
+        large = written(large.mapInArrow(_forest, "u long, v long"), "links")
         # small-star: an id's smaller neighbours move to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = written(small.select("e.*").where("u <> v").distinct(), "links")
-        if not new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() and not new.select("v").distinct().join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count():
-            return new.select(F.col("u").alias("id"), F.col("v").alias("component")).union(new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        split = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        if not split and not new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+            break
         held = new
+    heads = new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return new.select(F.col("u").alias("id"), F.col("v").alias("component")).union(heads)

@@ -129,7 +129,7 @@ def near_groups(docs: DataFrame, width: int = 3, most: int = 2, segments: int =
 
 #: The wide fingerprint: bits of a segment, segments on its ring, segments that are keys, and most differing bits.
 #: 40 of 252 bits is the expected distance of two sets of shingles with a Jaccard similarity of 0.8 (38), and one standard deviation of a third.
-SEGMENT, RING, KEYED, MOST = 28, 9, 7, 40
+SEGMENT, RING, KEYED, MOST = 28, 9, 6, 40
 
 
 def _wide(hashes: np.ndarray) -> np.ndarray:
@@ -233,11 +233,11 @@ def wide_links(distinct: DataFrame) -> DataFrame:
 
         return run
 
-    parts = max(1, -(-distinct.count() // 10_000))  # what one task holds
+    parts = max(1, -(-distinct.count() // 20_000))  # what one task holds
     distinct = distinct.repartition(parts, "id")
     own = distinct.mapInArrow(local(True), "u long, v long").where("u <> v")
     shared = distinct.mapInArrow(local(False), "key long, id long").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")  # one id for each partition at most
-    across = shared.select(F.explode(F.expr("concat(transform(slice(ids, 2, size(ids)), x -> struct(ids[0] as u, x as v)), transform(sequence(1, size(ids) - 1), i -> struct(ids[i - 1] as u, ids[i] as v)))")).alias("e")).select("e.*").where("u <> v").distinct()
+    across = shared.select(F.col("ids")[0].alias("u"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("v")).distinct()
     fps = distinct.select(F.col("id").alias("u"), F.col("fp").alias("fu"))
     across = across.join(fps, "u").join(fps.select(F.col("u").alias("v"), F.col("fu").alias("fv")), "v")
 
