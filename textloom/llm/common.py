@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)  # this process and its libraries
+
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 20
 
@@ -63,6 +66,13 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def give_back() -> None:
+    """Returns free memory of this Python worker, which lives on, to the system; does nothing where that isn't known."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) with about `most` bytes each; one row is never split."""
     for batch in batches:
@@ -74,7 +84,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
-        pa.default_memory_pool().release_unused()
+        del data, offs, batch
+    give_back()
 
 
 def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
     result.  Beyond that, rounds of large-star and small-star (each a min per
     id and a join) go on until the links are stars.
     """
-    held = written(edges.where("u <> v").mapInArrow(_forest, "u long, v long"), "links")
+    held = written(edges.where("u <> v"), "links")  # apart from what made them, so that no task has two Python workers
     while True:
         parts = -(-held.count() // FOREST_LINKS)
         if parts <= 1:

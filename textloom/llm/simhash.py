@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, map_pieces, mix, range_hashes, read, word_hashes, words, written
+from .common import LOWER, components, give_back, map_pieces, mix, range_hashes, read, word_hashes, words, written
 
 _LOWER = LOWER.tobytes()
 
@@ -230,6 +230,7 @@ def wide_links(distinct: DataFrame) -> DataFrame:
                     u, v = pairs[i : i + (1 << 16)] >> 32, pairs[i : i + (1 << 16)] & 0xFFFFFFFF
                     good = ring_check(segments[u], segments[v])
                     yield pa.record_batch([pa.array(ids[u[good]]), pa.array(ids[v[good]])], names=["u", "v"])
+            give_back()
 
         return run
 
