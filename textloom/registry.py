@@ -5,11 +5,347 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as T
+from .operators import answers as A
+from .operators import chunking as C
+from .operators import collections as M
+from .operators import search as S
+from .plans import qa
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a question's text, found by its first token and then in full."""
+    asked = questions_of(spark, sf_dir).withColumn("q", F.col("text"))
+    held = S.index(asked, "query_id")
+    rare = held.postings.join(held.terms, "token").groupBy("id").agg(F.max_by("token", F.struct("idf", "token")).alias("token")).join(asked.select(F.col("query_id").alias("id"), "q"), "id")
+    words = docs_of(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    return words.join(rare, "token").where(F.contains("text", F.col("q"))).select(F.col("id").alias("query_id"), F.col("doc_id").alias("id"))
+
+
+TOKENS = "list_transform(list_filter(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda w: length(w) > 1 or regexp_full_match(w, '[0-9]')), lambda w: lower(w))"
+#: Text as the tokenizer takes it where it holds no CJK, as in these tables.
+_BM25 = f"""
+tok AS (SELECT doc_id AS id, CASE WHEN len(t) > 0 THEN t ELSE [''] END AS t FROM (SELECT doc_id, {TOKENS.format("coalesce(text, '')")} AS t FROM documents)),
+post AS (SELECT id, len(t) AS dl, unnest(t) AS token FROM tok),
+tf AS (SELECT id, dl, token, count(*) AS tf FROM post GROUP BY ALL),
+corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, corpus),
+terms AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+qt AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS.format("text")}) AS token FROM benchmark) GROUP BY ALL),
+bm AS (SELECT query_id, id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN qt USING (token) JOIN terms USING (token), corpus GROUP BY ALL),
+bm25 AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 20 AND score > 0)"""
+_GRAMS = """SELECT id, gram, sum(w) AS w FROM (
+  SELECT id, unnest(string_split(w, '')) AS gram, 1.0::DOUBLE AS w FROM {0}words UNION ALL SELECT id, w, 2.0 FROM {0}words WHERE length(w) > 1) WHERE gram <> '' GROUP BY ALL"""
+
+
+def _vectors(source: str, key: str, name: str) -> str:
+    return f"""
+{name}words AS (SELECT {key} AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM {source}),
+{name}grams AS ({_GRAMS.format(name)}),
+{name}hash AS (SELECT id, (('0x' || substr(md5(gram), 1, 8))::BIGINT) % 512 AS bucket, CASE WHEN (('0x' || substr(md5(gram), 9, 1))::BIGINT) % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE * (1 + ln(w)) AS v FROM {name}grams),
+{name}sum AS (SELECT id, bucket, sum(v) AS v FROM {name}hash GROUP BY ALL HAVING abs(sum(v)) > 1e-9),
+{name}vec AS (SELECT id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS value FROM {name}sum)"""
+
+
+@query(f"SELECT doc_id, len(t)::BIGINT AS n, sha256(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)")
+def tokenize(spark, sf_dir):
+    t = T.tokens(F.col("text"))
+    return docs_of(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n"), F.sha2(F.array_join(t, " "), 256).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(text)[:16] AS hash FROM documents")
+def content_hash_ids(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT doc_id, length(s) < 15 OR length(regexp_replace(s, '[^A-Za-z0-9一-鿿]', '', 'g')) / length(s) < 0.3 AS noise FROM (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS s FROM documents)")
+def noise_filter(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", T.is_noise(F.col("text")).alias("noise"))
+
+
+@query("SELECT doc_id, round(length(regexp_replace(s, '[^一-鿿]', '', 'g')) / length(s), 6) AS ratio FROM (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS s FROM documents)")
+def char_ratio(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.round(T.cjk_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE rtrim(t[:179], E' \\t\\n\\r') || '…' END AS snippet FROM (SELECT doc_id, trim(text, E' \\t\\n\\r') AS t FROM documents)")
+def truncate_snippet(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", T.truncate(F.col("text"), 180).alias("snippet"))
+
+
+@query("SELECT doc_id, len(n)::BIGINT AS n, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'))) AS n FROM documents)")
+def numbers(spark, sf_dir):
+    n = F.array_sort(T.numbers(F.col("text")))
+    return docs_of(spark, sf_dir).select("doc_id", F.size(n).cast("long").alias("n"), F.array_join(n, " ").alias("numbers"))
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
+
+
+@query("WITH p AS (SELECT item_id, unnest([2, 3, 4, 6]) AS n, text FROM benchmark), g AS (SELECT item_id, n, unnest(range(1, length(text) - n + 2)) AS i, text FROM p), s AS (SELECT item_id, n, i, substr(text, i, n) AS s FROM g), d AS (SELECT item_id, s, min((n, i)) AS o FROM s WHERE trim(s, E' \\n\\t') <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o) AS k FROM d) SELECT item_id, string_agg(s, '|' ORDER BY k) AS phrases FROM r WHERE k <= 40 GROUP BY item_id")
+def phrases(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.phrases(F.col("text"), (2, 3, 4, 6), 40, True), "|").alias("phrases"))
+
+
+@query("SELECT page_id, CASE WHEN n = '' THEN 'unnamed' ELSE n END AS name FROM (SELECT page_id, regexp_replace(regexp_extract(url, '([^/\\\\]*)$', 1), '[^A-Za-z0-9_.\\- ]', '_', 'g')[:120] AS n FROM pages)")
+def safe_filenames(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
+
+
+@query("SELECT conv_id, turn, trim(text, E' \\t\\n\\r') = '' OR contains(trim(text, E' \\t\\n\\r')[:80], '根据现有知识库无法回答') OR contains(trim(text, E' \\t\\n\\r')[:80], '根据现有资料无法回答') OR contains(trim(text, E' \\t\\n\\r')[:80], '无法根据现有资料') OR text IS NULL AS refused FROM conversations")
+def refusal_markers(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_refusal(F.col("text")).alias("refused"))
+
+
+@query()
+def normalize_text(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("text"))
+
+
+_WINDOWS = "w AS (SELECT doc_id, source, unnest(range(0, greatest(ceil((length(text) - 80) / 420.0)::BIGINT, 1))) AS chunk_index, text FROM documents WHERE length(text) > 0), chunks AS (SELECT doc_id, source, chunk_index, chunk_index * 420 AS start_index, substr(text, chunk_index * 420 + 1, 500) AS text FROM w)"
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, chunk_index, start_index, text, sha256(doc_id || ':' || chunk_index || ':' || text)[:16] AS chunk_id FROM chunks")
+def window_chunks(spark, sf_dir):
+    return M.windows(docs_of(spark, sf_dir))
+
+
+@query(f"WITH {_WINDOWS} SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars, floor(sum(length(text)) / count(*))::BIGINT AS mean_chars FROM chunks GROUP BY ROLLUP (source)")
+def chunk_stats_rollup(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return M.chunk_stats(M.windows(docs).join(docs.select("doc_id", "source"), "doc_id"))
+
+
+_PAGES = "u AS (SELECT conv_id AS doc_id, turn AS page, length(trim(text, E' \\t\\n\\r')) AS n FROM conversations WHERE trim(text, E' \\t\\n\\r') <> ''), p AS (SELECT doc_id, page, coalesce(sum(n + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b, n FROM u), o AS (SELECT DISTINCT doc_id, unnest(range(0, m + 50, 50)) AS at FROM (SELECT doc_id, max(b + n) AS m FROM p GROUP BY 1))"
+
+
+@query(f"WITH {_PAGES} SELECT o.doc_id, o.at, coalesce((SELECT page FROM p WHERE p.doc_id = o.doc_id AND o.at >= b AND o.at < b + n), (SELECT max(page) FROM p WHERE p.doc_id = o.doc_id)) AS page FROM o")
+def page_lookup(spark, sf_dir):
+    units = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    pages = M.pages_of(units)
+    offsets = pages.groupBy("doc_id").agg(F.max("end").alias("m")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil((F.col("m") + 50) / 50) * 50 - 50).cast("long"), F.lit(50).cast("long"))).alias("at"))
+    return M.page_lookup(offsets, pages)
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return C.recursive_chunks(docs_of(spark, sf_dir))
+
+
+@query()
+def greedy_near_dup(spark, sf_dir):
+    return C.drop_near_chunks(M.windows(docs_of(spark, sf_dir)))
+
+
+@query("SELECT sha256(text)[:16] AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def exact_dedup(spark, sf_dir):
+    return M.exact_dedup(docs_of(spark, sf_dir))
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id::VARCHAR AS doc_id, count(*) AS chunks, arg_min(source, chunk_index) AS source FROM chunks GROUP BY 1")
+def list_documents(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return M.listing(M.windows(docs).join(docs.select("doc_id", "source"), "doc_id"))
+
+
+@query("SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM documents GROUP BY ROLLUP (source)")
+def collection_summary(spark, sf_dir):
+    return M.summary(docs_of(spark, sf_dir))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def skip_existing(spark, sf_dir):
+    return M.new_only(docs_of(spark, sf_dir).select("doc_id", "source"), table(spark, sf_dir, "labels"))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.n_chars ELSE l.q END AS value FROM documents d LEFT JOIN (SELECT doc_id, max(quality)::BIGINT AS q FROM labels GROUP BY 1) l USING (doc_id)")
+def upsert(spark, sf_dir):
+    new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("value"), F.col("quality").alias("version"))
+    old = docs_of(spark, sf_dir).select("doc_id", F.col("n_chars").alias("value"), F.lit(0).alias("version"))
+    return M.upsert(old, new, "doc_id").select("doc_id", "value")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_document(spark, sf_dir):
+    return M.delete(docs_of(spark, sf_dir).select("doc_id", "lang"), table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+
+
+@query("SELECT conv_id, turn, role, text, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6")
+def last_n_turns(spark, sf_dir):
+    return M.last_turns(table(spark, sf_dir, "conversations")).withColumn("back", F.col("back").cast("long"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || CASE WHEN length(text) > 200 THEN text[:200] || '…' ELSE text END, E'\\n' ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 GROUP BY conv_id")
+def history_format(spark, sf_dir):
+    return M.history(table(spark, sf_dir, "conversations"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS events, min(ts) AS begin, max(ts) AS \"end\" FROM s GROUP BY 1, 2")
+def ttl_sessions(spark, sf_dir):
+    return M.ttl_sessions(table(spark, sf_dir, "events"))
+
+
+@query(f"WITH {_BM25.strip()} SELECT token, df, round(idf, 6) AS idf FROM terms")
+def bm25_terms(spark, sf_dir):
+    return S.index(docs_of(spark, sf_dir)).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_BM25.strip()} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 5")
+def bm25_topk(spark, sf_dir):
+    hits = S.bm25(questions_of(spark, sf_dir), S.index(docs_of(spark, sf_dir)), 5)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, gram, w FROM dgrams")
+def ngram_weights(spark, sf_dir):
+    return docs_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(S.gram_weights(F.col("text"))).alias("g")).groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
+
+
+@query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, bucket, round(value, 6) AS value FROM dvec")
+def hash_embedding(spark, sf_dir):
+    return S.hashed_vectors(docs_of(spark, sf_dir)).select("id", "bucket", F.round("value", 6).alias("value"))
+
+
+_KNN = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings{0}), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(greatest(0, least(1, list_cosine_similarity(q.e, v.e))), 9) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0) q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20"
+
+
+def _knn(spark, sf_dir, where=None):
+    rows = table(spark, sf_dir, "embeddings")
+    return S.knn(rows, rows.where("vec_id % 50 = 0"), 20, where=where).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_KNN.format(""))
+def vector_topk(spark, sf_dir):
+    return _knn(spark, sf_dir)
+
+
+@query(_KNN.format(" WHERE label = 3"))
+def vector_topk_filtered(spark, sf_dir):
+    return _knn(spark, sf_dir, M.where_equal(label=3))
+
+
+_FUSED = f"""WITH {_BM25.strip()}, {_vectors("documents", "doc_id", "d").strip()}, {_vectors("benchmark", "item_id", "q").strip()},
+dn AS (SELECT q.id AS query_id, d.id, greatest(0, least(1, sum(d.value * q.value))) AS score FROM dvec d JOIN qvec q USING (bucket) GROUP BY ALL),
+dense AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM dn) WHERE rank <= 20),
+f AS (SELECT query_id, id, a.rank AS vr, b.rank AS br, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS rrf FROM dense a FULL JOIN bm25 b USING (query_id, id))"""
+
+
+@query(_FUSED + " SELECT query_id, id, round(rrf, 6) AS rrf, round(least(1, rrf / (2 / 61.0)), 6) AS final, coalesce(vr, -1) AS vector_rank, coalesce(br, -1) AS bm25_rank FROM f")
+def rrf_fusion(spark, sf_dir):
+    docs, asked = docs_of(spark, sf_dir), questions_of(spark, sf_dir)
+    out = S.fuse(S.dense(S.hashed_vectors(docs), S.hashed_vectors(asked, "query_id")), S.bm25(asked, S.index(docs)))
+    return out.select("query_id", "id", F.round("rrf", 6).alias("rrf"), F.round("final", 6).alias("final"), F.col("vector_rank").cast("long").alias("vector_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
+
+
+@query("SELECT doc_id, round(CASE WHEN r < 0.2 THEN 0.2 WHEN r < 0.5 THEN 0.2 + (r - 0.2) / 0.3 * 0.8 WHEN r <= 1.5 THEN 1.0 ELSE greatest(0.3, 1 - (r - 1.5) / 3) END::DOUBLE, 6) AS score FROM (SELECT doc_id, length(text) / 500.0::DOUBLE AS r FROM documents)")
+def length_score(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", F.round(S.length_score(F.length("text")), 6).alias("score"))
+
+
+@query()
+def hybrid_topk(spark, sf_dir):
+    return qa.retrieve(docs_of(spark, sf_dir), questions_of(spark, sf_dir))
+
+
+def _scored(spark, sf_dir):
+    docs, asked = docs_of(spark, sf_dir), questions_of(spark, sf_dir)
+    hits = S.bm25(asked, S.index(docs), 5)
+    named = asked.select("query_id", F.col("text").alias("question"))
+    found = qa.blocks(hits, docs)
+    return A.evidence(found, named), named, found
+
+
+@query()
+def evidence_scores(spark, sf_dir):
+    return _scored(spark, sf_dir)[0]
+
+
+@query()
+def evidence_gate(spark, sf_dir):
+    scored, named, _ = _scored(spark, sf_dir)
+    return A.gate(scored, named)
+
+
+@query()
+def extractive_answer(spark, sf_dir):
+    scored, named, _ = _scored(spark, sf_dir)
+    return A.answer(scored, A.gate(scored, named))
+
+
+@query()
+def answer_citations(spark, sf_dir):
+    scored, named, found = _scored(spark, sf_dir)
+    return A.citations(A.answer(scored, A.gate(scored, named)), found)
+
+
+@query()
+def gate_grid(spark, sf_dir):
+    scored, named, _ = _scored(spark, sf_dir)
+    return A.gate_grid(A.gate(scored, named), gold_of(spark, sf_dir))
+
+
+_GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
+_CASES = f"WITH {_BM25.strip()}, {_GOLD}, h AS (SELECT query_id, min(CASE WHEN g.id IS NOT NULL THEN rank END) AS first, count(g.id) AS right, count(*) AS got FROM (SELECT * FROM bm25 WHERE rank <= 5) b LEFT JOIN gold g USING (query_id, id) GROUP BY 1), cases AS (SELECT item_id AS query_id, coalesce(n, 0) AS gold, first IS NOT NULL AS hit, coalesce(1 / first, 0)::DOUBLE AS rr, coalesce(\"right\" / greatest(got, 1), 0)::DOUBLE AS precision FROM benchmark LEFT JOIN (SELECT query_id AS item_id, count(*) AS n FROM gold GROUP BY 1) USING (item_id) LEFT JOIN (SELECT query_id AS item_id, first, \"right\", got FROM h) USING (item_id))".replace("AS right,", 'AS "right",')
+
+
+def _cases(spark, sf_dir):
+    asked = questions_of(spark, sf_dir)
+    return A.metrics(S.bm25(asked, S.index(docs_of(spark, sf_dir)), 5), gold_of(spark, sf_dir), asked)
+
+
+@query(_CASES + " SELECT query_id, gold, hit, round(rr, 6) AS rr, round(precision, 6) AS precision FROM cases")
+def eval_recall_mrr(spark, sf_dir):
+    return _cases(spark, sf_dir).select("query_id", "gold", "hit", F.round("rr", 6).alias("rr"), F.round("precision", 6).alias("precision"))
+
+
+@query(_CASES + " SELECT count(*) AS cases, count(CASE WHEN gold > 0 THEN 1 END) AS answerable, round(avg(CASE WHEN gold > 0 THEN hit::INT END), 6) AS recall, round(avg(CASE WHEN gold > 0 THEN rr END), 6) AS mrr, round(avg(CASE WHEN gold > 0 THEN precision END), 6) AS precision FROM cases")
+def eval_summary(spark, sf_dir):
+    out = A.summarise(_cases(spark, sf_dir))
+    return out.select("cases", "answerable", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "precision")))
+
+
+@query()
+def eval_ablation(spark, sf_dir):
+    """Summary for dense hits alone, fused hits and reranked hits."""
+    docs, asked, gold = docs_of(spark, sf_dir), questions_of(spark, sf_dir), gold_of(spark, sf_dir)
+    out = None
+    for name, options in (("dense", {"hybrid": False, "reranked": False}), ("dense_bm25", {"reranked": False}), ("dense_bm25_rerank", {})):
+        row = A.summarise(A.metrics(qa.retrieve(docs, asked, **options), gold, asked)).withColumn("config", F.lit(name))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
