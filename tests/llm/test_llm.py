@@ -1,0 +1,316 @@
+"""The ten operators against brute force, and on null, empty, repeated and clashing rows."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from textloom.llm import bpe, common, decontaminate, embeddings, licenses, lm, pii, reshard, simhash, substrings, toxicity
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string, words int, spans int, component string"
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, repeated and very long texts, a null key, and columns with the operators' own names."""
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    texts = [(1, None), (2, ""), (3, " \n "), (4, "same words here"), (4, "same words here"), (5, "same words here"), (None, "no key"), (6, long), (7, "Under the MIT License <|endoftext|> mail a@b.org")]
+    return spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", 1, 2, "c") for i, t in texts], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("1 = 0")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def brute_strip(rows, w):
+    first, words = {}, [(i, WORD.findall(t or "")) for i, t in rows]
+    for i, x in words:
+        for k in range(len(x) - w + 1):
+            key = tuple(x[k : k + w])
+            first[key] = min(first.get(key, i), i)
+    out = {}
+    for i, x in words:
+        gone = [False] * len(x)
+        for k in range(len(x) - w + 1):
+            if first[tuple(x[k : k + w])] < i:
+                gone[k : k + w] = [True] * w
+        out[i] = " ".join(t for t, g in zip(x, gone, strict=True) if not g)
+    return out
+
+
+@pytest.mark.parametrize("shard", [400, 2])
+def test_substrings(spark, monkeypatch, shard):
+    rng = random.Random(4)
+    shared = [[rng.choice("abcdefgh") for _ in range(30)] for _ in range(4)]
+    rows = []
+    for i in range(80):
+        t = []
+        for _ in range(rng.randrange(4)):
+            s = shared[rng.randrange(4)]
+            a = rng.randrange(12)
+            t += [rng.choice("xyzuvw") for _ in range(rng.randrange(8))] + s[a : a + rng.randrange(4, 25)]
+        rows.append((i, " ".join(t) if i % 9 else " ".join("r" * rng.randrange(30))))
+    monkeypatch.setattr(substrings.removals, "__defaults__", (10, 4, shard))
+    out = {r.doc_id: r.kept for r in substrings.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 10, 4).collect()}
+    assert out == brute_strip(rows, 10)
+
+
+def test_substrings_query(spark, sf_dir, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = brute_strip(rows, 50)
+    for r in substrings.op1_substrings(spark, sf_dir).collect():
+        assert r.kept_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
+
+
+def test_substrings_odd(odd, none):
+    out = substrings.strip_repeats(odd).collect()
+    assert len(out) == 9 and all(r.n_removed == 0 for r in out)
+    assert substrings.strip_repeats(none).count() == 0
+
+
+def test_simhash_fingerprint(docs):
+    rows = {r.doc_id: r.fp for r in simhash.fingerprints(docs).collect()}
+    for r in docs.limit(40).collect():
+        w = WORD.findall(lower(r.text))
+        hashes = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))]
+        want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) if w else 0
+        assert rows[r.doc_id] % (1 << 64) == want
+
+
+@pytest.mark.parametrize("hot", [48, 2])
+def test_simhash_links(spark, hot):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 12)
+    values = {int(b) for b in base}
+    for b in base:
+        for _ in range(25):
+            for bit in rng.integers(0, 62, rng.integers(1, 4)):
+                b ^= 1 << int(bit)
+            values.add(int(b))
+    values = sorted(values)
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in values:
+        for b in values:
+            if (a ^ b).bit_count() <= 2 and find(a) != find(b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    links = simhash.near_pairs(spark.createDataFrame([(v,) for v in values], "fp long"), hot=hot)
+    assert all((r.u ^ r.v).bit_count() <= 2 or hot == 2 for r in links.collect())
+    got = {r.id: r.component for r in common.components(links).collect()}
+    assert {v: got.get(v, v) for v in values} == {v: find(v) for v in values}
+
+
+def test_simhash_odd(odd, none):
+    rows = simhash.near_groups(odd).collect()
+    assert len(rows) == 9
+    assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
+    assert {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
+    assert simhash.near_groups(none).count() == 0
+    kept = simhash.drop_near_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
+    assert simhash.drop_near_copies(none).count() == 0
+
+
+def test_components_rounds(spark, monkeypatch):
+    monkeypatch.setattr(common, "FOREST_LINKS", 20)
+    edges = [(i, i + 1) for i in range(0, 120)] + [(200, 200 + i) for i in range(1, 50)]
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    assert got == {i: 0 for i in range(121)} | {i: 200 for i in range(200, 250)}
+
+
+def test_licenses(docs, odd, none):
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for r in docs.collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text))
+        hits = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.base_labels) == (len(w), len(hits), ",".join(sorted({x for _, x in hits})))
+        assert (g.first_word, g.last_word) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
+    rows = {r.doc_id: r for r in licenses.scan(odd).collect()}
+    assert rows[7].labels == "mit" and rows[7].score == 1.0 and rows[1].score == 0.0
+    assert licenses.scan(none).count() == 0
+
+
+def test_license_chain(spark):
+    text = licenses.TEMPLATES["mit"][0].replace("free of charge", "free of any charge").replace("modify, ", "")
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.labels == "mit" and 0.8 < r.score < 1 and r.n_base == 0
+
+
+def test_pii(spark, odd, none):
+    text = "Mr. John Smith, Frau Schmidt; John.Doe@mail.example.com +1 (743) 555-3824 or 743-555-3824, 4111 1111 1111 1111, 10.0.0.7, 123-45-6789."
+    out = pii.pseudonymise(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), told="entities").collect()
+    assert out[0].text == out[1].text
+    for piece in ("Smith", "Doe", "555-3824", "4111", "10.0.0.7", "123-45-6789"):
+        assert piece not in out[0].text
+    assert [e.type for e in out[0].entities] == ["name", "name", "email", "phone", "phone", "card", "ip", "ssn"]
+    assert re.sub("[^0-9]", "", out[0].entities[3].surrogate)[1:] == re.sub("[^0-9]", "", out[0].entities[4].surrogate)
+    kept = pii.pseudonymise(odd)
+    assert kept.columns == odd.columns and kept.count() == 9
+    assert pii.pseudonymise(none).count() == 0
+
+
+def test_pii_is_one_to_one():
+    assert len({pii.surrogate("ssn", f"{i:03d}-00-00{i % 10}0")[0] for i in range(1000)}) == 1000
+    names = [n for v in pii.NAMES.values() for n in v] + [a + b for a in ("Bo", "Ka", "Zu") for b in ("ra", "li", "ton")]
+    assert len({pii.surrogate("name-", f"{n} Ray")[0] for n in names}) == len(names)
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, (base[i % 40] + rng.normal(size=16) * 0.06).tolist(), i % 3) for i in range(300)]
+    rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(5)]
+    rows += [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] * 16, 0), (403, [None] * 16, 0), (404, rows[0][1], None), (405, [1.0, 2.0], 1), (406, [2.0, 4.0], 1), (407, [], 1)]
+    got = {r.vec_id: r for r in embeddings.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(got) == len(rows)
+    good = [(i, np.array(v) / np.linalg.norm(v), y) for i, v, y in rows if i < 400 or i in (405, 406)]
+    links = {i: {j for j, w, z in good if j != i and y == z and len(v) == len(w) and v @ w >= 0.98} for i, v, y in good}
+    assert sum(len(x) for x in links.values()) > 100
+    assert all(got[i].n_links == len(links.get(i, ())) for i in got)
+    assert got[405].component_id == got[406].component_id == 405 and got[404].kept
+
+
+def test_embeddings_empty(spark):
+    assert embeddings.near_groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_bpe(docs, odd, none):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    theirs = Tokenizer.from_file(path)
+    theirs.no_truncation()
+    theirs.no_padding()
+    for r in bpe.decode(bpe.encode(docs.select("doc_id", "text").limit(100).union(odd.select("doc_id", "text")), path), path).collect():
+        ids = theirs.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == ids
+        assert r.decoded == theirs.decode(ids, skip_special_tokens=False)
+    digests = {r.doc_id: r for r in bpe.encode_digests(odd, path).collect()}
+    assert digests[1].n_tokens == 0 and digests[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    assert bpe.encode(none, path).count() == 0
+
+
+def test_decontaminate(spark, odd, none, docs, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
+    texts, items = docs.collect(), bench.collect()
+    assert {(d.doc_id, b.item_id) for d in texts for b in items if b.text in (d.text or "")} <= got
+    small = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"), (2, "a b c d"), (3, ""), (4, None)], "item_id long, text string")
+    tested = spark.createDataFrame([(1, "Intro one two three FOUR five six other eight nine ten eleven twelve thirteen other fifteen sixteen end"), (2, "x a b c d y"), (3, "one two three something else"), (4, None)], "doc_id long, text string")
+    for most in (10, 1000):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(tested, small, most=most).collect()} == {(1, 1), (2, 2)}
+    assert decontaminate.overlaps(none, small).count() == 0
+    assert decontaminate.overlaps(tested, small.where("1 = 0")).count() == 0
+    assert decontaminate.drop_contaminated(odd, small).count() == 9
+
+
+def test_reshard(spark, sf_dir, docs, none, odd):
+    rows = reshard.op8_reshard(spark, sf_dir).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert all(r.size == len(texts[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) for r in rows)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert len(rows) == len(texts) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert reshard.place(none.selectExpr("*", "0 as old"), "old", 3).count() == 0
+    assert reshard.place(odd.selectExpr("*", "cast(null as int) as old"), "old", 2).count() == 9
+
+
+def test_reshard_moves_the_least(spark):
+    plan = reshard.transfers([(0, 1, 6, 60), (0, 2, 4, 400), (1, 1, 2, 20)], [6, 6])
+    assert plan[0, 2] == [(0, 4)] and plan[0, 1] == [(0, 2), (1, 4)]
+
+
+def test_rewrite(spark, tmp_path, docs):
+    placed = reshard.place(docs.selectExpr("*", "cast(least(doc_id % 5, 2) as int) as old"), "old", 3)
+    out = reshard.rewrite(docs, placed, str(tmp_path / "out"))
+    touched = {s for r in placed.where("shard <> old_shard").collect() for s in (r.shard, r.old_shard)}
+    assert touched and {r.shard for r in out.select("shard").distinct().collect()} == touched
+    even = reshard.place(docs.selectExpr("*", "cast(doc_id % 2 as int) as old"), "old", 2)
+    assert reshard.rewrite(docs, even, str(tmp_path / "none")).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(0)
+    clean = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(800):
+        parts = [" ".join(rng.choices(clean, k=8)) for _ in range(5)]
+        y = int(i % 4 == 0)
+        if y:
+            parts[rng.randrange(5)] += " " + rng.choice(["nastyword", "nastyling", "awfulthing"])
+        rows.append((i, ". ".join(parts)))
+        labels.append((i, y))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, toxicity.train_labels(known))).collect()}
+    held = [i for i in range(800) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((out[i].score >= toxicity.THRESHOLD) == (i % 4 == 0) for i in held) >= 0.97 * len(held)
+    hit = next(i for i in held if i % 4 == 0)
+    raw = rows[hit][1].encode()[out[hit].worst_byte : out[hit].worst_byte + out[hit].worst_bytes]
+    assert re.search(b"nasty|awful", raw)
+
+
+def test_toxicity_odd(spark, odd, none):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (99, 1)], "doc_id long, toxic int")
+    rows = toxicity.score(odd, toxicity.fit(odd, labels)).collect()
+    assert len(rows) == 9 and all(0 <= r.score <= 1 for r in rows)
+    assert next(r.score for r in rows if r.doc_id == 1) == 0
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+    assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+
+
+@pytest.mark.parametrize("head", [1 << 18, 100])
+def test_lm(spark, sf_dir, docs, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    rows = {r.doc_id: r for r in lm.op10_lm(spark, sf_dir).collect()}
+    tokens = {r.doc_id: [*WORD.findall(lower(r.text)), "\0"] for r in docs.collect()}
+    count = collections.Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in t)
+    n, v = sum(count.values()), len(count)
+    for i, t in tokens.items():
+        r = rows[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(count[w] > 0 for w in t), n, zlib.crc32(str(i).encode()) % 10 == 0)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel=1e-9)
+    held = [r for r in rows.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_is_normalised(docs):
+    model, counts = lm.fit(docs.select("doc_id", "text"))
+    assert np.allclose((10.0 ** model.table.astype(float)).sum(axis=1), 1, atol=1e-4)
+    c = {r.h: (r.kind, r.c) for r in counts.collect()}
+    own = {int(h) for h in common.signed(model.head[model.symbol >= 0])}
+    for kind in range(1 + lm.FREQUENT, lm.SYMBOLS):
+        total = sum(x + lm.ALPHA for h, (k, x) in c.items() if k == kind and h not in own) + lm.ALPHA
+        assert total == pytest.approx(10 ** model.rest[kind])
+
+
+def test_lm_odd(odd, none):
+    model, counts = lm.fit(odd)
+    assert lm.score(odd, model, counts).count() == 9
+    model, counts = lm.fit(none)
+    assert lm.score(odd, model, counts).count() == 9 and lm.score(none, model, counts).count() == 0

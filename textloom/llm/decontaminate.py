@@ -90,12 +90,13 @@ def _blocks(benchmark: DataFrame, key: str, most: int) -> Iterator[list[tuple[ob
 
 
 def best_overlap(same: np.ndarray, share: float) -> tuple[int, int]:
-    """(begin, end) of the stretch with the largest sum of match - share: its matches are `share` of it or more."""
+    """(begin, end) of the stretch with the most matches among those of which `share` or more are matches."""
     total = np.concatenate([[0.0], np.cumsum(same - share)])
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return begin, end
+    begin = np.minimum(np.searchsorted(-low, -(total + 1e-9), "left"), np.arange(len(total)))  # the first that is no higher than the end
+    matches = np.concatenate([[0], np.cumsum(same)])
+    end = int(np.argmax(matches - matches[begin]))
+    return int(begin[end]), end
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", masks: tuple[str, ...] = MASKS, words_needed: int = 13, share: float = 0.8, most: int = BLOCK_WORDS) -> DataFrame:

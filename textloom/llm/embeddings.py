@@ -34,7 +34,7 @@ class Quantiser:
 def learn(sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 5) -> Quantiser:
     """ITQ: principal directions, then alternately codes for the rotation and the rotation for the codes."""
     mean = sample.mean(axis=0)
-    _, _, axes = np.linalg.svd(np.cov(sample - mean, rowvar=False).reshape(sample.shape[1], -1))
+    _, _, axes = np.linalg.svd((sample - mean).T @ (sample - mean))
     axes = axes[: min(bits, sample.shape[1])].T
     low = (sample - mean) @ axes
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(low.shape[1], low.shape[1])))[0]

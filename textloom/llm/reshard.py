@@ -147,7 +147,7 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id")
     moved = placed.join(touched, "shard", "left_semi").select(key, "shard", "slot")
     out = docs.drop("shard", "slot").join(moved, key)
     out.repartition("shard", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
