@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_ALNUM, map_pieces, mix, read, word_hashes, words
+from .common import LOWER, NON_ALNUM, map_pieces, mix, read, word_hashes, words, written
 
 #: Which word positions of a window a seed compares (1) and ignores (0).
 MASKS = ("1111001", "110100111", "1101100011", "10110010101")
 #: The bound on benchmark words that are broadcast at once; more are taken in blocks of so many.
 BLOCK_WORDS = 2_000_000
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BITS = 24
+_BITS = 22
 
 
 def _seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -166,7 +166,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any verified overlap, with all columns and rows as they are."""
-    hit = overlaps(docs, benchmark).select("doc_id").distinct()
+    hit = written(overlaps(docs, benchmark).select("doc_id").distinct(), "hits")  # Spark knows its size, and broadcasts or shuffles by that
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -263,7 +263,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
     groups = components(wide_links(distinct))
     heads = distinct.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("head"))
-    gone = marked.join(heads, "fp").where("doc_id <> head").select("doc_id").distinct()
+    gone = written(marked.join(heads, "fp").where("doc_id <> head").select("doc_id").distinct(), "gone")  # its size is known to the join
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # repeated rows: the first of equal (doc_id, text) stays, and only they are compared
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
