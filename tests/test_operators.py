@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 import pytest
@@ -156,7 +157,9 @@ def test_streaming_memory(spark, tmp_path):
     spark.createDataFrame([("s", f"q{i}", f"a{i}") for i in range(8)] + [(" ", "q", "a")], "session_id string, question string, answer string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_id string, question string, answer string").parquet(str(tmp_path / "in"))
     q = sessions.remember(stream, 3).writeStream.format("memory").queryName("remembered").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
+    until = time.time() + 60  # timeouts keep the trigger busy, so no processAllAvailable
+    while not spark.table("remembered").count() and time.time() < until:
+        time.sleep(0.3)
     q.stop()
     rows = spark.table("remembered").collect()
     assert [(r.session_id, r.turns[-1], len(r.turns)) for r in rows] == [("s", "q7\ta7", 3)]
