@@ -85,6 +85,24 @@ def test_knn_blocks_and_nulls(spark, monkeypatch):
     assert [(r.query_id, r.id) for r in got] == [(0, 0), (0, 1), (4, 4), (4, 1)]
 
 
+@pytest.mark.parametrize("block", [1, 100])
+def test_dense_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "ROWS", 2)
+    rows = [(f"d{i}", b, ((i * 7 + b * 3) % 11 - 3) / 10) for i in range(9) for b in range(6) if (i + b) % 3] + [("far", 99, 1.0), (None, 1, 1.0)]
+    asks = [(q, b, (q + b) / 10) for q in (1, 2) for b in range(4)]
+    got = {(r.query_id, r.id): (round(r.score, 9), r.rank) for r in S.dense(spark.createDataFrame(rows, "id string, bucket long, value double").repartition(3), spark.createDataFrame(asks, "id long, bucket long, value double"), 4).collect()}
+    want = {}
+    for q in (1, 2):
+        mine = {b: v for x, b, v in asks if x == q}
+        scores = {i: sum(v * mine[b] for x, b, v in rows if x == i and b in mine) for i, b, _ in rows if i and b in mine}
+        order = sorted(scores, key=lambda i: (-round(min(1, max(0, scores[i])), 9), i))[:4]
+        want |= {(q, i): (round(min(1, max(0, scores[i])), 9), n + 1) for n, i in enumerate(order)}
+    assert got == want
+    empty = spark.createDataFrame([], "id long, bucket long, value double")
+    assert S.dense(empty, empty).count() == 0
+
+
 def gate_of(spark, question, *texts):
     blocks = spark.createDataFrame([(1, i + 1, i, t) for i, t in enumerate(texts)], "query_id long, block int, id long, text string")
     asked = spark.createDataFrame([(1, question)], "query_id long, question string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,15 +79,75 @@ def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim
     return sums.join(norms, "id").select("id", "bucket", (F.col("v") / F.col("norm")).alias("value"))
 
 
+#: Questions whose vectors are sent to the executors at once, and rows that one matrix product takes.
+BLOCK, ROWS = 2_000, 1_000
+
+
+def _best(parts: Iterator[tuple[np.ndarray, np.ndarray]], asked: list, k: int) -> Iterator[pa.RecordBatch]:
+    """query_id, id, score: each question's k best of (ids, scores by question and id), equal scores by id; scores below 0 are none."""
+    ids = scores = None
+    for mine, s in parts:
+        mine = np.broadcast_to(mine, s.shape)
+        ids, scores = (mine, s) if ids is None else (np.concatenate([ids, mine], axis=1), np.concatenate([scores, s], axis=1))
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+    if ids is not None:
+        query, at = np.nonzero(scores >= 0)
+        yield pa.record_batch([pa.array([asked[i] for i in query.tolist()]), pa.array(ids[query, at].tolist()), pa.array(scores[query, at])], names=["query_id", "id", "score"])
+
+
+def _in_blocks(questions: DataFrame, one: Callable[[list], DataFrame]) -> DataFrame:
+    """one(rows) for every BLOCK questions, together."""
+    out, held = None, []
+    for row in questions.toLocalIterator():
+        held.append(row)
+        if len(held) == BLOCK:
+            out, held = one(held) if out is None else out.union(one(held)), []
+    if held or out is None:
+        out = one(held) if out is None else out.union(one(held))
+    return out
+
+
 def dense(vectors: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, id, score, rank from sparse unit vectors (id, bucket, value), by shared buckets."""
-    asked = questions.select(F.col("id").alias("query_id"), "bucket", F.col("value").alias("q"))
-    scored = vectors.join(asked, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("q")).alias("s"))
-    return top(scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s"))).drop("s"), "query_id", "score", "id", k)
+    """query_id, id, score, rank from sparse unit vectors (id, bucket, value), for those that share a bucket.
 
+    Questions are taken in blocks of BLOCK; each task keeps its own top k of
+    each question from matrix products over the buckets that the block's
+    questions have (the vectors' dimension at most).  Null ids have no rows.
+    """
+    types = {name: df.schema["id"].dataType.simpleString() for name, df in (("query_id", questions), ("id", vectors))}
+    of = lambda df: df.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("bucket", "value")).alias("v"))
+    source = of(vectors)
 
-#: Questions whose vectors are sent to the executors at once.
-BLOCK = 2_000
+    def one(asked: list) -> DataFrame:
+        buckets = np.unique(np.array([e.bucket for r in asked for e in r.v], np.int64))
+        q = np.zeros((len(asked), len(buckets)))
+        for n, r in enumerate(asked):
+            q[n, np.searchsorted(buckets, [e.bucket for e in r.v])] = [e.value for e in r.v]
+        sent = vectors.sparkSession.sparkContext.broadcast(([r.id for r in asked], buckets, q))  # BLOCK vectors at most
+
+        def scores(batches: Iterator[pa.RecordBatch], buckets: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            asks = (q != 0).astype(np.float32)
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(q) and len(buckets) else 0, ROWS):
+                    part = batch.slice(at, ROWS)
+                    row = np.repeat(np.arange(part.num_rows), part.column("v").value_lengths().to_numpy())
+                    flat = part.column("v").flatten()
+                    bucket, value = flat.field("bucket").to_numpy(), flat.field("value").to_numpy()
+                    column = np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)
+                    ok = buckets[column] == bucket
+                    m = np.zeros((part.num_rows, len(buckets)))
+                    m[row[ok], column[ok]] = value[ok]
+                    shared = asks @ (m != 0).astype(np.float32).T > 0
+                    yield np.array(part.column("id").to_pylist()), np.where(shared, np.round(np.clip(q @ m.T, 0, 1), 9), -1.0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, buckets, q = sent.value
+            yield from _best(scores(batches, buckets, q), ids, k)
+
+        return source.mapInArrow(run, f"query_id {types['query_id']}, id {types['id']}, score double")
+
+    return top(_in_blocks(of(questions), one), "query_id", "score", "id", k)
 
 
 def knn(rows: DataFrame, questions: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -111,30 +171,21 @@ def knn(rows: DataFrame, questions: DataFrame, k: int = 20, key: str = "vec_id",
         length = max((len(r.v) for r in asked if r.v), default=1)
         sent = rows.sparkSession.sparkContext.broadcast(matrix([r.id for r in asked], [r.v for r in asked], length))  # BLOCK vectors at most
 
+        def scores(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    mine, m = matrix(part.column("id").to_pylist(), part.column("v").to_pylist(), length)
+                    yield mine, np.round(np.clip(q @ m.T, 0, 1), 9)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best_s, best_i = np.full((len(ids), 0), -1.0), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                mine, m = matrix(batch.column("id").to_pylist(), batch.column("v").to_pylist(), length)
-                s = np.round(np.clip(q @ m.T, 0, 1), 9)
-                best_s = np.concatenate([best_s, s], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(mine, s.shape)], axis=1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            n = best_s.shape[1]
-            yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
+            yield from _best(scores(batches, q), ids.tolist(), k)
 
         return source.mapInArrow(run, "query_id long, id long, score double")
 
-    out, held = None, []
-    asked = questions.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).toLocalIterator()
-    for row in asked:
-        held.append(row)
-        if len(held) == BLOCK:
-            out, held = one(held) if out is None else out.union(one(held)), []
-    if held or out is None:
-        out = one(held) if out is None else out.union(one(held))
-    return top(out, "query_id", "score", "id", k)
+    asked = questions.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return top(_in_blocks(asked, one), "query_id", "score", "id", k)
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int = 60) -> DataFrame:

@@ -39,12 +39,20 @@ def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's text, found by its first token and then in full."""
-    asked = questions_of(spark, sf_dir).withColumn("q", F.col("text"))
-    held = S.index(asked, "query_id")
-    rare = held.postings.join(held.terms, "token").groupBy("id").agg(F.max_by("token", F.struct("idf", "token")).alias("token")).join(asked.select(F.col("query_id").alias("id"), "q"), "id")
-    words = docs_of(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    return words.join(rare, "token").where(F.contains("text", F.col("q"))).select(F.col("id").alias("query_id"), F.col("doc_id").alias("id"))
+    """Documents that hold a question's text, found by that of its tokens which the fewest documents have, and then in full.
+
+    A word at either end may go on in the document, so inner tokens come first
+    where there are any.  Texts are read again for the candidates alone.
+    """
+    docs, asked = docs_of(spark, sf_dir), questions_of(spark, sf_dir)
+    inner = T.tokens(F.regexp_replace("text", "^[A-Za-z0-9_]+|[A-Za-z0-9_]+$", ""))
+    terms = asked.select("query_id", F.explode(F.array_distinct(F.when(F.size(inner) > 0, inner).otherwise(T.tokens(F.col("text"))))).alias("token"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    rare = terms.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    near = words.join(rare, "token").select("query_id", "doc_id")
+    found = near.join(docs.select("doc_id", "text"), "doc_id").join(asked.withColumnRenamed("text", "q"), "query_id")
+    return found.where(F.contains("text", F.col("q"))).select("query_id", F.col("doc_id").alias("id")).distinct()
 
 
 TOKENS = "list_transform(list_filter(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda w: length(w) > 1 or regexp_full_match(w, '[0-9]')), lambda w: lower(w))"
