@@ -12,6 +12,7 @@ from textloom.operators import answers as A
 from textloom.operators import chunking as C
 from textloom.operators import collections as M
 from textloom.operators import search as S
+from textloom.plans import ingest
 from textloom.sources import files
 
 
@@ -195,3 +196,47 @@ def test_streaming_ingest(spark, tmp_path):
         q.stop()
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_evidence_report_and_outcome(spark):
+    named = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "gamma")], "query_id int, question string")
+    found = A.evidence(spark.createDataFrame([(1, 1, "a", "alpha beta stand here"), (2, 1, "b", "nothing of the kind")], "query_id int, block int, id string, text string"), named)
+    rows = {r.query_id: r for r in A.report(found, named).collect()}
+    assert (rows[1].max_matched, rows[1].best_matched, rows[1].required, rows[1].gate_pass, rows[1].sentences) == (2, 2, 0.08, True, 1)
+    assert (rows[2].max_matched, rows[2].required, rows[2].gate_pass) == (0, 0.15, False)
+    assert (rows[3].best_score, rows[3].sentences, rows[3].gate_pass) == (0.0, 0, False)
+    answers = spark.createDataFrame([(1, " fine "), (2, " "), (3, "x"), (4, T.REFUSALS[1]), (5, None)], "query_id int, answer string")
+    hits = spark.createDataFrame([(1,), (1,), (2,), (4,), (5,)], "query_id int")
+    got = {r.query_id: (r.answer, r.refused, r.reason) for r in A.outcome(answers, hits).collect()}
+    assert got == {1: ("fine", False, None), 2: (T.REFUSALS[0], True, "empty_output"), 3: (T.REFUSALS[0], True, "no_retrieval"), 4: (T.REFUSALS[1], True, "model_refused"), 5: (T.REFUSALS[0], True, "empty_output")}
+
+
+def test_answer_metrics(spark):
+    cases = spark.createDataFrame([(1, "a.md", ["5天", "Paid"], False), (2, "", [], True), (3, "b.md", ["zzz"], False)], "query_id int, gold_source string, gold_keywords array<string>, expect_refusal boolean")
+    blocks = spark.createDataFrame([(1, 1, "5 天"), (1, 2, "PAID 5 天"), (3, 1, None)], "query_id int, block int, text string")
+    assert {r.query_id: (r.answer_rank, r.answer_rr) for r in A.answer_hits(blocks, cases).collect()} == {1: (2, 0.5), 2: (0, 0.0), 3: (0, 0.0)}
+    answers = spark.createDataFrame([(1, "15天", False), (2, "-", True), (3, None, True)], "query_id int, answer string, refused boolean")
+    cited = spark.createDataFrame([(1, "a.md"), (1, "a.md"), (3, "a.md")], "query_id int, source string")
+    assert tuple(A.answer_summary(A.answer_cases(answers, cited, cases)).first()) == (0.5, 0.5, 1.0)
+
+
+def test_document_chunks(spark):
+    units = spark.createDataFrame([("d", 1, "first page " * 4, "s"), ("d", 2, "  ", "s"), ("d", 3, "third page " * 4, "s"), ("d", 4, "*** *** *** *** ***", "s"), ("e", 1, None, "s")], "doc_id string, page int, text string, source string")
+    rows = ingest.chunks_of(units, 60, 0).orderBy("chunk_index").collect()
+    assert [(r.doc_id, r.chunk_index, r.page) for r in rows] == [("d", 0, 1), ("d", 1, 3)]
+    assert len({r.chunk_id for r in rows}) == 2
+
+
+def test_page_gaps(spark):
+    pages = spark.createDataFrame([("d", 1, 0, 5), ("d", 2, 7, 9)], "doc_id string, page int, begin long, end long")
+    at = spark.createDataFrame([("d", n) for n in (0, 4, 5, 7, 7, 20)] + [("e", 3)], "doc_id string, at long")
+    assert sorted(tuple(r) for r in M.page_lookup(at, pages).collect()) == [("d", 0, 1), ("d", 4, 1), ("d", 5, 2), ("d", 7, 2), ("d", 7, 2), ("d", 20, 2), ("e", 3, 1)]
+
+
+def test_collection_versions(spark, tmp_path):
+    assert M.scan(spark, str(tmp_path), "c") is None
+    M.write(spark.createDataFrame([("a", 1), ("b", 1)], "chunk_id string, v int"), str(tmp_path), "c")
+    M.write(spark.createDataFrame([("b", 2), ("c", 2), ("c", 2)], "chunk_id string, v int"), str(tmp_path), "c")
+    assert sorted(tuple(r) for r in M.scan(spark, str(tmp_path), "c").collect()) == [("a", 1), ("b", 2), ("c", 2)]
+    assert M.scan(spark, str(tmp_path), "c", 1).count() == 1
+    assert M.versions(spark, str(tmp_path), "c") == ["v00000000", "v00000001"]

@@ -22,7 +22,7 @@ def evidence(blocks: DataFrame, questions: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     asked = questions.select("query_id", T.content_terms(T.tokens(F.col("question"))).alias("terms"), T.phrases(F.col("question"), (2, 3, 4), 30, False).alias("phrases"), T.numbers(F.col("question")).alias("numbers"))
     asked = term_weights(blocks.withColumn("tokens", T.tokens(text)), "query_id", "tokens", asked)
-    rows = blocks.select("query_id", "block", "id", F.posexplode(T.sentences(text)).alias("at", "sentence")).where(T.effective_length(F.col("sentence")) >= 4)
+    rows = blocks.select("query_id", "block", "id", F.posexplode_outer(T.sentences(text)).alias("at", "sentence")).where(T.effective_length(F.col("sentence")) >= 4)  # none for null
     rows = rows.withColumn("tokens", F.array_distinct(T.tokens(F.col("sentence")))).join(asked, "query_id")
     has = lambda t: F.array_contains("tokens", t)
     s = F.col("sentence")
@@ -90,3 +90,59 @@ def gate_grid(gates: DataFrame, gold: DataFrame, corroborated: tuple[float, ...]
     rows = gates.join(gold.select("query_id").distinct().withColumn("able", F.lit(True)), "query_id", "left").withColumn("p", pairs).select("*", "p.*")
     ok = ((F.col("corroborated") >= F.col("corroborated_at")) | (F.col("lone") >= F.col("lone_at"))).cast("double")
     return rows.groupBy("corroborated_at", "lone_at").agg(F.coalesce(F.avg(F.when(F.col("able"), ok)), F.lit(0.0)).alias("answerable_pass"), F.coalesce(F.avg(F.when(F.col("able").isNull(), ok)), F.lit(0.0)).alias("refusal_pass"))
+
+
+def report(found: DataFrame, questions: DataFrame) -> DataFrame:
+    """The gate's evidence per question: best score and its matches, most matches, both branches, the threshold that applied, sentences."""
+    first = F.struct(F.round("score", 9).alias("s"), (-F.col("block")).alias("b"), (-F.col("at")).alias("a"))
+    out = found.groupBy("query_id").agg(F.max_by("matched", first).alias("best_matched"), F.max("matched").alias("max_matched"), F.count("*").alias("sentences"))
+    rows = gate(found, questions).join(out, "query_id", "left").fillna(0, ["best_matched", "max_matched", "sentences"])
+    required = F.when(F.col("corroborated") >= CORROBORATED, CORROBORATED).otherwise(LONE)
+    shown = (F.round(c, 4).alias(f"{c}_score") for c in ("best", "corroborated", "lone"))
+    return rows.select("query_id", *shown, "best_matched", "max_matched", required.alias("required"), F.col("passed").alias("gate_pass"), "sentences")
+
+
+def outcome(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, answer, refused, reason for answers(query_id, answer): no_retrieval without hits, empty_output, model_refused, else null."""
+    got = hits.select("query_id").distinct().withColumn("got", F.lit(True))
+    text = T.strip(F.coalesce("answer", F.lit("")))
+    reason = F.when(F.col("got").isNull(), "no_retrieval").when(text == "", "empty_output").when(T.is_refusal(text), "model_refused")
+    rows = answers.join(got, "query_id", "left").withColumn("reason", reason)
+    return rows.select("query_id", F.when(F.col("reason").isin("no_retrieval", "empty_output"), T.REFUSALS[0]).otherwise(text).alias("answer"), F.col("reason").isNotNull().alias("refused"), "reason")
+
+
+def answer_hits(blocks: DataFrame, cases: DataFrame) -> DataFrame:
+    """query_id, answer_rank, answer_hit, answer_rr: the first block with all keywords of cases(query_id, gold_keywords), white space and case aside."""
+    fold = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s", ""))
+    words = F.filter(F.transform("gold_keywords", fold), lambda w: w != "")
+    rows = cases.select("query_id", words.alias("words")).where(F.size("words") > 0).join(blocks.withColumn("folded", fold(F.col("text"))), "query_id")
+    first = rows.where(F.forall("words", lambda w: F.contains(F.col("folded"), w))).groupBy("query_id").agg(F.min("block").alias("answer_rank"))
+    out = cases.select("query_id").join(first, "query_id", "left")
+    return out.select("query_id", F.coalesce("answer_rank", F.lit(0)).alias("answer_rank"), F.col("answer_rank").isNotNull().alias("answer_hit"), F.coalesce(1 / F.col("answer_rank"), F.lit(0.0)).alias("answer_rr"))
+
+
+def answer_cases(answers: DataFrame, cited: DataFrame, cases: DataFrame) -> DataFrame:
+    """query_id, expect_refusal, citation_hit, keyword_hit, refused for cases(query_id, gold_source, gold_keywords, expect_refusal).
+
+    cited(query_id, source); a citation counts for the single gold source, a
+    keyword if any of them stands in the answer as it is.
+    """
+    right = cited.join(cases.select("query_id", "gold_source"), "query_id").where("gold_source <> '' and source = gold_source").select("query_id").distinct().withColumn("right", F.lit(True))
+    rows = cases.join(answers.select("query_id", "answer", "refused"), "query_id", "left").join(right, "query_id", "left")
+    word = F.exists("gold_keywords", lambda w: F.contains(F.coalesce("answer", F.lit("")), w))
+    return rows.select("query_id", "expect_refusal", F.col("right").isNotNull().alias("citation_hit"), F.coalesce(word, F.lit(False)).alias("keyword_hit"), F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+def answer_summary(rows: DataFrame) -> DataFrame:
+    """Citation accuracy and keyword hit rate of answerable cases, refusal accuracy of the others; 0 for none."""
+    mean = lambda c, keep: F.coalesce(F.avg(F.when(keep, F.col(c).cast("double"))), F.lit(0.0)).alias
+    able = ~F.col("expect_refusal")
+    return rows.agg(mean("citation_hit", able)("citation_accuracy"), mean("keyword_hit", able)("keyword_hit_rate"), mean("refused", ~able)("refusal_accuracy"))
+
+
+def separation(scores: DataFrame) -> DataFrame:
+    """min, mean and max of scores(able, score) for answerable and other cases, and the gap between them (0 stands in for a missing class)."""
+    of = lambda f, able: f(F.when(F.col("able") == able, F.col("score")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    shown = [zero(of(f, able)).alias(f"{name}_{f.__name__}") for name, able in (("answerable", True), ("refusal", False)) for f in (F.min, F.avg, F.max)]
+    return scores.agg(*shown, (zero(of(F.min, True)) - zero(of(F.max, False))).alias("gap"))

@@ -28,10 +28,17 @@ def pages_of(units: DataFrame) -> DataFrame:
 
 
 def page_lookup(offsets: DataFrame, pages: DataFrame) -> DataFrame:
-    """offsets(doc_id, at) with the page that holds it; in no page the last one, without pages 1."""
+    """offsets(doc_id, at, ...) with the page that holds `at`; in no page the last one, without pages 1.
+
+    The last page that begins at or before `at` comes from one sort of offsets
+    and pages together, not from pairs of them.
+    """
     last = pages.groupBy("doc_id").agg(F.max_by("page", "begin").alias("last"))
-    hit = offsets.join(pages, "doc_id").where("at >= begin and at < end").select("doc_id", "at", "page")
-    return offsets.join(hit, ["doc_id", "at"], "left").join(last, "doc_id", "left").select("doc_id", "at", F.coalesce("page", "last", F.lit(1)).alias("page"))
+    begins = pages.select("doc_id", F.col("begin").alias("at"), F.struct("page", "end").alias("p"), F.lit(0).alias("kind"))
+    rows = offsets.withColumn("kind", F.lit(1)).unionByName(begins, allowMissingColumns=True)
+    by = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("p", F.last("p", ignorenulls=True).over(by)).where("kind = 1").join(last, "doc_id", "left")
+    return rows.select(*offsets.columns, F.coalesce(F.when(F.col("at") < F.col("p.end"), F.col("p.page")), "last", F.lit(1)).alias("page"))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -96,3 +103,66 @@ def where_equal(**values) -> Column:
     for name, value in values.items():
         out = out & (F.col(name) == F.lit(value))
     return out
+
+
+def context(blocks: DataFrame) -> DataFrame:
+    """query_id, context: the question's blocks(query_id, block, source, page, text), numbered, with source and page where there are any."""
+    page = F.when(F.col("page").isNotNull(), F.concat(F.lit(" | 第 "), F.col("page").cast("string"), F.lit(" 页"))).otherwise(F.lit(""))
+    line = F.concat(F.lit("["), F.col("block").cast("string"), F.lit("] 来源："), F.coalesce("source", F.lit("未知来源")), page, F.lit("\n"), T.strip(F.coalesce("text", F.lit(""))))
+    rows = blocks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("block", line.alias("line")))).alias("rows"))  # top k blocks
+    return rows.select("query_id", F.array_join(F.col("rows.line"), "\n\n").alias("context"))
+
+
+def session_stats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Sessions and turns in all; blank and null sessions are stateless and don't count."""
+    return turns.where(F.length(F.trim(F.col(key).cast("string"))) > 0).agg(F.countDistinct(key).alias("sessions"), F.count("*").alias("turns"))
+
+
+def ingest_totals(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row for units(doc_id, text, error) and their chunks: documents, failed units, characters, chunks."""
+    good = F.col("error").isNull()
+    read = units.agg(F.countDistinct(F.when(good, F.col("doc_id"))).alias("documents"), F.count(F.when(~good, 1)).alias("failed"), F.coalesce(F.sum(F.when(good, F.length("text"))), F.lit(0)).alias("chars"))
+    return read.crossJoin(F.broadcast(chunks.agg(F.count("*").alias("chunks"))))  # one row each
+
+
+#: How an invalid rewrite of a question starts.
+STOCK = ("改写", "好的", "根据")
+
+
+def rewritten_or(question: Column, rewritten: Column) -> Column:
+    """The rewritten question if it has 2 to 200 characters and no stock start, else the question."""
+    t = T.strip(F.coalesce(rewritten, F.lit("")))
+    bad = ~F.length(t).between(2, 200)
+    for start in STOCK:
+        bad = bad | F.startswith(t, F.lit(start))
+    return F.when(bad, question).otherwise(t)
+
+
+def write(rows: DataFrame, root: str, name: str, key: str = "chunk_id", version: str | None = None) -> None:
+    """Upserts rows into the collection `name` below `root`: the new version is written whole beside the old one, which stays readable."""
+    spark = rows.sparkSession
+    old = versions(spark, root, name)
+    if rows.columns and key not in rows.columns:
+        raise ValueError(f"rows need the column {key}")
+    if old:
+        rows = spark.read.parquet(f"{root}/{name}/{old[-1]}").join(rows.select(key), key, "left_anti").unionByName(rows.dropDuplicates([key]), allowMissingColumns=True)
+    else:
+        rows = rows.dropDuplicates([key])
+    rows.write.parquet(f"{root}/{name}/v{len(old):08d}")
+
+
+def versions(spark, root: str, name: str) -> list[str]:
+    """The complete versions of a collection, old to new; none for a collection that doesn't exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/v*/_SUCCESS")) or []
+    return sorted(f.getPath().getParent().getName() for f in found)
+
+
+def scan(spark, root: str, name: str, limit: int | None = None) -> DataFrame | None:
+    """The newest version of a collection, or None without one."""
+    held = versions(spark, root, name)
+    if not held:
+        return None
+    rows = spark.read.parquet(f"{root}/{name}/{held[-1]}")
+    return rows if limit is None else rows.limit(limit)

@@ -33,11 +33,14 @@ class Index:
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     """A document without tokens counts with one placeholder."""
-    tokens = docs.select(F.col(key).alias("id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    tokens = tokens.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(""))))
-    postings = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    raw = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))  # one row
+    own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("id")  # texts are no larger than their postings, which then need no shuffle to be counted
+    tokens = own.select("id", T.tokens(F.col("text")).alias("tokens"))
+    # explode_outer: explode would add a filter on the array, which evaluates the tokens again
+    posted = tokens.select("id", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"), F.explode_outer("tokens").alias("token"))
+    postings = posted.groupBy("id", "dl", F.coalesce("token", F.lit("")).alias("token")).agg(F.count("*").alias("tf"))
+    rows = docs.agg(F.count("*").alias("n"))
+    corpus = postings.agg(F.sum("tf").alias("words")).crossJoin(F.broadcast(rows)).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row
+    raw = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(rows))  # one row
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
     terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
@@ -58,12 +61,17 @@ def bm25(questions: DataFrame, held: Index, k: int = 20) -> DataFrame:
     return top(scored, "query_id", "score", "id", k).where("score > 0")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
 def gram_weights(c: Column) -> Column:
-    """array<struct<gram, w>>: letters (1), words of two characters and more (2); of CJK runs characters (1), pairs (2) and triples (1.5)."""
+    """array<struct<gram, w>>: letters (1, counted), words of two characters and more (2); of CJK runs characters (1), pairs (2) and triples (1.5)."""
     low = F.lower(F.coalesce(c, F.lit("")))
     words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
     one = lambda g, w: F.struct(g.alias("gram"), F.lit(w).alias("w"))
-    latin = F.concat(F.flatten(F.transform(words, lambda s: F.transform(F.split(s, ""), lambda g: one(g, 1.0)))), F.transform(F.filter(words, lambda s: F.length(s) > 1), lambda g: one(g, 2.0)))
+    count = lambda g: (F.length(low) - F.length(F.replace(low, F.lit(g)))).cast("double")
+    letters = F.filter(F.array(*(F.struct(F.lit(g).alias("gram"), count(g).alias("w")) for g in LETTERS)), lambda r: r["w"] > 0)
+    latin = F.concat(letters, F.transform(F.filter(words, lambda s: F.length(s) > 1), lambda g: one(g, 2.0)))
     runs = F.regexp_extract_all(low, F.lit(f"({T.CJK}+)"), F.lit(1))
     of = lambda n, w: F.flatten(F.transform(runs, lambda s: F.transform(F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: one(F.substr(s, i, F.lit(n)), w))))
     return F.concat(latin, of(1, 1.0), of(2, 2.0), of(3, 1.5))
@@ -71,12 +79,13 @@ def gram_weights(c: Column) -> Column:
 
 def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
     """id, bucket, value: signed feature hashing (MD5) of 1 + ln(weight), of unit length."""
-    grams = docs.select(F.col(key).alias("id"), F.explode(gram_weights(F.col(text))).alias("g")).groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
+    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")  # texts are smaller than their grams, and no later step shuffles
+    grams = own.select("id", F.explode_outer(gram_weights(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
     h = F.md5("gram")
     sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % 2 == 1, 1.0).otherwise(-1.0)
     sums = grams.select("id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("bucket"), (sign * (1 + F.log("w"))).alias("v")).groupBy("id", "bucket").agg(F.sum("v").alias("v")).where("abs(v) > 1e-9")
-    norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, "id").select("id", "bucket", (F.col("v") / F.col("norm")).alias("value"))
+    whole = sums.groupBy("id").agg(F.collect_list(F.struct("bucket", "v")).alias("b"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))  # `dim` buckets at most
+    return whole.select("id", "norm", F.explode("b").alias("b")).select("id", "b.bucket", (F.col("b.v") / F.col("norm")).alias("value"))
 
 
 #: Questions whose vectors are sent to the executors at once, and rows that one matrix product takes.
@@ -225,7 +234,7 @@ def weights() -> Column:
 def term_weights(candidates: DataFrame, group: str, tokens: str, asked: DataFrame) -> DataFrame:
     """asked(group, terms) with weights array<struct<term, w>>: ln((1 + n) / (1 + df)) + 1 over the group's own candidates."""
     rows = candidates.groupBy(group).agg(F.count("*").alias("n"))
-    df = candidates.select(group, F.explode(F.array_distinct(tokens)).alias("term")).groupBy(group, "term").agg(F.count("*").alias("df"))
+    df = candidates.select(group, F.explode_outer(F.array_distinct(tokens)).alias("term")).where("term is not null").groupBy(group, "term").agg(F.count("*").alias("df"))
     each = asked.select(group, F.explode("terms").alias("term")).join(rows, group).join(df, [group, "term"], "left")
     weight = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1
     each = each.groupBy(group).agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("weights"))  # one question's terms
@@ -252,8 +261,11 @@ def rerank(fused: DataFrame, docs: DataFrame, questions: DataFrame, ideal: int =
 
 
 def drop_similar(hits: DataFrame, most: float = 0.85, threshold: float = 0.0, k: int = 5) -> DataFrame:
-    """Greedy near-duplicate removal in rank order (at most 2 x fetch rows of a question), then threshold and cut."""
+    """Greedy near-duplicate removal in rank order (at most 2 x fetch rows of a question), then threshold and cut.
+
+    Scores fall with the rank, so the fold ends at k kept rows.
+    """
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "tokens"))).alias("rows"))
-    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda a, r: F.when(F.exists(a, lambda o: T.jaccard(o["tokens"], r["tokens"]) > most), a).otherwise(F.concat(a, F.array(r))))
+    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda a, r: F.when((F.size(a) >= k) | F.exists(a, lambda o: T.jaccard(o["tokens"], r["tokens"]) > most), a).otherwise(F.concat(a, F.array(r))))
     left = rows.select("query_id", F.posexplode(F.filter(kept, lambda r: r["score"] >= threshold) if threshold > 0 else kept).alias("at", "r")).where(F.col("at") < k)
     return left.select("query_id", (F.col("at") + 1).alias("rank"), "r.id", "r.score")

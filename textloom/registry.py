@@ -12,7 +12,7 @@ from .operators import answers as A
 from .operators import chunking as C
 from .operators import collections as M
 from .operators import search as S
-from .plans import qa
+from .plans import ingest, qa
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -47,7 +47,7 @@ def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = docs_of(spark, sf_dir), questions_of(spark, sf_dir)
     inner = T.tokens(F.regexp_replace("text", "^[A-Za-z0-9_]+|[A-Za-z0-9_]+$", ""))
     terms = asked.select("query_id", F.explode(F.array_distinct(F.when(F.size(inner) > 0, inner).otherwise(T.tokens(F.col("text"))))).alias("token"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
+    words = docs.select("doc_id", F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
     df = words.groupBy("token").agg(F.count("*").alias("df"))
     rare = terms.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
     near = words.join(rare, "token").select("query_id", "doc_id")
@@ -115,7 +115,7 @@ def numbers(spark, sf_dir):
 
 @query()
 def sentence_split(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
+    return docs_of(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("at", "sentence")).where("sentence is not null")
 
 
 @query("WITH p AS (SELECT item_id, unnest([2, 3, 4, 6]) AS n, text FROM benchmark), g AS (SELECT item_id, n, unnest(range(1, length(text) - n + 2)) AS i, text FROM p), s AS (SELECT item_id, n, i, substr(text, i, n) AS s FROM g), d AS (SELECT item_id, s, min((n, i)) AS o FROM s WHERE trim(s, E' \\n\\t') <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o) AS k FROM d) SELECT item_id, string_agg(s, '|' ORDER BY k) AS phrases FROM r WHERE k <= 40 GROUP BY item_id")
@@ -234,7 +234,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, gram, w FROM dgrams")
 def ngram_weights(spark, sf_dir):
-    return docs_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(S.gram_weights(F.col("text"))).alias("g")).groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
+    return docs_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode_outer(S.gram_weights(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
 
 
 @query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, bucket, round(value, 6) AS value FROM dvec")
@@ -351,6 +351,83 @@ def eval_ablation(spark, sf_dir):
     return out
 
 
+@query()
+def document_chunks(spark, sf_dir):
+    """Conversations as documents of one page a turn."""
+    units = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text", F.col("role").alias("source"))
+    return ingest.chunks_of(units, near=0.9)
+
+
+@query(f"WITH {_WINDOWS}, u AS (SELECT doc_id, text, trim(coalesce(text, ''), E' \\t\\n\\r') <> '' AS good FROM documents) SELECT count(DISTINCT CASE WHEN good THEN doc_id END) AS documents, count(CASE WHEN NOT good THEN 1 END) AS failed, coalesce(sum(CASE WHEN good THEN length(text) END), 0)::BIGINT AS chars, (SELECT count(*) FROM chunks) AS chunks FROM u")
+def ingest_totals(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    blank = T.strip(F.coalesce("text", F.lit(""))) == ""
+    return M.ingest_totals(docs.withColumn("error", F.when(blank, "empty document")), M.windows(docs))
+
+
+@query(f"WITH {_BM25.strip()} SELECT query_id, string_agg('[' || rank || '] 来源：' || coalesce(source, '未知来源') || E'\\n' || trim(coalesce(text, ''), E' \\t\\n\\r'), E'\\n\\n' ORDER BY rank) AS context FROM bm25 JOIN documents ON doc_id = id WHERE rank <= 5 GROUP BY query_id")
+def context_format(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    hits = S.bm25(questions_of(spark, sf_dir), S.index(docs), 5)
+    found = hits.join(docs.select(F.col("doc_id").alias("id"), "source", "text"), "id")
+    return M.context(found.select("query_id", F.col("rank").alias("block"), "source", F.lit(None).cast("int").alias("page"), "text"))
+
+
+@query("SELECT count(DISTINCT conv_id) AS sessions, count(*) AS turns FROM conversations WHERE conv_id IS NOT NULL")
+def session_stats(spark, sf_dir):
+    return M.session_stats(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(t) BETWEEN 2 AND 200 AND NOT starts_with(t, '改写') AND NOT starts_with(t, '好的') AND NOT starts_with(t, '根据') THEN t ELSE role END AS question FROM (SELECT *, trim(coalesce(text, ''), E' \\t\\n\\r') AS t FROM conversations)")
+def rewrite_validation(spark, sf_dir):
+    """Each turn as a rewrite of its role's name."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.rewritten_or(F.col("role"), F.col("text")).alias("question"))
+
+
+@query()
+def evidence_report(spark, sf_dir):
+    scored, named, _ = _scored(spark, sf_dir)
+    return A.report(scored, named)
+
+
+@query()
+def answer_outcome(spark, sf_dir):
+    scored, named, found = _scored(spark, sf_dir)
+    return A.outcome(A.answer(scored, A.gate(scored, named)), found)
+
+
+_FOLD = "lower(regexp_replace({0}, '\\s', '', 'g'))"
+
+
+@query(f"WITH {_BM25.strip()}, f AS (SELECT query_id, min(rank) AS r FROM bm25 JOIN documents d ON d.doc_id = id JOIN benchmark b ON item_id = query_id WHERE rank <= 5 AND {_FOLD.format('b.text')} <> '' AND contains({_FOLD.format('d.text')}, {_FOLD.format('b.text')}) GROUP BY 1) SELECT item_id AS query_id, coalesce(r, 0) AS answer_rank, r IS NOT NULL AS answer_hit, round(coalesce(1 / r, 0)::DOUBLE, 6) AS answer_rr FROM benchmark LEFT JOIN f ON query_id = item_id")
+def eval_answer_hits(spark, sf_dir):
+    """Whether one of the top five documents holds the question's whole text."""
+    docs, asked = docs_of(spark, sf_dir), questions_of(spark, sf_dir)
+    out = A.answer_hits(qa.blocks(S.bm25(asked, S.index(docs), 5), docs), asked.select("query_id", F.array("text").alias("gold_keywords")))
+    return out.select("query_id", F.col("answer_rank").cast("long").alias("answer_rank"), "answer_hit", F.round("answer_rr", 6).alias("answer_rr"))
+
+
+@query(_CASES + ", b AS (SELECT query_id, max(score) AS score FROM bm25 GROUP BY 1), s AS (SELECT gold > 0 AS able, coalesce(score, 0) AS score FROM cases LEFT JOIN b USING (query_id)) SELECT round(coalesce(min(score) FILTER (able), 0), 6) AS answerable_min, round(coalesce(avg(score) FILTER (able), 0), 6) AS answerable_avg, round(coalesce(max(score) FILTER (able), 0), 6) AS answerable_max, round(coalesce(min(score) FILTER (NOT able), 0), 6) AS refusal_min, round(coalesce(avg(score) FILTER (NOT able), 0), 6) AS refusal_avg, round(coalesce(max(score) FILTER (NOT able), 0), 6) AS refusal_max, round(coalesce(min(score) FILTER (able), 0) - coalesce(max(score) FILTER (NOT able), 0), 6) AS gap FROM s")
+def score_separation(spark, sf_dir):
+    """How far the best BM25 scores of questions with and without gold documents are apart."""
+    asked = questions_of(spark, sf_dir)
+    best = S.bm25(asked, S.index(docs_of(spark, sf_dir)), 1).select("query_id", "score")
+    able = gold_of(spark, sf_dir).select("query_id").distinct().withColumn("able", F.lit(True))
+    out = A.separation(asked.select("query_id").join(best, "query_id", "left").join(able, "query_id", "left").fillna({"score": 0.0, "able": False}))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query()
+def eval_answers(spark, sf_dir):
+    """Citation accuracy, keyword hits and refusals; the gold source is the smallest gold document, the keyword the question itself."""
+    scored, named, found = _scored(spark, sf_dir)
+    answers = A.answer(scored, A.gate(scored, named))
+    gold = gold_of(spark, sf_dir).groupBy("query_id").agg(F.min("id").cast("string").alias("gold_source"))
+    cases = named.join(gold, "query_id", "left").select("query_id", F.coalesce("gold_source", F.lit("")).alias("gold_source"), F.array("question").alias("gold_keywords"), F.col("gold_source").isNull().alias("expect_refusal"))
+    cited = A.citations(answers, found).select("query_id", F.col("id").cast("string").alias("source"))
+    return A.answer_summary(A.answer_cases(answers, cited, cases))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _QUERIES.items()}
 
