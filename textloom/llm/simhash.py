@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,11 +131,12 @@ def near_groups(docs: DataFrame, width: int = 3, most: int = 2, segments: int =
 #: The wide fingerprint: bits of a segment, segments on its ring, segments that are keys, and most differing bits.
 #: 40 of 252 bits is the expected distance of two sets of shingles with a Jaccard similarity of 0.8 (38), and one standard deviation of a third.
 SEGMENT, RING, KEYED, MOST = 28, 9, 6, 40
+#: Least Jaccard similarity of the five-word shingles of two near copies.
+JACCARD = 0.8
 
 
 def _wide(hashes: np.ndarray) -> np.ndarray:
     """RING segments of SEGMENT majority bits over a document's distinct shingles."""
-    hashes = np.unique(hashes)
     bits = []
     for k in range(-(-RING * SEGMENT // 64)):
         total = np.zeros(64, np.int64)
@@ -146,22 +148,43 @@ def _wide(hashes: np.ndarray) -> np.ndarray:
     return rows @ (1 << np.arange(SEGMENT, dtype=np.int64))
 
 
+def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct hashes of its `width`-word shingles) of every row with words."""
+    low = LOWER[data]
+    starts, ends, first = words(low, offs)
+    hashes = word_hashes(low, starts, ends)
+    for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
+        if a < b:
+            at = np.arange(a, max(b - width, a) + 1)
+            yield i, np.unique(range_hashes(hashes, at, np.minimum(at + width, b)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, fp (binary, RING 4-byte segments) of every document with words, over its `width`-word shingles."""
+    """doc_id, same (a digest of the set) and fp (binary, RING 4-byte segments) of every document with words, over the set of its `width`-word shingles."""
 
     def work(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
-        low = LOWER[data]
-        starts, ends, first = words(low, offs)
-        hashes = word_hashes(low, starts, ends)
-        keep, out = [], []
-        for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
-            if a < b:
-                at = np.arange(a, max(b - width, a) + 1)
-                keep.append(i)
-                out.append(_wide(range_hashes(hashes, at, np.minimum(at + width, b))).astype("<i4").tobytes())
-        return pa.record_batch([rows.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["doc_id", "fp"])
+        keep, same, fps = [], [], []
+        for i, found in _sets(data, offs, width):
+            keep.append(i)
+            same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            fps.append(_wide(found).astype("<i4").tobytes())
+        return pa.record_batch([rows.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(same, pa.binary()), pa.array(fps, pa.binary())], names=["doc_id", "same", "fp"])
 
-    return map_pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, fp binary")
+    return map_pieces(_texts(docs), work, "doc_id long, same binary, fp binary")
+
+
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, shingles (binary, sorted distinct 8-byte hashes) of every document with words."""
+
+    def work(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+        found = [(i, x.tobytes()) for i, x in _sets(data, offs, width)]
+        return pa.record_batch([rows.column("doc_id").take(pa.array([i for i, _ in found], pa.int64())), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "shingles"])
+
+    return map_pieces(_texts(docs), work, "doc_id long, shingles binary")
 
 
 def _segments_of(column: pa.Array) -> np.ndarray:
@@ -197,7 +220,7 @@ def _keys(segments: np.ndarray, table: int) -> np.ndarray:
 
 
 def wide_links(distinct: DataFrame) -> DataFrame:
-    """(u, v): verified links between the ids of `distinct(id, fp)`.
+    """(u, v): candidate links between the ids of `distinct(id, fp)`.
 
     Ids that share a key are candidates.  Each partition links its own ids
     under one key to the first of them and passes on that one, so a key gets a
@@ -250,20 +273,49 @@ def wide_links(distinct: DataFrame) -> DataFrame:
     return own.union(across.select("u", "v", "fu", "fv").mapInArrow(verify, "u long, v long"))
 
 
+def similar(docs: DataFrame, pairs: DataFrame, width: int = 5, least: float = JACCARD) -> DataFrame:
+    """Those of the written `pairs(u, v)` whose sets of shingles have a Jaccard similarity of `least` or more, compared in full."""
+    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wanted")  # its size is known to the join
+    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width), "sets")
+    if sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        sets = written(sets.dropDuplicates(["doc_id", "shingles"]), "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            good = []
+            for a, b in zip(rows.column("a"), rows.column("b"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                if min(len(a), len(b)) < least * max(len(a), len(b)):
+                    good.append(False)
+                    continue
+                merged = np.concatenate([a, b])
+                merged.sort(kind="stable")
+                both = int((merged[1:] == merged[:-1]).sum())
+                good.append(both >= least * (len(merged) - both))
+            yield rows.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        give_back()
+
+    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     """One document of each group of near copies stays, with all its columns: that with the smallest doc_id.
 
-    Documents are linked by wide fingerprints of their five-word shingles that
-    differ in MOST bits or fewer, a Jaccard similarity of about 0.8 or more;
-    equal texts always are.  Documents without words hold nothing to compare
+    Documents are linked where their sets of five-word shingles have a Jaccard
+    similarity of JACCARD or more, and links are closed transitively.
+    Candidates are within MOST bits of their wide fingerprints; each is compared
+    in full before it links.  Documents without words hold nothing to compare
     and all stay, as do rows with a null doc_id.  Of rows with one doc_id and
     equal texts one stays.
     """
-    marked = written(wide_fingerprints(docs.where("doc_id is not null"), width), "wide")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    groups = components(wide_links(distinct))
-    heads = distinct.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("head"))
-    gone = written(marked.join(heads, "fp").where("doc_id <> head").select("doc_id").distinct(), "gone")  # its size is known to the join
+    own = docs.where("doc_id is not null")
+    marked = written(wide_fingerprints(own, width), "wide")
+    distinct = written(marked.groupBy("same").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("same", F.col("x.doc_id").alias("id"), "x.fp"), "distinct")
+    groups = components(similar(own, written(wide_links(distinct.select("id", "fp")).distinct(), "pairs"), width))
+    heads = distinct.join(groups, "id", "left").select("same", F.coalesce("component", "id").alias("head"))
+    gone = written(marked.select("doc_id", "same").join(heads, "same").where("doc_id <> head").select("doc_id").distinct(), "gone")  # its size is known to the join
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # repeated rows: the first of equal (doc_id, text) stays, and only they are compared
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
