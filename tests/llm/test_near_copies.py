@@ -51,3 +51,18 @@ def test_boilerplate_stays(spark):
     rows = [(i, " ".join(shared + some(rng, 75 + i % 4 * 8))) for i in range(300)]
     assert len(brute(rows)) == 300
     assert kept(spark, rows) == {i for i, _ in rows}
+
+
+def test_partner_behind_others(spark):
+    """Copies of each other among many documents with one passage, which share keys with documents they are no copies of."""
+    rng = random.Random(3)
+    shared = some(rng, 304)
+    rows = []
+    for g in range(120):
+        own = some(rng, 130)
+        rows.append((g, " ".join(shared + own)))
+        rows.append((1000 + (g * 37) % 120, " ".join(shared + own[:-30] + some(rng, 30))))
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert len(want) == 120
+    assert kept(spark, rows) == want

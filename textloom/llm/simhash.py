@@ -148,6 +148,12 @@ def _wide(hashes: np.ndarray) -> np.ndarray:
     return rows @ (1 << np.arange(SEGMENT, dtype=np.int64))
 
 
+def _bands(fp: np.ndarray) -> np.ndarray:
+    """KEYED segments and their one-bit neighbours: two documents share one if such a segment differs in two bits or fewer."""
+    flips = np.concatenate([[0], 1 << np.arange(SEGMENT, dtype=np.int64)])
+    return ((np.arange(KEYED)[:, None] << SEGMENT) | (fp[:KEYED, None] ^ flips)).ravel()
+
+
 def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct hashes of its `width`-word shingles) of every row with words."""
     low = LOWER[data]
@@ -164,17 +170,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, same (a digest of the set) and fp (binary, RING 4-byte segments) of every document with words, over the set of its `width`-word shingles."""
+    """doc_id, same (a digest of the set), fp (binary, RING 4-byte segments) and bands of every document with words, over the set of its `width`-word shingles."""
 
     def work(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
-        keep, same, fps = [], [], []
+        keep, same, fps, bands = [], [], [], []
         for i, found in _sets(data, offs, width):
             keep.append(i)
             same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            fps.append(_wide(found).astype("<i4").tobytes())
-        return pa.record_batch([rows.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(same, pa.binary()), pa.array(fps, pa.binary())], names=["doc_id", "same", "fp"])
+            fp = _wide(found)
+            fps.append(fp.astype("<i4").tobytes())
+            bands.append(_bands(fp))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * KEYED * (SEGMENT + 1), pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
+        return pa.record_batch([rows.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(same, pa.binary()), pa.array(fps, pa.binary()), lists], names=["doc_id", "same", "fp", "bands"])
 
-    return map_pieces(_texts(docs), work, "doc_id long, same binary, fp binary")
+    return map_pieces(_texts(docs), work, "doc_id long, same binary, fp binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -213,64 +222,17 @@ def ring_check(a: np.ndarray, b: np.ndarray, most: int = MOST) -> np.ndarray:
     return ok
 
 
-def _keys(segments: np.ndarray, table: int) -> np.ndarray:
-    """Each row's segment number `table` and its one-bit neighbours: two rows share one if it differs in two bits or fewer."""
-    flips = np.concatenate([[0], 1 << np.arange(SEGMENT, dtype=np.int64)])
-    return (table << SEGMENT) | (segments[:, table, None] ^ flips)
-
-
-def wide_links(distinct: DataFrame) -> DataFrame:
-    """(u, v): candidate links between the ids of `distinct(id, fp)`.
-
-    Ids that share a key are candidates.  Each partition links its own ids
-    under one key to the first of them and passes on that one, so a key gets a
-    row from each partition at most, however many documents share it.
-    """
+def near(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the distinct `pairs(u, v)` whose fingerprints differ in MOST bits or fewer."""
 
-    def local(edges: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(b.column("id").to_numpy(), _segments_of(b.column("fp"))) for b in batches if b.num_rows]
-            if not held:
-                return
-            ids, segments = np.concatenate([i for i, _ in held]), np.concatenate([s for _, s in held])
-            for table in range(KEYED):
-                keys = _keys(segments, table)
-                of = np.repeat(np.arange(len(ids)), SEGMENT + 1)
-                keys = keys.ravel()
-                order = np.lexsort((ids[of], keys))
-                keys, of = keys[order], of[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = keys[1:] != keys[:-1]
-                if not edges:
-                    yield pa.record_batch([pa.array(keys[new]), pa.array(ids[of[new]])], names=["key", "id"])
-                    continue
-                lead = of[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                last = np.concatenate([of[:1], of[:-1]])
-                same = of[~new].astype(np.int64) << 32
-                pairs = np.unique(np.concatenate([same | lead[~new], same | last[~new]]))
-                pairs = pairs[(pairs >> 32) != (pairs & 0xFFFFFFFF)]
-                for i in range(0, len(pairs), 1 << 16):
-                    u, v = pairs[i : i + (1 << 16)] >> 32, pairs[i : i + (1 << 16)] & 0xFFFFFFFF
-                    good = ring_check(segments[u], segments[v])
-                    yield pa.record_batch([pa.array(ids[u[good]]), pa.array(ids[v[good]])], names=["u", "v"])
-            give_back()
-
-        return run
-
-    parts = max(1, -(-distinct.count() // 20_000))  # what one task holds
-    distinct = distinct.repartition(parts, "id")
-    own = distinct.mapInArrow(local(True), "u long, v long").where("u <> v")
-    shared = distinct.mapInArrow(local(False), "key long, id long").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")  # one id for each partition at most
-    across = shared.select(F.col("ids")[0].alias("u"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("v")).distinct()
-    fps = distinct.select(F.col("id").alias("u"), F.col("fp").alias("fu"))
-    across = across.join(fps, "u").join(fps.select(F.col("u").alias("v"), F.col("fu").alias("fv")), "v")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if rows.num_rows:
                 yield rows.select(["u", "v"]).filter(pa.array(ring_check(_segments_of(rows.column("fu")), _segments_of(rows.column("fv")))))
 
-    return own.union(across.select("u", "v", "fu", "fv").mapInArrow(verify, "u long, v long"))
+    fps = distinct.select(F.col("id").alias("u"), F.col("fp").alias("fu"))
+    both = pairs.join(fps, "u").join(fps.select(F.col("u").alias("v"), F.col("fu").alias("fv")), "v")
+    return both.select("u", "v", "fu", "fv").mapInArrow(run, "u long, v long")
 
 
 def similar(docs: DataFrame, pairs: DataFrame, width: int = 5, least: float = JACCARD) -> DataFrame:
@@ -300,20 +262,56 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int = 5, least: float = JA
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of one key's ids (u < v) that are in different components and within MOST bits."""
+    for rows in batches:
+        for group in rows.column("members"):
+            ids, heads, fps = group.values.flatten()
+            ids, heads, segments = ids.to_numpy(), heads.to_numpy(), _segments_of(fps)
+            for i in range(len(ids)):
+                other = i + 1 + np.flatnonzero(heads[i + 1 :] != heads[i])
+                other = other[ring_check(np.broadcast_to(segments[i], (len(other), RING)), segments[other])]
+                if len(other):
+                    yield pa.record_batch([pa.array(np.full(len(other), ids[i])), pa.array(ids[other])], names=["u", "v"])
+
+
+def near_copies(docs: DataFrame, distinct: DataFrame, width: int = 5) -> DataFrame:
+    """(id, component) of all ids of `distinct(id, fp, bands)` with a near copy.
+
+    Ids that share a key are candidates: all of them, however many share it.
+    First each is compared with the first of its key and the one before it;
+    what this joins needs no further comparison, so that a large group of
+    copies costs no square.  Of the keys that still hold several components,
+    all pairs across these are compared.
+    """
+    groups = distinct.select("id", F.explode("bands").alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
+    groups = written(groups.groupBy("ids").agg(F.min("key").alias("key")), "groups")  # the same ids under several keys are compared once
+    lines = groups.select(F.explode(F.expr("concat(transform(slice(ids, 2, size(ids)), x -> struct(ids[0] as u, x as v)), transform(sequence(1, size(ids) - 1), i -> struct(ids[i - 1] as u, ids[i] as v)))")).alias("e")).select("e.*").distinct()
+    links = written(similar(docs, written(near(distinct, lines), "pairs"), width), "near")
+    heads = components(links)
+    of = distinct.select("id", "fp").join(heads, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
+    members = groups.where("size(ids) > 2").select("key", F.explode("ids").alias("id")).join(of, "id")
+    rest = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.array_sort(F.collect_list(F.struct("id", "component", "fp"))).alias("members")).where("a <> b")
+    pairs = written(rest.select("members").mapInArrow(_across, "u long, v long").distinct(), "pairs")
+    if not pairs.limit(1).count():
+        return heads
+    return components(links.union(similar(docs, pairs, width)))
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     """One document of each group of near copies stays, with all its columns: that with the smallest doc_id.
 
     Documents are linked where their sets of five-word shingles have a Jaccard
     similarity of JACCARD or more, and links are closed transitively.
-    Candidates are within MOST bits of their wide fingerprints; each is compared
-    in full before it links.  Documents without words hold nothing to compare
-    and all stay, as do rows with a null doc_id.  Of rows with one doc_id and
-    equal texts one stays.
+    Candidates share a key of their wide fingerprints and differ in MOST bits or
+    fewer; each is compared in full before it links.  Documents without
+    words hold nothing to compare and all stay, as do rows with a null doc_id.
+    Of rows with one doc_id and equal texts one stays.
     """
     own = docs.where("doc_id is not null")
     marked = written(wide_fingerprints(own, width), "wide")
-    distinct = written(marked.groupBy("same").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("same", F.col("x.doc_id").alias("id"), "x.fp"), "distinct")
-    groups = components(similar(own, written(wide_links(distinct.select("id", "fp")).distinct(), "pairs"), width))
+    distinct = written(marked.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("x")).select("same", F.col("x.doc_id").alias("id"), "x.fp", "x.bands"), "distinct")
+    groups = near_copies(own, distinct, width)
     heads = distinct.join(groups, "id", "left").select("same", F.coalesce("component", "id").alias("head"))
     gone = written(marked.select("doc_id", "same").join(heads, "same").where("doc_id <> head").select("doc_id").distinct(), "gone")  # its size is known to the join
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
