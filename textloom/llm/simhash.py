@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, give_back, map_pieces, mix, range_hashes, read, word_hashes, words, written
+from .common import LOWER, components, give_back, map_pieces, mix, range_hashes, read, signed, word_hashes, words, written
 
 _LOWER = LOWER.tobytes()
 
@@ -128,11 +128,14 @@ def near_groups(docs: DataFrame, width: int = 3, most: int = 2, segments: int =
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The wide fingerprint: bits of a segment, segments on its ring, segments that are keys, and most differing bits.
-#: 40 of 252 bits is the expected distance of two sets of shingles with a Jaccard similarity of 0.8 (38), and one standard deviation of a third.
-SEGMENT, RING, KEYED, MOST = 28, 9, 6, 40
+#: The wide fingerprint: bits of a segment and segments on its ring.  Two documents at Jaccard 0.8 differ in 38 of its 252 bits on
+#: average (47 where they have five shingles or fewer); MOST is four standard deviations beyond that, and what passes is compared exactly.
+SEGMENT, RING, MOST = 28, 9, 72
 #: Least Jaccard similarity of the five-word shingles of two near copies.
 JACCARD = 0.8
+#: Keys of a document, and least hashes in each: at Jaccard J two documents share none with (1 - J**ROWS)**BANDS, 0.0004 at 0.8.
+BANDS, ROWS = 20, 5
+_FACTORS = np.random.default_rng(20240301).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _wide(hashes: np.ndarray) -> np.ndarray:
@@ -148,10 +151,15 @@ def _wide(hashes: np.ndarray) -> np.ndarray:
     return rows @ (1 << np.arange(SEGMENT, dtype=np.int64))
 
 
-def _bands(fp: np.ndarray) -> np.ndarray:
-    """KEYED segments and their one-bit neighbours: two documents share one if such a segment differs in two bits or fewer."""
-    flips = np.concatenate([[0], 1 << np.arange(SEGMENT, dtype=np.int64)])
-    return ((np.arange(KEYED)[:, None] << SEGMENT) | (fp[:KEYED, None] ^ flips)).ravel()
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of ROWS least hashes (MinHash) over a document's distinct shingles and of the band's number."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (hashes[None, i : i + (1 << 12)] * _FACTORS[:, None]).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + part)
+    return signed(keys)
 
 
 def _sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -177,10 +185,9 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
         for i, found in _sets(data, offs, width):
             keep.append(i)
             same.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            fp = _wide(found)
-            fps.append(fp.astype("<i4").tobytes())
-            bands.append(_bands(fp))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * KEYED * (SEGMENT + 1), pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
+            fps.append(_wide(found).astype("<i4").tobytes())
+            bands.append(_bands(found))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
         return pa.record_batch([rows.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(same, pa.binary()), pa.array(fps, pa.binary()), lists], names=["doc_id", "same", "fp", "bands"])
 
     return map_pieces(_texts(docs), work, "doc_id long, same binary, fp binary, bands array<long>")
@@ -303,8 +310,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
 
     Documents are linked where their sets of five-word shingles have a Jaccard
     similarity of JACCARD or more, and links are closed transitively.
-    Candidates share a key of their wide fingerprints and differ in MOST bits or
-    fewer; each is compared in full before it links.  Documents without
+    Candidates share a MinHash key and are within MOST bits of their wide
+    fingerprints; each is compared in full before it links.  Documents without
     words hold nothing to compare and all stay, as do rows with a null doc_id.
     Of rows with one doc_id and equal texts one stays.
     """
