@@ -50,8 +50,8 @@ _GIVEN = {n: k for k, names in NAMES.items() for n in names}
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆΈΉΊΌ][a-zß-öø-ÿа-яα-ωάέήίόύώ]+"
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-#: A hexadecimal string of 32 digits or more, found by a digit in it with eight more after it.
-SECRET = re.compile(r"[0-9][0-9a-f]{8,}")
+#: A hexadecimal string of 32 digits or more in either case, found by a digit in it with eight more after it.
+SECRET = re.compile(r"[0-9][0-9A-Fa-f]{8,}")
 #: Where numbers may stand, and what they are.
 DIGITS = re.compile(r"[0-9][0-9.() -]{6,}")
 NUMBER = re.compile(
@@ -162,8 +162,9 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> tuple[str, str, str]:
         new = f"{plain[:2]}{_iban_check(plain[:2], body):02d}{body}"
         return _refill(text, new), plain, new
     if kind == "secret":
-        new = letters(text, key, "secret", _HEX)
-        return new, text, new
+        new = letters(text.lower(), key, "secret", _HEX)
+        shown = new.upper() if text.isupper() else "".join(n.upper() if o.isupper() else n for o, n in zip(text, new, strict=True))
+        return shown, text.lower(), new
     if kind in ("name-f", "name-m", "name-"):
         first, _, rest = text.partition(" ")
         if not rest and first not in _GIVEN:  # a title with a family name
@@ -191,7 +192,7 @@ def _ibans(text: str) -> Iterator[tuple[int, int, str]]:
 def _secrets(text: str) -> Iterator[tuple[int, int, str]]:
     for m in SECRET.finditer(text):
         begin, end = m.span()
-        while begin and text[begin - 1] in "0123456789abcdef":
+        while begin and text[begin - 1] in "0123456789abcdefABCDEF":
             begin -= 1
         around = text[max(0, begin - 1) : begin] + text[end : end + 1]
         if 32 <= end - begin and not any(c.isalnum() for c in around):
