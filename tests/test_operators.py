@@ -1,4 +1,5 @@
 import io
+import math
 import time
 import zipfile
 
@@ -12,7 +13,7 @@ from textloom.operators import answers as A
 from textloom.operators import chunking as C
 from textloom.operators import collections as M
 from textloom.operators import search as S
-from textloom.plans import ingest
+from textloom.plans import ingest, qa
 from textloom.sources import files
 
 
@@ -46,9 +47,11 @@ def test_small_functions(spark):
     assert one(spark, "  abcdef ", lambda c: T.truncate(c, 4)) == "abc…"
     assert one(spark, "年a", T.cjk_ratio) == 0.5
     assert one(spark, "..... ..... ..... .....", T.is_noise) is True
-    assert one(spark, "/x/a b?.md", T.safe_filename) == "a b_.md"
+    assert [one(spark, n, T.safe_filename) for n in ("/x/a b?.md", "annual report.pdf", "../../etc/passwd", "年假 v1.md", "a/.", "/", "..")] == ["a_b_.md", "annual_report.pdf", "passwd", "年假_v1.md", "a", "unnamed", ".."]
     assert one(spark, "根据现有资料无法回答该问题。", T.is_refusal) is True
     assert one(spark, "第一句很长很长。短。第二句也很长很长！", T.sentences) == ["第一句很长很长。", "短。第二句也很长很长！"]
+    assert one(spark, "abc!def!A long enough sentence.", T.sentences) == ["abc!def!A long enough sentence."]
+    assert one(spark, "A long enough sentence! ab! c", T.sentences) == ["A long enough sentence!ab!c"]
     assert one(spark, "3.5 and 3.5, 7", T.numbers) == ["3.5", "7"]
 
 
@@ -123,6 +126,109 @@ def test_gate_and_answer(spark):
     assert A.answer(found, gates).first().refused
 
 
+@pytest.mark.parametrize("question", ["？！", "а б в", " "])
+def test_gate_refuses_without_terms(spark, question):
+    gates, found, _ = gate_of(spark, question, "Entirely unrelated sentence stands here.")
+    assert found.first().score == 0.0
+    assert not gates.first().passed
+    out = A.answer(found, gates).first()
+    assert out.refused and out.answer == T.NO_ANSWER
+
+
+def test_rerank_takes_whole_numbers(spark):
+    fused = spark.createDataFrame([(1, i, 0.5, i) for i in (1, 2)], "query_id long, id long, final double, position int")
+    docs = spark.createDataFrame([(1, "leave of 15 days in all"), (2, "leave of 5 days in all.")], "id long, text string")
+    asked = spark.createDataFrame([(1, "leave 5 days")], "query_id long, question string")
+    rows = S.rerank(S.candidates(fused, docs), asked).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r["rank"])] == [2, 1]
+    assert all(r.rerank == round(r.rerank, 4) and r.score == round(r.score, 4) for r in rows)
+
+
+def test_bm25_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 1)
+    monkeypatch.setattr(S, "ROWS", 2)
+    monkeypatch.setattr(S, "PAIRS", 3)
+    texts = {1: "aa bb aa", 2: "bb cc", 3: "", 4: None, 5: "dd dd dd aa", 6: "bb"}
+    asks = {7: "aa dd aa", 8: "cc bb", 9: "zz"}
+    held = S.index(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    got = {(r.query_id, r.id): (round(r.score, 9), r["rank"]) for r in S.bm25(spark.createDataFrame(list(asks.items()), "query_id long, text string"), held, 3).collect()}
+    split = {i: (t or "").split() or [""] for i, t in texts.items()}
+    n, mean = len(split), sum(map(len, split.values())) / len(split)
+    df = {w: sum(w in t for t in split.values()) for t in split.values() for w in t}
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    idf = {w: r if r >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, r in raw.items()}
+    want = {}
+    for q, ask in asks.items():
+        score = {i: sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in ask.split() if w in idf) for i, t in split.items()}
+        order = sorted((i for i in score if score[i] > 0), key=lambda i: (-round(score[i], 9), i))[:3]
+        want |= {(q, i): (round(score[i], 9), at + 1) for at, i in enumerate(order)}
+    assert got == want
+
+
+def test_answer_path(spark):
+    docs = spark.createDataFrame([(1, "Annual leave is 15 days per year for all staff.", "a.md"), (2, "Password length is 12 characters at least.", "b.md"), (3, None, "c.md")], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([(1, "\tannual leave days per year\n"), (2, "quantum chromodynamics lattice"), (3, " \n"), (4, None), (5, "？！")], "query_id long, text string")
+    held = qa.corpus(docs)
+    found = qa.hits(held, asked)
+    kept = qa.ranked(held, asked, found)
+    notes = {r.query_id: (r.note, r.kept) for r in qa.counters(asked, found, kept).collect()}
+    assert notes[3] == notes[4] == ("empty_query", 0)
+    assert notes[5] == ("no_hits", 0)
+    assert notes[1][0] is None
+    done = qa.answer(held, asked)
+    rows = {r.query_id: r for r in done.answers.collect()}
+    assert rows[1].answer.startswith(T.EXTRACTED + "\n- Annual leave is 15 days") and not rows[1].refused
+    assert rows[2].answer == T.NO_ANSWER and rows[2].reason == "model_refused"
+    assert rows[5].reason == "no_retrieval"
+    cited = done.citations.orderBy("query_id", "n").collect()
+    assert (cited[0].query_id, cited[0].n, cited[0].source, cited[0].page) == (1, 1, "a.md", None)
+    assert cited[0].score > 0
+    best = qa.retrieve(held, asked).where("query_id = 1 and rank = 1").first()
+    assert qa.retrieve(held, asked, threshold=best.score + 0.01).where("query_id = 1").count() == 0
+    only = qa.retrieve(held, asked, hybrid=False, where=F.col("source") == "b.md").where("query_id = 1").collect()
+    assert {r.id for r in only} == {2}
+
+
+def test_history(spark):
+    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "assistant", "a" * 201), (1, 3, "user", "q2"), (2, 0, "system", "only")], "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r.history for r in M.history(M.exchanges(turns)).collect()}
+    assert got == {1: "用户：q1\n助手：" + "a" * 200 + "…\n用户：q2\n助手："}
+    none = spark.createDataFrame([(3, 0, None, None)], "conv_id long, turn int, question string, answer string")
+    assert M.history(none).first().history == T.NO_HISTORY
+
+
+def test_evaluation_and_grid(spark, tmp_path):
+    cases = spark.createDataFrame([(1, 1, True, 1.0, 0.2), (2, 0, False, 0.0, 0.0), (3, 0, False, 0.0, 0.0)], "query_id int, gold int, hit boolean, rr double, precision double")
+    ranks = spark.createDataFrame([(1, 2, True, 0.5)], "query_id int, answer_rank int, answer_hit boolean, answer_rr double")
+    answered = spark.createDataFrame([(1, False, True, False, False), (2, True, False, False, True), (3, True, False, False, False)], "query_id int, expect_refusal boolean, citation_hit boolean, keyword_hit boolean, refused boolean")
+    named = spark.createDataFrame([(1, "q"), (2, "r"), (3, " ")], "query_id int, question string")
+    out = A.evaluation(cases, ranks, answered, named)
+    row = out.first()
+    assert (row.cases, row.answerable, row.refusals, row.recall, row.answer_mrr, row.refusal_accuracy, row.errors, row.passed) == (3, 1, 2, 1.0, 0.5, 0.5, 1, False)
+    A.save_reports(out, cases, str(tmp_path))
+    assert "| recall | 1.0 |" in [r.value for r in spark.read.text(f"{tmp_path}/markdown").collect()]
+    assert spark.read.json(f"{tmp_path}/cases").count() == 3
+    gates = spark.createDataFrame([(1, 0.11, 0.0), (2, 0.09, 0.12)], "query_id int, corroborated double, lone double")
+    gold = spark.createDataFrame([(1, 9)], "query_id int, id int")
+    assert tuple(A.first_perfect(A.gate_grid(gates, gold)).first()) == (0.10, 0.13)
+
+
+def test_inline_eval_set_and_collections(spark, tmp_path):
+    rows = files.inline(spark.createDataFrame([(" １２ ", "s"), ("  ", "s")], "text string, source string")).collect()
+    assert [(r.text, r.source_type, r.page) for r in rows] == [("12", "text", 1)]
+    (tmp_path / "e.json").write_text('{"cases": [{"question": "q", "gold_source": "a.md", "gold_keywords": ["k"]}, {"question": "r", "expect_refusal": true}]}', encoding="utf-8")
+    got = [(r.query_id, r.gold_sources, r.gold_keywords, r.expect_refusal) for r in files.eval_set(spark, str(tmp_path / "e.json")).collect()]
+    assert got == [(0, ["a.md"], ["k"], False), (1, [], [], True)]
+    root = str(tmp_path / "c")
+    for name in ("b", "a"):
+        M.write(spark.createDataFrame([("x", 1)], "chunk_id string, v int"), root, name)
+    assert M.collections(spark, root) == ["a", "b"]
+    assert (M.drop(spark, root, "a"), M.drop(spark, root, "a")) == (True, False)
+    assert M.collections(spark, root) == ["b"]
+    old = spark.createDataFrame([(1, "p"), (1, "q"), (2, "r")], "doc_id int, v string")
+    assert tuple(M.removed(old, old.where("doc_id = 1").select("doc_id").distinct()).first()) == (2, 1)
+
+
 def test_citation_fallback(spark):
     answers = spark.createDataFrame([(1, "see [9] and [9]", False), (2, "no", True)], "query_id long, answer string, refused boolean")
     blocks = spark.createDataFrame([(1, i, i * 10, "t") for i in range(1, 6)], "query_id long, block int, id long, text string")
@@ -208,7 +314,7 @@ def test_evidence_report_and_outcome(spark):
     answers = spark.createDataFrame([(1, " fine "), (2, " "), (3, "x"), (4, T.REFUSALS[1]), (5, None)], "query_id int, answer string")
     hits = spark.createDataFrame([(1,), (1,), (2,), (4,), (5,)], "query_id int")
     got = {r.query_id: (r.answer, r.refused, r.reason) for r in A.outcome(answers, hits).collect()}
-    assert got == {1: ("fine", False, None), 2: (T.REFUSALS[0], True, "empty_output"), 3: (T.REFUSALS[0], True, "no_retrieval"), 4: (T.REFUSALS[1], True, "model_refused"), 5: (T.REFUSALS[0], True, "empty_output")}
+    assert got == {1: ("fine", False, None), 2: (T.NO_ANSWER, True, "empty_output"), 3: (T.NO_ANSWER, True, "no_retrieval"), 4: (T.REFUSALS[1], True, "model_refused"), 5: (T.NO_ANSWER, True, "empty_output")}
 
 
 def test_answer_metrics(spark):

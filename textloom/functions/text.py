@@ -12,9 +12,24 @@ from pyspark.sql.types import StringType
 CJK = "[\\u4e00-\\u9fff]"
 
 
+#: White space beyond Java's, letters and digits, and decimal digits.
+SPACE, SOLID, DIGIT = r"[\s\x1c-\x1f]", r"[\p{L}\p{N}]", r"\p{Nd}"
+#: What cleaning replaces after NFKC, in this order.
+CLEANING = (
+    ("[\\u200b-\\u200f\\u202a-\\u202e\\ufeff\\u00ad]", ""),
+    (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""),
+    (r"\r\n?", "\n"),
+    (r"([A-Za-z])-\n([a-z])", "$1$2"),
+    (r"(?Umd)^[^\w\x{4e00}-\x{9fff}]\s*$", ""),
+    ("[ \\t\\u3000]{2,}", " "),
+    (r"\n{3,}", "\n\n"),
+    (r"(?Umd)^[^\S\n]+|[^\S\n]+$", ""),
+)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 @F.pandas_udf(StringType())
@@ -30,16 +45,7 @@ def normalize(c: Column) -> Column:
     one blank line, no blanks at line ends.
     """
     t = _nfkc(F.coalesce(c, F.lit("")))
-    for pattern, new in (
-        ("[\\u200b-\\u200f\\u202a-\\u202e\\ufeff\\u00ad]", ""),
-        (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""),
-        (r"\r\n?", "\n"),
-        (r"([A-Za-z])-\n([a-z])", "$1$2"),
-        (r"(?Umd)^[^\w\x{4e00}-\x{9fff}]\s*$", ""),
-        ("[ \\t\\u3000]{2,}", " "),
-        (r"\n{3,}", "\n\n"),
-        (r"(?Umd)^[^\S\n]+|[^\S\n]+$", ""),
-    ):
+    for pattern, new in CLEANING:
         t = F.regexp_replace(t, pattern, new)
     return strip(t)
 
@@ -75,16 +81,17 @@ def truncate(c: Column, n: int, suffix: str = "…") -> Column:
 
 
 def effective_length(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"(?U)[\s\W_]", ""))
+    """How many letters and digits there are."""
+    return F.length(F.regexp_replace(c, f"[^{SOLID[1:]}", ""))
 
 
 def sentences(c: Column) -> Column:
-    """Parts between sentence marks (kept) and line breaks, stripped; parts of under 6 effective characters join the next, a last one the one before."""
+    """Parts between sentence marks (kept) and line breaks, stripped; parts of under 6 letters and digits join the next longer one, at the end the one before."""
     parts = F.filter(F.transform(F.split(c, r"(?<=[。！？；!?;])|\n+"), strip), lambda s: s != "")
     held = F.aggregate(
         parts,
         F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")),
-        lambda a, s: F.when(effective_length(F.concat(a["open"], s)) < 6, F.struct(a["done"].alias("done"), F.concat(a["open"], s).alias("open"))).otherwise(F.struct(F.concat(a["done"], F.array(F.concat(a["open"], s))).alias("done"), F.lit("").alias("open"))),
+        lambda a, s: F.when(effective_length(s) < 6, F.struct(a["done"].alias("done"), F.concat(a["open"], s).alias("open"))).otherwise(F.struct(F.concat(a["done"], F.array(F.concat(a["open"], s))).alias("done"), F.lit("").alias("open"))),
     )
     done, rest = held["done"], held["open"]
     joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), rest)))
@@ -99,7 +106,8 @@ def phrases(c: Column, lengths: tuple[int, ...], most: int, distinct: bool) -> C
 
 
 def numbers(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)))
+    """Distinct whole numbers with their decimals, as they stand in the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"({DIGIT}+(?:\.{DIGIT}+)?)"), F.lit(1)))
 
 
 def content_terms(tokens_: Column) -> Column:
@@ -114,12 +122,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def safe_filename(c: Column) -> Column:
-    name = F.left(F.regexp_replace(F.regexp_extract(c, r"([^/\\]*)$", 1), f"(?U)[^\\w{CJK[1:-1]}.\\- ]", "_"), F.lit(120))
+    """The last part of a path, `_` for all but letters, digits, `_`, `.` and `-`; `unnamed` if nothing is left."""
+    name = F.regexp_extract(F.regexp_replace(c, r"(/+\.?)+$", ""), "([^/]*)$", 1)
+    name = F.left(F.regexp_replace(F.when(name == ".", "").otherwise(name), r"[^\p{L}\p{N}_.\-]", "_"), F.lit(120))
     return F.when(name == "", F.lit("unnamed")).otherwise(name)
 
 
 #: What a refusing answer says near its start.
 REFUSALS = ("根据现有知识库无法回答", "根据现有资料无法回答", "无法根据现有资料")
+#: The whole refusal, the line before an extracted answer, and what stands for no history and no context.
+NO_ANSWER = "根据现有知识库无法回答该问题：没有检索到与该问题相关的文档片段。\n\n可能的原因：\n1. 知识库里还没有入库相关文档 —— 请先在左侧上传文件并点击「入库」；\n2. 问题用词与文档差异过大 —— 换一种更贴近原文的说法，或换个关键词再问；\n3. 文档已入库但切分/检索参数不合适 —— 可尝试调大「检索片段数」。"
+EXTRACTED = "（离线抽取模式·未调用大模型）"
+NO_HISTORY, NO_CONTEXT = "（无历史对话，这是本轮对话的第一个问题）", "（没有检索到任何相关资料）"
 
 
 def is_refusal(c: Column) -> Column:

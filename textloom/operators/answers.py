@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import share_of, term_weights, weights
+from .search import number_share, share_of, term_weights, weights
 
 #: Thresholds of the evidence gate and bounds of an answer.
 CORROBORATED, LONE, TERMS, SENTENCES, PER_BLOCK, CHARS, LINE = 0.08, 0.15, 2, 4, 2, 900, 220
 
 
 def evidence(blocks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Scored sentences of blocks(query_id, block, id, text) for questions(query_id, question).
+    """Scored sentences of blocks(query_id, block, id, text) for questions(query_id, question), stripped.
 
     query_id, block, id, at, sentence, score, key, matched: coverage of the
     question's terms (idf of its own blocks), phrases and numbers; `key` ranks
@@ -27,9 +27,8 @@ def evidence(blocks: DataFrame, questions: DataFrame) -> DataFrame:
     has = lambda t: F.array_contains("tokens", t)
     s = F.col("sentence")
     coverage = share_of(weights(), lambda t: has(t["term"]), lambda t: t["w"])
-    phrase = share_of(F.col("phrases"), lambda p: F.contains(s, p), lambda p: F.length(p).cast("double"), 0.0)
-    number = F.when(F.size("numbers") > 0, share_of(F.col("numbers"), lambda n: F.contains(s, n))).otherwise(F.when(s.rlike("[0-9]"), 0.3).otherwise(0.0))
-    rows = rows.withColumn("score", F.greatest(F.lit(0.0), 0.55 * coverage + 0.25 * phrase + 0.20 * number))
+    phrase = share_of(F.col("phrases"), lambda p: F.contains(s, p), lambda p: F.length(p).cast("double"))
+    rows = rows.withColumn("score", 0.55 * coverage + 0.25 * phrase + 0.20 * number_share(F.col("numbers"), s, 0.3))
     key = F.when(T.effective_length(s) < 8, F.greatest(F.lit(0.0), F.col("score") - 0.5)).otherwise(F.col("score"))
     return rows.select("query_id", "block", "id", "at", "sentence", "score", key.alias("key"), F.size(F.filter("terms", has)).alias("matched"))
 
@@ -54,18 +53,24 @@ def answer(found: DataFrame, gates: DataFrame) -> DataFrame:
     picked = picked.withColumn("used", F.sum(F.length("line")).over(so_far)).where(F.col("used") <= CHARS)  # sums only grow, so the first overflow ends it
     lines = picked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
     out = gates.join(lines, "query_id", "left")
-    text = F.when(F.col("l").isNull(), F.lit(T.REFUSALS[0])).otherwise(F.array_join(F.col("l.line"), "\n"))
+    text = F.when(F.col("l").isNull(), F.lit(T.NO_ANSWER)).otherwise(F.concat(F.lit(T.EXTRACTED + "\n"), F.array_join(F.col("l.line"), "\n")))
     return out.select("query_id", text.alias("answer"), F.col("l").isNull().alias("refused"), F.coalesce(F.array_distinct("l.block"), F.array().cast("array<int>")).alias("cited"))
 
 
 def citations(answers: DataFrame, blocks: DataFrame, fallback: int = 3, most: int = 180) -> DataFrame:
-    """query_id, block, id, snippet, fallback: the blocks that an answer names as [n]; none named: the first ones; refused: none."""
+    """query_id, n, block, id, source, page, score, snippet, fallback: the blocks that an answer names as [n], in its order; none named: the first ones; refused: none.
+
+    blocks(query_id, block, id, text) may have source, page and score.
+    """
+    extra = {"source": F.lit(None).cast("string"), "page": F.lit(None).cast("int"), "score": F.lit(0.0)}
+    blocks = blocks.select("query_id", "block", "id", "text", *(F.col(c) if c in blocks.columns else none.alias(c) for c, none in extra.items()))
     marks = F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[([0-9]{1,2})\]"), F.lit(1)), lambda m: m.cast("int")))
     rows = answers.where("not refused").select("query_id", marks.alias("marks")).join(blocks, "query_id")
-    named = F.array_contains("marks", F.col("block"))
     by = Window.partitionBy("query_id")
-    rows = rows.withColumn("any", F.max(named.cast("int")).over(by))
-    return rows.where(named | ((F.col("any") == 0) & (F.col("block") <= fallback))).select("query_id", "block", "id", T.truncate(F.col("text"), most).alias("snippet"), (F.col("any") == 0).alias("fallback"))
+    place = F.array_position("marks", F.col("block"))
+    rows = rows.withColumn("place", place).withColumn("any", F.max(F.col("place") > 0).over(by)).where((F.col("place") > 0) | (~F.col("any") & (F.col("block") <= fallback)))
+    n = F.row_number().over(by.orderBy("place", "block"))
+    return rows.select("query_id", n.alias("n"), "block", "id", F.coalesce("source", F.lit("未知来源")).alias("source"), "page", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"), T.truncate(F.col("text"), most).alias("snippet"), (~F.col("any")).alias("fallback"))
 
 
 def metrics(hits: DataFrame, gold: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
@@ -78,7 +83,7 @@ def metrics(hits: DataFrame, gold: DataFrame, questions: DataFrame, k: int = 5)
 
 
 def summarise(cases: DataFrame) -> DataFrame:
-    """Means over answerable questions (those with gold) and the refusal share over the rest; 0 for none."""
+    """Means over answerable questions (those with gold); 0 for none."""
     able = F.col("gold") > 0
     mean = lambda c, keep: F.coalesce(F.avg(F.when(keep, c.cast("double"))), F.lit(0.0))
     return cases.agg(F.count("*").alias("cases"), F.count(F.when(able, 1)).alias("answerable"), mean(F.col("hit"), able).alias("recall"), mean(F.col("rr"), able).alias("mrr"), mean(F.col("precision"), able).alias("precision"))
@@ -92,9 +97,14 @@ def gate_grid(gates: DataFrame, gold: DataFrame, corroborated: tuple[float, ...]
     return rows.groupBy("corroborated_at", "lone_at").agg(F.coalesce(F.avg(F.when(F.col("able"), ok)), F.lit(0.0)).alias("answerable_pass"), F.coalesce(F.avg(F.when(F.col("able").isNull(), ok)), F.lit(0.0)).alias("refusal_pass"))
 
 
+def first_perfect(grid: DataFrame) -> DataFrame:
+    """The first pair of thresholds, in ascending order, that lets all answerable questions pass and no other; no row if there is none."""
+    return grid.where("answerable_pass = 1 and refusal_pass = 0").orderBy("corroborated_at", "lone_at").limit(1).select("corroborated_at", "lone_at")
+
+
 def report(found: DataFrame, questions: DataFrame) -> DataFrame:
     """The gate's evidence per question: best score and its matches, most matches, both branches, the threshold that applied, sentences."""
-    first = F.struct(F.round("score", 9).alias("s"), (-F.col("block")).alias("b"), (-F.col("at")).alias("a"))
+    first = F.struct(F.round("score", 9).alias("s"), F.round("key", 9).alias("k"), (-F.col("block")).alias("b"), (-F.col("at")).alias("a"))
     out = found.groupBy("query_id").agg(F.max_by("matched", first).alias("best_matched"), F.max("matched").alias("max_matched"), F.count("*").alias("sentences"))
     rows = gate(found, questions).join(out, "query_id", "left").fillna(0, ["best_matched", "max_matched", "sentences"])
     required = F.when(F.col("corroborated") >= CORROBORATED, CORROBORATED).otherwise(LONE)
@@ -108,7 +118,7 @@ def outcome(answers: DataFrame, hits: DataFrame) -> DataFrame:
     text = T.strip(F.coalesce("answer", F.lit("")))
     reason = F.when(F.col("got").isNull(), "no_retrieval").when(text == "", "empty_output").when(T.is_refusal(text), "model_refused")
     rows = answers.join(got, "query_id", "left").withColumn("reason", reason)
-    return rows.select("query_id", F.when(F.col("reason").isin("no_retrieval", "empty_output"), T.REFUSALS[0]).otherwise(text).alias("answer"), F.col("reason").isNotNull().alias("refused"), "reason")
+    return rows.select("query_id", F.when(F.col("reason").isin("no_retrieval", "empty_output"), T.NO_ANSWER).otherwise(text).alias("answer"), F.col("reason").isNotNull().alias("refused"), "reason")
 
 
 def answer_hits(blocks: DataFrame, cases: DataFrame) -> DataFrame:
@@ -140,6 +150,34 @@ def answer_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(mean("citation_hit", able)("citation_accuracy"), mean("keyword_hit", able)("keyword_hit_rate"), mean("refused", ~able)("refusal_accuracy"))
 
 
+#: Recall and refusal accuracy below which an evaluation fails.
+LEAST = {"recall": 0.6, "refusal_accuracy": 0.6}
+
+
+def evaluation(cases: DataFrame, ranks: DataFrame, answered: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row with every measure of an evaluation, and whether it passes LEAST.
+
+    cases of `metrics`, ranks of `answer_hits`, answered of `answer_cases`, and
+    questions(query_id, question), the blank ones of which are errors: they
+    count as misses and stop nothing.
+    """
+    rows = answered.join(cases, "query_id", "left").join(ranks, "query_id", "left").join(questions.select("query_id", (T.strip(F.coalesce("question", F.lit(""))) == "").alias("error")), "query_id", "left")
+    able = ~F.col("expect_refusal")
+    mean = lambda c, keep: F.coalesce(F.avg(F.when(keep, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))), F.lit(0.0))
+    names = {"hit": "recall", "precision": "precision", "rr": "mrr", "answer_hit": "answer_hit", "answer_rr": "answer_mrr", "citation_hit": "citation_accuracy", "keyword_hit": "keyword_hit_rate"}
+    out = rows.agg(F.count("*").alias("cases"), F.count(F.when(able, 1)).alias("answerable"), F.count(F.when(~able, 1)).alias("refusals"), *(mean(c, able).alias(name) for c, name in names.items()), mean("refused", ~able).alias("refusal_accuracy"), F.count(F.when(F.col("error"), 1)).alias("errors"))
+    passed = (F.col("recall") >= LEAST["recall"]) & ((F.col("refusals") == 0) | (F.col("refusal_accuracy") >= LEAST["refusal_accuracy"]))
+    return out.withColumn("passed", passed)
+
+
+def save_reports(summary: DataFrame, cases: DataFrame, path: str) -> None:
+    """`summary` and `cases` as JSON lines below `path`, and the summary as a Markdown table."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    cases.write.mode("overwrite").json(f"{path}/cases")
+    lines = F.concat(F.lit("| measure | value |\n|---|---|\n"), F.array_join(F.array(*(F.concat(F.lit(f"| {c} | "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" |")) for c in summary.columns)), "\n"))
+    summary.select(lines.alias("value")).write.mode("overwrite").text(f"{path}/markdown")
+
+
 def separation(scores: DataFrame) -> DataFrame:
     """min, mean and max of scores(able, score) for answerable and other cases, and the gap between them (0 stands in for a missing class)."""
     of = lambda f, able: f(F.when(F.col("able") == able, F.col("score")))

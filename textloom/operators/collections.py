@@ -66,6 +66,11 @@ def delete(old: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return old.join(ids, key, "left_anti")
 
 
+def removed(old: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row: how many rows `delete` takes away, and of how many ids."""
+    return old.join(ids, key, "left_semi").agg(F.count("*").alias("rows"), F.countDistinct(key).alias("ids"))
+
+
 def new_only(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     """Skip-existing: the documents that the collection doesn't have."""
     return docs.join(known.select(key), key, "left_anti")
@@ -77,10 +82,21 @@ def last_turns(turns: DataFrame, n: int = 6) -> DataFrame:
     return turns.withColumn("back", F.row_number().over(by)).where(F.col("back") <= n)
 
 
-def history(turns: DataFrame, n: int = 6, most: int = 200) -> DataFrame:
-    """The last n turns of every conversation as one text."""
-    line = F.concat(F.col("role"), F.lit(": "), F.when(F.length("text") > most, F.concat(F.left("text", F.lit(most)), F.lit("…"))).otherwise(F.col("text")))
-    return last_turns(turns, n).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda r: r["line"]), "\n").alias("history"))
+def exchanges(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, question, answer of turns(conv_id, turn, role, text): each user turn with what the assistant says before the next one, '' for nothing."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    asks = F.col("role") == "user"
+    rows = turns.withColumn("no", F.sum(asks.cast("int")).over(by)).where("no > 0")
+    said = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("turn", "text")))), lambda r: r["text"]), "\n")
+    return rows.groupBy("conv_id", "no").agg(F.min("turn").alias("turn"), said(asks).alias("question"), said(F.col("role") == "assistant").alias("answer")).drop("no")
+
+
+def history(pairs: DataFrame, n: int = 6, most: int = 200) -> DataFrame:
+    """The last n of pairs(conv_id, turn, question, answer) of every conversation as one text, long answers cut; null answers stand for no exchange."""
+    cut = F.when(F.length("answer") > most, F.concat(F.left("answer", F.lit(most)), F.lit("…"))).otherwise(F.col("answer"))
+    line = F.concat(F.lit("用户："), F.coalesce("question", F.lit("")), F.lit("\n助手："), cut)
+    rows = last_turns(pairs, n).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("answer").isNotNull(), F.struct("turn", line.alias("line"))))).alias("l"))
+    return rows.select("conv_id", F.when(F.size("l") > 0, F.array_join(F.col("l.line"), "\n")).otherwise(F.lit(T.NO_HISTORY)).alias("history"))
 
 
 def ttl_sessions(events: DataFrame, minutes: int = 120) -> DataFrame:
@@ -91,10 +107,11 @@ def ttl_sessions(events: DataFrame, minutes: int = 120) -> DataFrame:
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("begin"), F.max("ts").alias("end"))
 
 
-def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Chunks, characters and their integer mean per source and in total."""
+def chunk_stats(chunks: DataFrame, size: int = 500) -> DataFrame:
+    """Chunks, characters, their integer mean and advice per source and in total: `small` below half of `size`, `large` above 1.1 times it, else `fine`."""
     n = F.length("text")
-    return chunks.rollup("source").agg(F.count("*").alias("chunks"), F.sum(n).alias("chars"), F.floor(F.sum(n) / F.count("*")).alias("mean_chars"))
+    rows = chunks.rollup("source").agg(F.count("*").alias("chunks"), F.sum(n).alias("chars"), F.floor(F.sum(n) / F.count("*")).alias("mean_chars"))
+    return rows.withColumn("advice", F.when(F.col("mean_chars") < size * 0.5, "small").when(F.col("mean_chars") > size * 1.1, "large").otherwise("fine"))
 
 
 def where_equal(**values) -> Column:
@@ -159,6 +176,21 @@ def versions(spark, root: str, name: str) -> list[str]:
     return sorted(f.getPath().getParent().getName() for f in found)
 
 
+def collections(spark, root: str) -> list[str]:
+    """Names of the collections below `root` that have a complete version, sorted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/v*/_SUCCESS")) or []
+    return sorted({f.getPath().getParent().getParent().getName() for f in found})
+
+
+def drop(spark, root: str, name: str) -> bool:
+    """Removes a collection with all its versions; whether there was one."""
+    if not name or "/" in name or name in (".", ".."):
+        raise ValueError("not the name of a collection")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scan(spark, root: str, name: str, limit: int | None = None) -> DataFrame | None:
     """The newest version of a collection, or None without one."""
     held = versions(spark, root, name)

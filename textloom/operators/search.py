@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 
 #: BM25's constants and the share of the mean idf that replaces negative ones.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -24,27 +26,31 @@ def top(df: DataFrame, group: str, score: str, tie: str, k: int, rank: str = "ra
 
 @dataclass
 class Index:
-    """postings(id, token, tf, dl) and terms(token, df, idf), one-row corpus(n, avgdl)."""
+    """rows(id, dl, tokens, tfs) by document, terms(token, df, idf), one-row corpus(n, avgdl)."""
 
-    postings: DataFrame
+    rows: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """A document without tokens counts with one placeholder."""
+    """A table of each document's distinct tokens, and the statistics from it; ids are unique.
+
+    A document without tokens counts with one placeholder.
+    """
     own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("id")  # texts are no larger than their postings, which then need no shuffle to be counted
     tokens = own.select("id", T.tokens(F.col("text")).alias("tokens"))
     # explode_outer: explode would add a filter on the array, which evaluates the tokens again
     posted = tokens.select("id", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"), F.explode_outer("tokens").alias("token"))
     postings = posted.groupBy("id", "dl", F.coalesce("token", F.lit("")).alias("token")).agg(F.count("*").alias("tf"))
-    rows = docs.agg(F.count("*").alias("n"))
-    corpus = postings.agg(F.sum("tf").alias("words")).crossJoin(F.broadcast(rows)).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # one row
-    raw = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(rows))  # one row
+    whole = postings.groupBy("id", "dl").agg(F.collect_list(F.struct("token", "tf")).alias("p"))  # one document's words
+    rows = written(whole.select("id", "dl", F.col("p.token").alias("tokens"), F.col("p.tf").alias("tfs")), "postings")
+    corpus = rows.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    raw = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))  # one row
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
     terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
-    return Index(postings, terms, corpus)
+    return Index(rows, terms, corpus)
 
 
 def query_terms(questions: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
@@ -53,43 +59,89 @@ def query_terms(questions: DataFrame, key: str = "query_id", text: str = "text")
 
 
 def bm25(questions: DataFrame, held: Index, k: int = 20) -> DataFrame:
-    """query_id, id, score, rank: at most k documents of positive score."""
-    asked = query_terms(questions).join(held.terms, "token")
-    f, dl = F.col("tf"), F.col("dl")
-    weight = F.col("qtf") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / F.col("avgdl")))
-    scored = held.postings.join(asked, "token").crossJoin(F.broadcast(held.corpus.select("avgdl"))).groupBy("query_id", "id").agg(F.sum(weight).alias("score"))  # one row
-    return top(scored, "query_id", "score", "id", k).where("score > 0")
+    """query_id, id, score, rank: at most k documents of positive score.
+
+    Terms of BLOCK questions go to the tasks, each of which scores its own
+    documents and keeps k of them for each question.
+    """
+    asked = query_terms(questions).join(held.terms, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", (F.col("qtf") * F.col("idf")).alias("w"))).alias("v")).withColumnRenamed("query_id", "id")
+    average = held.corpus.first().avgdl
+    types = {name: df.schema[c].dataType.simpleString() for name, df, c in (("query_id", questions, "query_id"), ("id", held.rows, "id"))}
+
+    def one(rows: list) -> DataFrame:
+        token = pa.array([e.token for r in rows for e in r.v], pa.string()).dictionary_encode()
+        order = np.argsort(codes := token.indices.to_numpy(), kind="stable")
+        question = np.repeat(np.arange(len(rows)), [len(r.v) for r in rows])[order]
+        weight = np.array([e.w for r in rows for e in r.v], float)[order]
+        begins = np.searchsorted(codes[order], np.arange(len(token.dictionary) + 1))
+        sent = held.rows.sparkSession.sparkContext.broadcast(([r.id for r in rows], token.dictionary, begins, question, weight))  # BLOCK questions at most
+
+        def scores(batches: Iterator[pa.RecordBatch], n: int, words: pa.Array, begins: np.ndarray, question: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for at in range(0, batch.num_rows if n else 0, ROWS):
+                    part = batch.slice(at, ROWS)
+                    code = pc.index_in(part.column("tokens").flatten(), words)
+                    here = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+                    row = np.repeat(np.arange(part.num_rows), part.column("tokens").value_lengths().to_numpy())[here]
+                    code, tf = code.fill_null(0).to_numpy()[here], part.column("tfs").flatten().to_numpy()[here].astype(float)
+                    f = tf * (K1 + 1) / (tf + K1 * (1 - B + B * part.column("dl").to_numpy()[row] / average))
+                    out, seen = np.zeros(n * part.num_rows), np.zeros(n * part.num_rows, bool)
+                    times = begins[code + 1] - begins[code]
+                    ends = np.cumsum(times)
+                    lo = 0
+                    while lo < len(code):  # PAIRS pairs of a question's and a document's word at once
+                        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+                        much = times[lo:hi]
+                        each = np.repeat(np.arange(lo, hi), much)
+                        slot = np.arange(len(each)) - np.repeat(np.cumsum(much) - much, much) + begins[code[each]]
+                        flat = question[slot] * part.num_rows + row[each]
+                        out += np.bincount(flat, weight[slot] * f[each], len(out))
+                        seen[flat] = True
+                        lo = hi
+                    yield np.array(part.column("id").to_pylist()), np.where(seen & (out > 0), out, -1.0).reshape(n, -1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, *rest = sent.value
+            yield from _best(scores(batches, len(ids), *rest), ids, k)
+
+        return held.rows.where("id is not null").mapInArrow(run, f"query_id {types['query_id']}, id {types['id']}, score double")
+
+    return top(_in_blocks(asked, one), "query_id", "score", "id", k).where("score > 0")
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def gram_weights(c: Column) -> Column:
-    """array<struct<gram, w>>: letters (1, counted), words of two characters and more (2); of CJK runs characters (1), pairs (2) and triples (1.5)."""
+    """array<struct<gram, w>>: letters (1, counted), words of two characters and more (2); of CJK runs characters (1), pairs (2) and triples (1.5).  Those of weight 0 don't count."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
-    one = lambda g, w: F.struct(g.alias("gram"), F.lit(w).alias("w"))
-    count = lambda g: (F.length(low) - F.length(F.replace(low, F.lit(g)))).cast("double")
-    letters = F.filter(F.array(*(F.struct(F.lit(g).alias("gram"), count(g).alias("w")) for g in LETTERS)), lambda r: r["w"] > 0)
-    latin = F.concat(letters, F.transform(F.filter(words, lambda s: F.length(s) > 1), lambda g: one(g, 2.0)))
+    one = lambda g, w: F.struct(g.alias("gram"), w.alias("w"))
+    letters = F.array(*(one(F.lit(g), (F.length(low) - F.length(F.replace(low, F.lit(g)))).cast("double")) for g in LETTERS))
+    latin = F.transform(F.split(low, "[^a-z0-9]+"), lambda g: one(g, F.when(F.length(g) > 1, 2.0).otherwise(0.0)))
     runs = F.regexp_extract_all(low, F.lit(f"({T.CJK}+)"), F.lit(1))
-    of = lambda n, w: F.flatten(F.transform(runs, lambda s: F.transform(F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: one(F.substr(s, i, F.lit(n)), w))))
-    return F.concat(latin, of(1, 1.0), of(2, 2.0), of(3, 1.5))
+    of = lambda s, n, w: F.transform(F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: one(F.substr(s, i, F.lit(n)), F.lit(w)))
+    cjk = F.when(low.rlike(T.CJK), F.flatten(F.transform(runs, lambda s: F.concat(of(s, 1, 1.0), of(s, 2, 2.0), of(s, 3, 1.5)))))
+    return F.concat(letters, latin, F.coalesce(cjk, F.array().cast("array<struct<gram: string, w: double>>")))
 
 
 def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
     """id, bucket, value: signed feature hashing (MD5) of 1 + ln(weight), of unit length."""
+    return sparse_vectors(docs, key, text, dim).select("id", F.explode("v").alias("b")).select("id", "b.bucket", "b.value")
+
+
+def sparse_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
+    """id, v array<struct<bucket, value>>: `hashed_vectors` with one row for each text that has any."""
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")  # texts are smaller than their grams, and no later step shuffles
-    grams = own.select("id", F.explode_outer(gram_weights(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
+    grams = own.select("id", F.explode_outer(gram_weights(F.col("text"))).alias("g")).where("g.w > 0").groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
     h = F.md5("gram")
     sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % 2 == 1, 1.0).otherwise(-1.0)
     sums = grams.select("id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("bucket"), (sign * (1 + F.log("w"))).alias("v")).groupBy("id", "bucket").agg(F.sum("v").alias("v")).where("abs(v) > 1e-9")
     whole = sums.groupBy("id").agg(F.collect_list(F.struct("bucket", "v")).alias("b"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))  # `dim` buckets at most
-    return whole.select("id", "norm", F.explode("b").alias("b")).select("id", "b.bucket", (F.col("b.v") / F.col("norm")).alias("value"))
+    return whole.select("id", F.transform("b", lambda e: F.struct(e["bucket"].alias("bucket"), (e["v"] / F.col("norm")).alias("value"))).alias("v"))
 
 
-#: Questions whose vectors are sent to the executors at once, and rows that one matrix product takes.
-BLOCK, ROWS = 2_000, 1_000
+#: Questions that are sent to the executors at once, rows that are scored at once, and pairs of words that are.
+BLOCK, ROWS, PAIRS = 2_000, 1_000, 4_000_000
 
 
 def _best(parts: Iterator[tuple[np.ndarray, np.ndarray]], asked: list, k: int) -> Iterator[pa.RecordBatch]:
@@ -106,26 +158,26 @@ def _best(parts: Iterator[tuple[np.ndarray, np.ndarray]], asked: list, k: int) -
 
 
 def _in_blocks(questions: DataFrame, one: Callable[[list], DataFrame]) -> DataFrame:
-    """one(rows) for every BLOCK questions, together."""
+    """one(rows) for every BLOCK questions; with more than one block, each one's hits are written before the next is sent."""
     out, held = None, []
     for row in questions.toLocalIterator():
-        held.append(row)
         if len(held) == BLOCK:
-            out, held = one(held) if out is None else out.union(one(held)), []
-    if held or out is None:
-        out = one(held) if out is None else out.union(one(held))
-    return out
+            part, held = written(one(held), "hits"), []
+            out = part if out is None else out.union(part)
+        held.append(row)
+    last = one(held)
+    return last if out is None else out.union(last)
 
 
 def dense(vectors: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, id, score, rank from sparse unit vectors (id, bucket, value), for those that share a bucket.
+    """query_id, id, score, rank from sparse unit vectors (id, bucket, value) or (id, v), for those that share a bucket.
 
     Questions are taken in blocks of BLOCK; each task keeps its own top k of
     each question from matrix products over the buckets that the block's
     questions have (the vectors' dimension at most).  Null ids have no rows.
     """
     types = {name: df.schema["id"].dataType.simpleString() for name, df in (("query_id", questions), ("id", vectors))}
-    of = lambda df: df.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("bucket", "value")).alias("v"))
+    of = lambda df: df.where("id is not null") if "v" in df.columns else df.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("bucket", "value")).alias("v"))
     source = of(vectors)
 
     def one(asked: list) -> DataFrame:
@@ -220,11 +272,16 @@ def length_score(n: Column, ideal: int = 500) -> Column:
     return F.when(r < 0.2, 0.2).when(r < 0.5, 0.2 + (r - 0.2) / 0.3 * 0.8).when(r <= 1.5, 1.0).otherwise(F.greatest(F.lit(0.3), 1 - (r - 1.5) / 3)) if ideal > 0 else F.lit(1.0)
 
 
-def share_of(values: Column, present, weight=lambda v: F.lit(1.0), empty: float = 1.0) -> Column:
-    """Weighted share of an array's values that satisfy `present`."""
+def share_of(values: Column, present, weight=lambda v: F.lit(1.0)) -> Column:
+    """Weighted share of an array's values that satisfy `present`; 0 for none."""
     add = lambda keep: F.aggregate(values, F.lit(0.0), lambda a, v: a + F.when(keep(v), weight(v)).otherwise(0.0))
     total = add(lambda v: F.lit(True))
-    return F.when(total > 0, add(present) / total).otherwise(F.lit(empty))
+    return F.when(total > 0, add(present) / total).otherwise(F.lit(0.0))
+
+
+def number_share(asked: Column, text: Column, some: float) -> Column:
+    """Share of the asked numbers that stand in the text as whole numbers; without asked ones `some` for a text with digits."""
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(T.numbers(text), asked)) / F.size(asked)).otherwise(F.when(text.rlike(T.DIGIT), some).otherwise(0.0))
 
 
 def weights() -> Column:
@@ -241,23 +298,34 @@ def term_weights(candidates: DataFrame, group: str, tokens: str, asked: DataFram
     return asked.join(each, group, "left")
 
 
-def rerank(fused: DataFrame, docs: DataFrame, questions: DataFrame, ideal: int = 500, blend: float = 0.6) -> DataFrame:
-    """Heuristic rerank of fused candidates: coverage, phrases, numbers and length.
+#: Rows of a side that is broadcast.
+SENT = 500_000
+
+
+def candidates(fused: DataFrame, docs: DataFrame) -> DataFrame:
+    """`fused` hits with the texts of docs(id, text) and their distinct tokens, as a table; texts move only where there are more than SENT hits."""
+    hits = written(fused, "fused")
+    small = F.broadcast(hits) if hits.count() <= SENT else hits
+    rows = small.join(docs.select("id", "text"), "id")
+    return written(rows.withColumn("tokens", F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))), "candidates")
+
+
+def rerank(rows: DataFrame, questions: DataFrame, ideal: int = 500, blend: float = 0.6) -> DataFrame:
+    """Heuristic rerank of `candidates`: coverage, phrases, numbers and length, rounded to 4 digits, then blended with the fused score.
 
-    docs(id, text), questions(query_id, question).  The idf is that of each
+    questions(query_id, question), stripped.  The idf is that of each
     question's own candidates.
     """
     asked = questions.select("query_id", T.content_terms(T.tokens(F.col("question"))).alias("terms"), T.phrases(F.col("question"), (2, 3, 4, 6), 40, True).alias("phrases"), T.numbers(F.col("question")).alias("numbers"))
-    rows = fused.join(docs.select("id", "text"), "id").withColumn("tokens", F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))))
-    rows = rows.join(term_weights(rows, "query_id", "tokens", asked), "query_id")
+    known = written(term_weights(rows, "query_id", "tokens", asked), "weights")
+    rows = rows.join(F.broadcast(known) if known.count() <= SENT // 50 else known, "query_id")
     text = F.coalesce("text", F.lit(""))
     coverage = share_of(weights(), lambda t: F.array_contains("tokens", t["term"]), lambda t: t["w"])
-    phrase = share_of(F.col("phrases"), lambda p: F.contains(text, p), lambda p: F.length(p).cast("double"), 0.0)
-    number = F.when(F.size("numbers") > 0, share_of(F.col("numbers"), lambda n: F.contains(text, n))).otherwise(F.when(text.rlike("[0-9]"), 0.5).otherwise(0.0))
-    score = 0.40 * coverage + 0.25 * phrase + 0.20 * number + 0.15 * length_score(F.length(text), ideal)
-    out = rows.withColumn("rerank", score).withColumn("score", (1 - blend) * F.col("final") + blend * F.col("rerank"))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "position")
-    return out.select("query_id", "id", "text", "tokens", "final", "rerank", "score", F.row_number().over(order).alias("rank"))
+    phrase = share_of(F.col("phrases"), lambda p: F.contains(text, p), lambda p: F.length(p).cast("double"))
+    score = 0.40 * coverage + 0.25 * phrase + 0.20 * number_share(F.col("numbers"), text, 0.5) + 0.15 * length_score(F.length(text), ideal)
+    out = rows.withColumn("rerank", F.round(score, 4)).withColumn("score", F.round((1 - blend) * F.col("final") + blend * F.col("rerank"), 4))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
+    return out.select("query_id", "id", "tokens", "final", "rerank", "score", F.row_number().over(order).alias("rank"))
 
 
 def drop_similar(hits: DataFrame, most: float = 0.85, threshold: float = 0.0, k: int = 5) -> DataFrame:
@@ -266,6 +334,9 @@ def drop_similar(hits: DataFrame, most: float = 0.85, threshold: float = 0.0, k:
     Scores fall with the rank, so the fold ends at k kept rows.
     """
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "tokens"))).alias("rows"))
-    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda a, r: F.when((F.size(a) >= k) | F.exists(a, lambda o: T.jaccard(o["tokens"], r["tokens"]) > most), a).otherwise(F.concat(a, F.array(r))))
+    size = lambda r: F.size(r["tokens"])
+    # sets of very different sizes can't be similar, and need no look at their tokens
+    alike = lambda o, r: (F.least(size(o), size(r)) > most * F.greatest(size(o), size(r))) & (T.jaccard(o["tokens"], r["tokens"]) > most)
+    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda a, r: F.when((F.size(a) >= k) | F.exists(a, lambda o: alike(o, r)), a).otherwise(F.concat(a, F.array(r))))
     left = rows.select("query_id", F.posexplode(F.filter(kept, lambda r: r["score"] >= threshold) if threshold > 0 else kept).alias("at", "r")).where(F.col("at") < k)
     return left.select("query_id", (F.col("at") + 1).alias("rank"), "r.id", "r.score")

@@ -13,6 +13,7 @@ from .operators import chunking as C
 from .operators import collections as M
 from .operators import search as S
 from .plans import ingest, qa
+from .sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -55,6 +56,11 @@ def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.contains("text", F.col("q"))).select("query_id", F.col("doc_id").alias("id")).distinct()
 
 
+#: White space as the library sees it, for RE2.
+_SPACE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_STRIP = f"regexp_replace({{0}}, '^{_SPACE.replace('{', '{{').replace('}', '}}')}+|{_SPACE.replace('{', '{{').replace('}', '}}')}+$', '', 'g')"
+_SOLID = "length(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+_NUMBERS = "list_distinct(regexp_extract_all({0}, '\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?'))"
 TOKENS = "list_transform(list_filter(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda w: length(w) > 1 or regexp_full_match(w, '[0-9]')), lambda w: lower(w))"
 #: Text as the tokenizer takes it where it holds no CJK, as in these tables.
 _BM25 = f"""
@@ -107,15 +113,24 @@ def truncate_snippet(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", T.truncate(F.col("text"), 180).alias("snippet"))
 
 
-@query("SELECT doc_id, len(n)::BIGINT AS n, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'))) AS n FROM documents)")
+@query(f"SELECT doc_id, len(n)::BIGINT AS n, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, list_sort({_NUMBERS.format('text')}) AS n FROM documents)")
 def numbers(spark, sf_dir):
     n = F.array_sort(T.numbers(F.col("text")))
     return docs_of(spark, sf_dir).select("doc_id", F.size(n).cast("long").alias("n"), F.array_join(n, " ").alias("numbers"))
 
 
-@query()
+def _sentences(source: str, keys: str, name: str) -> str:
+    """CTEs that end in `name`: keys, at, sentence; short parts go to the next longer one, the last to the one before."""
+    return f"""
+{name}p AS (SELECT {keys}, i, {_STRIP.format("x")} AS s FROM (SELECT {keys}, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT {keys}, string_split(regexp_replace(coalesce(text, ''), '([。！？；!?;])', E'\\\\1\\n', 'g'), E'\\n') AS l FROM {source}))),
+{name}l AS (SELECT *, ({_SOLID.format("s")} >= 6)::INT AS long FROM {name}p WHERE s <> ''),
+{name}g AS (SELECT *, least(coalesce(sum(long) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), greatest(sum(long) OVER (PARTITION BY {keys}) - 1, 0)) AS g FROM {name}l),
+{name} AS (SELECT {keys}, g::BIGINT AS spot, string_agg(s, '' ORDER BY i) AS sentence FROM {name}g GROUP BY {keys}, g)"""
+
+
+@query(f"WITH {_sentences('documents', 'doc_id', 's').strip()} SELECT doc_id, spot AS \"at\", sentence FROM s")
 def sentence_split(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("at", "sentence")).where("sentence is not null")
+    return docs_of(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("at", "sentence")).where("sentence is not null").withColumn("at", F.col("at").cast("long"))
 
 
 @query("WITH p AS (SELECT item_id, unnest([2, 3, 4, 6]) AS n, text FROM benchmark), g AS (SELECT item_id, n, unnest(range(1, length(text) - n + 2)) AS i, text FROM p), s AS (SELECT item_id, n, i, substr(text, i, n) AS s FROM g), d AS (SELECT item_id, s, min((n, i)) AS o FROM s WHERE trim(s, E' \\n\\t') <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o) AS k FROM d) SELECT item_id, string_agg(s, '|' ORDER BY k) AS phrases FROM r WHERE k <= 40 GROUP BY item_id")
@@ -123,7 +138,7 @@ def phrases(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.phrases(F.col("text"), (2, 3, 4, 6), 40, True), "|").alias("phrases"))
 
 
-@query("SELECT page_id, CASE WHEN n = '' THEN 'unnamed' ELSE n END AS name FROM (SELECT page_id, regexp_replace(regexp_extract(url, '([^/\\\\]*)$', 1), '[^A-Za-z0-9_.\\- ]', '_', 'g')[:120] AS n FROM pages)")
+@query("SELECT page_id, CASE WHEN n = '' THEN 'unnamed' ELSE n END AS name FROM (SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '(/+\\.?)+$', ''), '([^/]*)$', 1), '[^\\p{L}\\p{N}_.\\-]', '_', 'g')[:120] AS n FROM pages)")
 def safe_filenames(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
 
@@ -146,7 +161,7 @@ def window_chunks(spark, sf_dir):
     return M.windows(docs_of(spark, sf_dir))
 
 
-@query(f"WITH {_WINDOWS} SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars, floor(sum(length(text)) / count(*))::BIGINT AS mean_chars FROM chunks GROUP BY ROLLUP (source)")
+@query(f"WITH {_WINDOWS} SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars, floor(sum(length(text)) / count(*))::BIGINT AS mean_chars, CASE WHEN mean_chars < 250 THEN 'small' WHEN mean_chars > 550 THEN 'large' ELSE 'fine' END AS advice FROM chunks GROUP BY ROLLUP (source)")
 def chunk_stats_rollup(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     return M.chunk_stats(M.windows(docs).join(docs.select("doc_id", "source"), "doc_id"))
@@ -168,7 +183,13 @@ def recursive_chunks(spark, sf_dir):
     return C.recursive_chunks(docs_of(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WINDOWS}, t AS MATERIALIZED (SELECT *, sha256(doc_id || ':' || chunk_index || ':' || text)[:16] AS chunk_id, list_distinct({TOKENS.format('text')}) AS k FROM chunks),
+near AS MATERIALIZED (SELECT a.doc_id, a.chunk_index, list(b.chunk_index) AS l FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.chunk_index < a.chunk_index AND least(len(a.k), len(b.k)) > 0.9 * greatest(len(a.k), len(b.k)) AND len(list_intersect(a.k, b.k)) > 0.9 * (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) GROUP BY ALL),
+last AS (SELECT doc_id, max(chunk_index) AS m FROM t GROUP BY 1),
+walk AS (SELECT doc_id, m, 0::BIGINT AS i, [0::BIGINT] AS kept FROM last UNION ALL
+  SELECT w.doc_id, w.m, w.i + 1, CASE WHEN len(list_intersect(coalesce(n.l, []), w.kept)) > 0 THEN w.kept ELSE list_append(w.kept, w.i + 1) END FROM walk w LEFT JOIN near n ON n.doc_id = w.doc_id AND n.chunk_index = w.i + 1 WHERE w.i < w.m),
+kept AS (SELECT doc_id, unnest(kept) AS chunk_index FROM walk WHERE i = m)
+SELECT doc_id, chunk_index, start_index, text, chunk_id FROM t JOIN kept USING (doc_id, chunk_index)""")
 def greedy_near_dup(spark, sf_dir):
     return C.drop_near_chunks(M.windows(docs_of(spark, sf_dir)))
 
@@ -211,9 +232,12 @@ def last_n_turns(spark, sf_dir):
     return M.last_turns(table(spark, sf_dir, "conversations")).withColumn("back", F.col("back").cast("long"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || CASE WHEN length(text) > 200 THEN text[:200] || '…' ELSE text END, E'\\n' ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 GROUP BY conv_id")
+@query("""WITH t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations),
+p AS (SELECT conv_id, no, min(turn) AS turn, coalesce(string_agg(text, E'\\n' ORDER BY turn) FILTER (role = 'user'), '') AS q, coalesce(string_agg(text, E'\\n' ORDER BY turn) FILTER (role = 'assistant'), '') AS a FROM t WHERE no > 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM p)
+SELECT conv_id, string_agg('用户：' || q || E'\\n助手：' || CASE WHEN length(a) > 200 THEN a[:200] || '…' ELSE a END, E'\\n' ORDER BY turn) AS history FROM r WHERE back <= 6 GROUP BY conv_id""")
 def history_format(spark, sf_dir):
-    return M.history(table(spark, sf_dir, "conversations"))
+    return M.history(M.exchanges(table(spark, sf_dir, "conversations")))
 
 
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS events, min(ts) AS begin, max(ts) AS \"end\" FROM s GROUP BY 1, 2")
@@ -234,7 +258,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, gram, w FROM dgrams")
 def ngram_weights(spark, sf_dir):
-    return docs_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode_outer(S.gram_weights(F.col("text"))).alias("g")).where("g is not null").groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
+    return docs_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode_outer(S.gram_weights(F.col("text"))).alias("g")).where("g.w > 0").groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
 
 
 @query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, bucket, round(value, 6) AS value FROM dvec")
@@ -260,7 +284,7 @@ def vector_topk_filtered(spark, sf_dir):
     return _knn(spark, sf_dir, M.where_equal(label=3))
 
 
-_FUSED = f"""WITH {_BM25.strip()}, {_vectors("documents", "doc_id", "d").strip()}, {_vectors("benchmark", "item_id", "q").strip()},
+_FUSED = f"""WITH RECURSIVE {_BM25.strip()}, {_vectors("documents", "doc_id", "d").strip()}, {_vectors("benchmark", "item_id", "q").strip()},
 dn AS (SELECT q.id AS query_id, d.id, greatest(0, least(1, sum(d.value * q.value))) AS score FROM dvec d JOIN qvec q USING (bucket) GROUP BY ALL),
 dense AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM dn) WHERE rank <= 20),
 f AS (SELECT query_id, id, a.rank AS vr, b.rank AS br, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS rrf FROM dense a FULL JOIN bm25 b USING (query_id, id))"""
@@ -269,7 +293,7 @@ f AS (SELECT query_id, id, a.rank AS vr, b.rank AS br, coalesce(1 / (60 + a.rank
 @query(_FUSED + " SELECT query_id, id, round(rrf, 6) AS rrf, round(least(1, rrf / (2 / 61.0)), 6) AS final, coalesce(vr, -1) AS vector_rank, coalesce(br, -1) AS bm25_rank FROM f")
 def rrf_fusion(spark, sf_dir):
     docs, asked = docs_of(spark, sf_dir), questions_of(spark, sf_dir)
-    out = S.fuse(S.dense(S.hashed_vectors(docs), S.hashed_vectors(asked, "query_id")), S.bm25(asked, S.index(docs)))
+    out = S.fuse(*qa.hits(qa.corpus(docs), asked))
     return out.select("query_id", "id", F.round("rrf", 6).alias("rrf"), F.round("final", 6).alias("final"), F.col("vector_rank").cast("long").alias("vector_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
@@ -278,49 +302,137 @@ def length_score(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.round(S.length_score(F.length("text")), 6).alias("score"))
 
 
-@query()
+def _grams(lengths: str, text: str) -> str:
+    """Substrings of the lengths that aren't blank, in order."""
+    return f"list_filter(flatten(list_transform({lengths}, lambda n: list_transform(range(1, greatest(length({text}) - n + 2, 1)), lambda i: substr({text}, i, n)))), lambda s: {_STRIP.format('s')} <> '')"
+
+
+def _share(values: str, test: str, weight: str) -> str:
+    part = lambda l: f"coalesce(list_sum(list_transform({l}, lambda v: {weight})), 0)"
+    return f"coalesce({part(f'list_filter({values}, lambda v: {test})')} / nullif({part(values)}, 0), 0)"
+
+
+def _numbers(text: str, some: float) -> str:
+    return f"CASE WHEN len(numbers) > 0 THEN len(list_intersect({_NUMBERS.format(text)}, numbers)) / len(numbers) WHEN regexp_matches({text}, '\\p{{Nd}}') THEN {some} ELSE 0 END"
+
+
+def _terms(rows: str, name: str) -> str:
+    """CTEs that end in `name`: query_id, terms, weights (list of structs) over the question's own rows(query_id, tokens)."""
+    return f"""
+{name}t AS (SELECT query_id, unnest(terms) AS term FROM asked),
+{name}n AS (SELECT query_id, count(*) AS n FROM {rows} GROUP BY 1),
+{name}d AS (SELECT query_id, term, count(*) AS df FROM (SELECT query_id, unnest(tokens) AS term FROM {rows}) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT query_id, list({{'t': term, 'w': ln((1 + n) / (1 + coalesce(df, 0))) + 1}}) AS weights FROM {name}t JOIN {name}n USING (query_id) LEFT JOIN {name}d USING (query_id, term) GROUP BY query_id)"""
+
+
+_LENGTH = "CASE WHEN r < 0.2 THEN 0.2 WHEN r < 0.5 THEN 0.2 + (r - 0.2) / 0.3 * 0.8 WHEN r <= 1.5 THEN 1.0 ELSE greatest(0.3, 1 - (r - 1.5) / 3) END::DOUBLE"
+_ASKED = f"""
+named AS (SELECT item_id AS query_id, {_STRIP.format("text")} AS question FROM benchmark),
+words AS MATERIALIZED (SELECT *, list_distinct({TOKENS.format("question")}) AS k, {_grams("[2, 3, 4, 6]", "question")} AS g FROM named),
+asked AS MATERIALIZED (SELECT query_id, question, CASE WHEN len(list_filter(k, lambda w: length(w) > 1)) > 0 THEN list_filter(k, lambda w: length(w) > 1) ELSE k END AS terms, list_filter(g, lambda v, i: list_position(g, v) = i)[:40] AS phrases, {_grams("[2, 3, 4]", "question")}[:30] AS short, {_NUMBERS.format("question")} AS numbers FROM words)"""
+#: From the fused hits (those of `fused`, in order of `position`) to the five blocks of a question; `score` is what they are ordered by.
+_CANDIDATES = f"""
+place AS (SELECT *, least(1, rrf / (2 / 61.0)) AS final, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, vr NULLS LAST, br NULLS LAST, id) AS position FROM f),
+cand AS MATERIALIZED (SELECT place.*, text, list_distinct({TOKENS.format("coalesce(text, '')")}) AS tokens FROM place JOIN documents ON doc_id = id)"""
+_RERANKED = f"""{_terms("cand", "cw")},
+scored AS (SELECT *, round(0.40 * {_share("weights", "list_contains(tokens, v.t)", "v.w")} + 0.25 * {_share("phrases", "contains(text, v)", "length(v)::DOUBLE")} + 0.20 * ({_numbers("text", 0.5)}) + 0.15 * {_LENGTH}, 4) AS rerank FROM (SELECT c.*, phrases, numbers, weights, length(text) / 500.0::DOUBLE AS r FROM cand c JOIN asked USING (query_id) LEFT JOIN cw USING (query_id))),
+hit AS MATERIALIZED (SELECT query_id, id, text, tokens, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM (SELECT *, round(0.4 * final + 0.6 * rerank, 4) AS score FROM scored))"""
+
+
+def _deduped(hit: str, name: str) -> str:
+    """CTEs that end in `name`: query_id, block, id, score of the first five of `hit` that aren't like an earlier one kept."""
+    return f"""
+{name}near AS MATERIALIZED (SELECT a.query_id, a.rank, list(b.rank) AS l FROM {hit} a JOIN {hit} b ON a.query_id = b.query_id AND b.rank < a.rank AND least(len(a.tokens), len(b.tokens)) > 0.85 * greatest(len(a.tokens), len(b.tokens)) AND len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) > 0.85 GROUP BY ALL),
+{name}walk AS (SELECT query_id, count(*) AS m, 0::BIGINT AS i, []::BIGINT[] AS kept FROM {hit} GROUP BY 1 UNION ALL
+  SELECT w.query_id, m, i + 1, CASE WHEN len(list_intersect(coalesce(n.l, []), kept)) > 0 THEN kept ELSE list_append(kept, i + 1) END FROM {name}walk w LEFT JOIN {name}near n ON n.query_id = w.query_id AND n.rank = i + 1 WHERE i < m),
+{name} AS MATERIALIZED (SELECT query_id, block, id, score FROM (SELECT query_id, unnest(kept) AS rank, generate_subscripts(kept, 1) AS block FROM {name}walk WHERE i = m) JOIN {hit} USING (query_id, rank) WHERE block <= 5)"""
+
+
+_HYBRID = f"{_FUSED},{_ASKED},{_CANDIDATES},{_RERANKED},{_deduped('hit', 'found')}"
+_SCORED = f"""{_HYBRID},
+blocks AS MATERIALIZED (SELECT found.*, text, source, list_distinct({TOKENS.format("coalesce(text, '')")}) AS tokens FROM found JOIN documents ON doc_id = id),
+{_terms("blocks", "bw").strip()},
+{_sentences("blocks", "query_id, block, id", "sent").strip()},
+own AS (SELECT *, {_SOLID.format("sentence")} AS solid, list_distinct({TOKENS.format("sentence")}) AS k FROM sent),
+raw2 AS (SELECT own.*, 0.55 * {_share("weights", "list_contains(k, v.t)", "v.w")} + 0.25 * {_share("short", "contains(sentence, v)", "length(v)::DOUBLE")} + 0.20 * ({_numbers("sentence", 0.3)}) AS score, len(list_filter(terms, lambda t: list_contains(k, t))) AS matched FROM own JOIN asked USING (query_id) LEFT JOIN bw USING (query_id) WHERE solid >= 4),
+ev AS MATERIALIZED (SELECT *, CASE WHEN solid < 8 THEN greatest(0, score - 0.5) ELSE score END AS key FROM raw2),
+gates AS MATERIALIZED (SELECT query_id, coalesce(max(score), 0) AS best, coalesce(max(score) FILTER (matched >= 2), 0) AS corroborated, coalesce(max(score) FILTER (matched < 2), 0) AS lone, corroborated >= 0.08 OR lone >= 0.15 AS passed FROM named LEFT JOIN ev USING (query_id) GROUP BY 1)"""
+_ANSWERED = f"""{_SCORED},
+pick AS (SELECT *, row_number() OVER (PARTITION BY query_id, block ORDER BY spot) AS nth FROM (SELECT ev.*, row_number() OVER (PARTITION BY query_id ORDER BY round(key, 9) DESC, block, spot) AS n FROM ev JOIN gates USING (query_id) WHERE passed) WHERE n <= 4),
+line AS (SELECT *, '- ' || (CASE WHEN regexp_matches(sentence, '[。！？；.!?;]$') THEN sentence ELSE sentence || '。' END)[:220] || '[' || block || ']' AS line FROM pick WHERE nth <= 2),
+fit AS (SELECT *, sum(length(line)) OVER (PARTITION BY query_id ORDER BY block, spot) AS used FROM line),
+text AS (SELECT query_id, '{T.EXTRACTED}' || E'\\n' || string_agg(line, E'\\n' ORDER BY block, spot) AS answer FROM fit WHERE used <= 900 GROUP BY 1),
+answers AS MATERIALIZED (SELECT query_id, coalesce(answer, '{T.NO_ANSWER}') AS answer, answer IS NULL AS refused, CASE WHEN query_id NOT IN (SELECT query_id FROM blocks) THEN 'no_retrieval' WHEN answer IS NULL THEN 'model_refused' END AS reason FROM named LEFT JOIN text USING (query_id)),
+mark AS (SELECT query_id, unnest(list_transform(regexp_extract_all(answer, '\\[([0-9]{{1,2}})\\]', 1), lambda m: m::INT)) AS block, generate_subscripts(regexp_extract_all(answer, '\\[([0-9]{{1,2}})\\]', 1), 1) AS i FROM answers WHERE NOT refused),
+place2 AS (SELECT query_id, block, min(i) AS i FROM mark GROUP BY ALL),
+cite AS (SELECT b.*, i, max(i) OVER (PARTITION BY query_id) IS NULL AS fallback FROM blocks b JOIN answers USING (query_id) LEFT JOIN place2 USING (query_id, block) WHERE NOT refused),
+cited AS MATERIALIZED (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i, block) AS n, block, id, source, round(score, 4) AS score, text, fallback FROM cite WHERE i IS NOT NULL OR (fallback AND block <= 3))"""
+_SNIPPET = f"CASE WHEN length(t) <= 180 THEN t ELSE regexp_replace(t[:179], '{_SPACE}+$', '') || '…' END"
+
+
+@query(_HYBRID + " SELECT query_id, block AS rank, id, score FROM found")
 def hybrid_topk(spark, sf_dir):
-    return qa.retrieve(docs_of(spark, sf_dir), questions_of(spark, sf_dir))
+    """Fused, reranked hits without near-duplicates."""
+    out = qa.retrieve(qa.corpus(docs_of(spark, sf_dir)), questions_of(spark, sf_dir))
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-def _scored(spark, sf_dir):
-    docs, asked = docs_of(spark, sf_dir), questions_of(spark, sf_dir)
-    hits = S.bm25(asked, S.index(docs), 5)
-    named = asked.select("query_id", F.col("text").alias("question"))
-    found = qa.blocks(hits, docs)
-    return A.evidence(found, named), named, found
+@query(f"{_FUSED}, n AS (SELECT query_id, count(*) FILTER (vr IS NOT NULL) AS vector_hits, count(*) FILTER (br IS NOT NULL) AS bm25_hits, count(*) AS fused FROM f GROUP BY 1),{_ASKED},{_CANDIDATES},{_RERANKED},{_deduped('hit', 'found')} SELECT item_id AS query_id, coalesce(vector_hits, 0) AS vector_hits, coalesce(bm25_hits, 0) AS bm25_hits, coalesce(fused, 0) AS fused, (SELECT count(*) FROM found WHERE found.query_id = item_id) AS kept, CASE WHEN {_STRIP.format('text')} = '' THEN 'empty_query' WHEN fused IS NULL THEN 'no_hits' END AS note FROM benchmark LEFT JOIN n ON n.query_id = item_id")
+def retrieval_counters(spark, sf_dir):
+    held, asked = qa.corpus(docs_of(spark, sf_dir)), questions_of(spark, sf_dir)
+    found = qa.hits(held, asked)
+    return qa.counters(asked, found, qa.ranked(held, asked, found))
 
 
-@query()
+def _answered(spark, sf_dir):
+    return qa.answer(qa.corpus(docs_of(spark, sf_dir)), questions_of(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(_SCORED + " SELECT query_id, block, id, spot AS \"at\", sentence, round(score, 6) AS score, round(key, 6) AS key, matched FROM ev")
 def evidence_scores(spark, sf_dir):
-    return _scored(spark, sf_dir)[0]
+    out = _rounded(_answered(spark, sf_dir).found, "score", "key")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("block", "at", "matched")})
 
 
-@query()
+@query(_SCORED + " SELECT query_id, round(best, 6) AS best, round(corroborated, 6) AS corroborated, round(lone, 6) AS lone, passed FROM gates")
 def evidence_gate(spark, sf_dir):
-    scored, named, _ = _scored(spark, sf_dir)
-    return A.gate(scored, named)
+    return _rounded(_answered(spark, sf_dir).gates, "best", "corroborated", "lone")
 
 
-@query()
+@query(_ANSWERED + " SELECT query_id, answer, refused, reason FROM answers")
 def extractive_answer(spark, sf_dir):
-    scored, named, _ = _scored(spark, sf_dir)
-    return A.answer(scored, A.gate(scored, named))
+    return _answered(spark, sf_dir).answers
 
 
-@query()
+@query(_ANSWERED + f" SELECT query_id, n, block, id, source, score, {_SNIPPET} AS snippet, fallback FROM (SELECT *, {_STRIP.format('text')} AS t FROM cited)")
 def answer_citations(spark, sf_dir):
-    scored, named, found = _scored(spark, sf_dir)
-    return A.citations(A.answer(scored, A.gate(scored, named)), found)
+    out = _answered(spark, sf_dir).citations.drop("page")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("n", "block")})
 
 
-@query()
+_GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
+_GRID = f"""{_SCORED}, {_GOLD}, able AS (SELECT gates.*, query_id IN (SELECT query_id FROM gold) AS able FROM gates), pairs AS (SELECT c AS corroborated_at, x AS lone_at FROM (SELECT unnest([0.08, 0.10, 0.12]::DOUBLE[]) AS c), (SELECT unnest([0.12, 0.13, 0.14, 0.15, 0.18]::DOUBLE[]) AS x)),
+grid AS (SELECT corroborated_at, lone_at, coalesce(avg((corroborated >= corroborated_at OR lone >= lone_at)::INT) FILTER (able), 0)::DOUBLE AS answerable_pass, coalesce(avg((corroborated >= corroborated_at OR lone >= lone_at)::INT) FILTER (NOT able), 0)::DOUBLE AS refusal_pass FROM able, pairs GROUP BY ALL)"""
+
+
+def _grid(spark, sf_dir):
+    return A.gate_grid(_answered(spark, sf_dir).gates, gold_of(spark, sf_dir))
+
+
+@query(_GRID + " SELECT corroborated_at, lone_at, round(answerable_pass, 6) AS answerable_pass, round(refusal_pass, 6) AS refusal_pass FROM grid")
 def gate_grid(spark, sf_dir):
-    scored, named, _ = _scored(spark, sf_dir)
-    return A.gate_grid(A.gate(scored, named), gold_of(spark, sf_dir))
+    return _rounded(_grid(spark, sf_dir), "answerable_pass", "refusal_pass")
+
+
+@query(_GRID + " SELECT corroborated_at, lone_at FROM grid WHERE answerable_pass = 1 AND refusal_pass = 0 ORDER BY ALL LIMIT 1")
+def gate_first_perfect(spark, sf_dir):
+    return A.first_perfect(_grid(spark, sf_dir))
 
 
-_GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
 _CASES = f"WITH {_BM25.strip()}, {_GOLD}, h AS (SELECT query_id, min(CASE WHEN g.id IS NOT NULL THEN rank END) AS first, count(g.id) AS right, count(*) AS got FROM (SELECT * FROM bm25 WHERE rank <= 5) b LEFT JOIN gold g USING (query_id, id) GROUP BY 1), cases AS (SELECT item_id AS query_id, coalesce(n, 0) AS gold, first IS NOT NULL AS hit, coalesce(1 / first, 0)::DOUBLE AS rr, coalesce(\"right\" / greatest(got, 1), 0)::DOUBLE AS precision FROM benchmark LEFT JOIN (SELECT query_id AS item_id, count(*) AS n FROM gold GROUP BY 1) USING (item_id) LEFT JOIN (SELECT query_id AS item_id, first, \"right\", got FROM h) USING (item_id))".replace("AS right,", 'AS "right",')
 
 
@@ -340,15 +452,26 @@ def eval_summary(spark, sf_dir):
     return out.select("cases", "answerable", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "precision")))
 
 
-@query()
+_DENSE_ONLY = "dplace AS (SELECT query_id, id, rank AS position, rank FROM dense), donly AS (SELECT query_id, rank, id, list_distinct(" + TOKENS.format("coalesce(text, '')") + ") AS tokens, 0 AS score FROM dplace JOIN documents ON doc_id = id)"
+_FOUND_BY = "SELECT '{0}' AS config, query_id, block, id FROM {1}"
+
+
+@query(f"""{_FUSED},{_ASKED},{_CANDIDATES},{_RERANKED},{_deduped("hit", "found")}, {_DENSE_ONLY},{_deduped("donly", "dfound")},
+fhit AS (SELECT query_id, position AS rank, id, tokens, final AS score FROM cand),{_deduped("fhit", "ffound")}, {_GOLD},
+every AS ({_FOUND_BY.format("dense", "dfound")} UNION ALL {_FOUND_BY.format("dense_bm25", "ffound")} UNION ALL {_FOUND_BY.format("dense_bm25_rerank", "found")}),
+per AS (SELECT config, query_id, min(block) FILTER (g.id IS NOT NULL) AS first, count(g.id) AS good, count(*) AS got FROM every LEFT JOIN gold g USING (query_id, id) GROUP BY ALL),
+cs AS (SELECT config, item_id, item_id IN (SELECT query_id FROM gold) AS able, first, coalesce(good / greatest(got, 1), 0) AS precision FROM benchmark CROSS JOIN (SELECT unnest(['dense', 'dense_bm25', 'dense_bm25_rerank']) AS config) c LEFT JOIN per ON per.query_id = item_id AND per.config = c.config)
+SELECT config, count(*) AS cases, count(*) FILTER (able) AS answerable, round(coalesce(avg((first IS NOT NULL)::INT) FILTER (able), 0), 6) AS recall, round(coalesce(avg(coalesce(1 / first, 0)) FILTER (able), 0), 6) AS mrr, round(coalesce(avg(precision) FILTER (able), 0), 6) AS precision FROM cs GROUP BY config""".replace("SELECT config, item_id,", "SELECT c.config, item_id,"))
 def eval_ablation(spark, sf_dir):
-    """Summary for dense hits alone, fused hits and reranked hits."""
-    docs, asked, gold = docs_of(spark, sf_dir), questions_of(spark, sf_dir), gold_of(spark, sf_dir)
+    """Summary for dense hits alone, fused hits and reranked hits, from one index and one search."""
+    asked, gold = questions_of(spark, sf_dir), written(gold_of(spark, sf_dir), "gold")
+    held = qa.corpus(docs_of(spark, sf_dir))
+    both = qa.hits(held, asked)
     out = None
-    for name, options in (("dense", {"hybrid": False, "reranked": False}), ("dense_bm25", {"reranked": False}), ("dense_bm25_rerank", {})):
-        row = A.summarise(A.metrics(qa.retrieve(docs, asked, **options), gold, asked)).withColumn("config", F.lit(name))
+    for name, found, reranked in (("dense", (both[0], both[1].limit(0)), False), ("dense_bm25", both, False), ("dense_bm25_rerank", both, True)):
+        row = A.summarise(A.metrics(qa.ranked(held, asked, found, reranked=reranked), gold, asked)).withColumn("config", F.lit(name))
         out = row if out is None else out.union(row)
-    return out
+    return _rounded(out, "recall", "mrr", "precision")
 
 
 @query()
@@ -384,16 +507,19 @@ def rewrite_validation(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", M.rewritten_or(F.col("role"), F.col("text")).alias("question"))
 
 
-@query()
+@query(_SCORED + """, b AS (SELECT query_id, count(*) AS sentences, max(matched) AS max_matched, arg_max(matched, {'s': round(score, 9), 'k': round(key, 9), 'b': -block, 'a': -spot}) AS best_matched FROM ev GROUP BY 1)
+SELECT query_id, round(best, 4) AS best_score, round(corroborated, 4) AS corroborated_score, round(lone, 4) AS lone_score, coalesce(best_matched, 0) AS best_matched, coalesce(max_matched, 0) AS max_matched, CASE WHEN corroborated >= 0.08 THEN 0.08 ELSE 0.15 END::DOUBLE AS required, passed AS gate_pass, coalesce(sentences, 0) AS sentences FROM gates LEFT JOIN b USING (query_id)""")
 def evidence_report(spark, sf_dir):
-    scored, named, _ = _scored(spark, sf_dir)
-    return A.report(scored, named)
+    held = _answered(spark, sf_dir)
+    out = A.report(held.found, questions_of(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("best_matched", "max_matched")})
 
 
-@query()
+@query(_ANSWERED + " SELECT coalesce(reason, 'answered') AS reason, count(*) AS questions FROM answers GROUP BY 1")
 def answer_outcome(spark, sf_dir):
-    scored, named, found = _scored(spark, sf_dir)
-    return A.outcome(A.answer(scored, A.gate(scored, named)), found)
+    """How many questions are answered, and how many are refused for each reason."""
+    rows = _answered(spark, sf_dir).answers
+    return rows.groupBy(F.coalesce("reason", F.lit("answered")).alias("reason")).agg(F.count("*").alias("questions"))
 
 
 _FOLD = "lower(regexp_replace({0}, '\\s', '', 'g'))"
@@ -403,7 +529,7 @@ _FOLD = "lower(regexp_replace({0}, '\\s', '', 'g'))"
 def eval_answer_hits(spark, sf_dir):
     """Whether one of the top five documents holds the question's whole text."""
     docs, asked = docs_of(spark, sf_dir), questions_of(spark, sf_dir)
-    out = A.answer_hits(qa.blocks(S.bm25(asked, S.index(docs), 5), docs), asked.select("query_id", F.array("text").alias("gold_keywords")))
+    out = A.answer_hits(qa.blocks(S.bm25(asked, S.index(docs), 5), docs.withColumnRenamed("doc_id", "id")), asked.select("query_id", F.array("text").alias("gold_keywords")))
     return out.select("query_id", F.col("answer_rank").cast("long").alias("answer_rank"), "answer_hit", F.round("answer_rr", 6).alias("answer_rr"))
 
 
@@ -417,15 +543,38 @@ def score_separation(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query()
+_EVAL = f"""{_ANSWERED}, {_GOLD}, first AS (SELECT query_id, min(id) AS id, count(*) AS n FROM gold GROUP BY 1),
+ac AS (SELECT a.query_id, first.id IS NULL AS expect_refusal, EXISTS (SELECT 1 FROM cited c WHERE c.query_id = a.query_id AND c.id = first.id) AS citation_hit, contains(answer, question) AS keyword_hit, refused FROM answers a JOIN named n USING (query_id) LEFT JOIN first USING (query_id)),
+per AS (SELECT query_id, min(block) FILTER (g.id IS NOT NULL) AS first, count(g.id) AS good, count(*) AS got FROM found LEFT JOIN gold g USING (query_id, id) GROUP BY 1),
+held AS (SELECT query_id, min(block) AS r FROM blocks JOIN named USING (query_id) WHERE {_FOLD.format('question')} <> '' AND contains({_FOLD.format('text')}, {_FOLD.format('question')}) GROUP BY 1),
+ec AS (SELECT ac.*, first, good, got, r FROM ac LEFT JOIN per USING (query_id) LEFT JOIN held USING (query_id))"""
+
+
+def _eval_cases(spark, sf_dir):
+    """Answers, cases, and blocks; the gold source is the smallest gold document, the keyword the question itself."""
+    held, gold = _answered(spark, sf_dir), written(gold_of(spark, sf_dir), "gold")
+    named = qa.asked_of(questions_of(spark, sf_dir))
+    source = gold.groupBy("query_id").agg(F.min("id").cast("string").alias("gold_source"))
+    cases = named.join(source, "query_id", "left").select("query_id", F.coalesce("gold_source", F.lit("")).alias("gold_source"), F.array("question").alias("gold_keywords"), F.col("gold_source").isNull().alias("expect_refusal"))
+    cited = held.citations.select("query_id", F.col("id").cast("string").alias("source"))
+    return A.answer_cases(held.answers, cited, cases), cases, held, gold, named
+
+
+@query(_EVAL + " SELECT round(coalesce(avg(citation_hit::INT) FILTER (NOT expect_refusal), 0), 6) AS citation_accuracy, round(coalesce(avg(keyword_hit::INT) FILTER (NOT expect_refusal), 0), 6) AS keyword_hit_rate, round(coalesce(avg(refused::INT) FILTER (expect_refusal), 0), 6) AS refusal_accuracy FROM ac")
 def eval_answers(spark, sf_dir):
-    """Citation accuracy, keyword hits and refusals; the gold source is the smallest gold document, the keyword the question itself."""
-    scored, named, found = _scored(spark, sf_dir)
-    answers = A.answer(scored, A.gate(scored, named))
-    gold = gold_of(spark, sf_dir).groupBy("query_id").agg(F.min("id").cast("string").alias("gold_source"))
-    cases = named.join(gold, "query_id", "left").select("query_id", F.coalesce("gold_source", F.lit("")).alias("gold_source"), F.array("question").alias("gold_keywords"), F.col("gold_source").isNull().alias("expect_refusal"))
-    cited = A.citations(answers, found).select("query_id", F.col("id").cast("string").alias("source"))
-    return A.answer_summary(A.answer_cases(answers, cited, cases))
+    """Citation accuracy, keyword hits and refusals."""
+    out = A.answer_summary(_eval_cases(spark, sf_dir)[0])
+    return _rounded(out, *out.columns)
+
+
+@query(_EVAL + """ SELECT *, recall >= 0.6 AND (refusals = 0 OR refusal_accuracy >= 0.6) AS passed FROM (SELECT count(*) AS cases, count(*) FILTER (NOT expect_refusal) AS answerable, count(*) FILTER (expect_refusal) AS refusals, round(coalesce(avg((first IS NOT NULL)::INT) FILTER (NOT expect_refusal), 0), 6) AS recall, round(coalesce(avg(coalesce(good / got, 0)) FILTER (NOT expect_refusal), 0), 6) AS precision, round(coalesce(avg(coalesce(1 / first, 0)) FILTER (NOT expect_refusal), 0), 6) AS mrr,
+round(coalesce(avg((r IS NOT NULL)::INT) FILTER (NOT expect_refusal), 0), 6) AS answer_hit, round(coalesce(avg(coalesce(1 / r, 0)) FILTER (NOT expect_refusal), 0), 6) AS answer_mrr, round(coalesce(avg(citation_hit::INT) FILTER (NOT expect_refusal), 0), 6) AS citation_accuracy, round(coalesce(avg(keyword_hit::INT) FILTER (NOT expect_refusal), 0), 6) AS keyword_hit_rate, round(coalesce(avg(refused::INT) FILTER (expect_refusal), 0), 6) AS refusal_accuracy, 0::BIGINT AS errors FROM ec)""")
+def eval_full(spark, sf_dir):
+    """All measures of an evaluation in one row."""
+    answered, cases, held, gold, named = _eval_cases(spark, sf_dir)
+    ranked = held.blocks.withColumnRenamed("block", "rank")
+    out = A.evaluation(A.metrics(ranked, gold, named), A.answer_hits(held.blocks, cases), answered, named)
+    return _rounded(out, *(c for c, t in out.dtypes if t == "double"))
 
 
 def queries() -> dict[str, Query]:
