@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import number_share, share_of, term_weights, weights
+from .search import coverage, number_share, phrase_share, term_weights, total_length
 
 #: Thresholds of the evidence gate and bounds of an answer.
 CORROBORATED, LONE, TERMS, SENTENCES, PER_BLOCK, CHARS, LINE = 0.08, 0.15, 2, 4, 2, 900, 220
@@ -21,16 +21,14 @@ def evidence(blocks: DataFrame, questions: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     asked = questions.select("query_id", T.content_terms(T.tokens(F.col("question"))).alias("terms"), T.phrases(F.col("question"), (2, 3, 4), 30, False).alias("phrases"), T.numbers(F.col("question")).alias("numbers"))
+    asked = asked.withColumn("letters", total_length(F.col("phrases")))
     asked = term_weights(blocks.withColumn("tokens", T.tokens(text)), "query_id", "tokens", asked)
-    rows = blocks.select("query_id", "block", "id", F.posexplode_outer(T.sentences(text)).alias("at", "sentence")).where(T.effective_length(F.col("sentence")) >= 4)  # none for null
-    rows = rows.withColumn("tokens", F.array_distinct(T.tokens(F.col("sentence")))).join(asked, "query_id")
-    has = lambda t: F.array_contains("tokens", t)
     s = F.col("sentence")
-    coverage = share_of(weights(), lambda t: has(t["term"]), lambda t: t["w"])
-    phrase = share_of(F.col("phrases"), lambda p: F.contains(s, p), lambda p: F.length(p).cast("double"))
-    rows = rows.withColumn("score", 0.55 * coverage + 0.25 * phrase + 0.20 * number_share(F.col("numbers"), s, 0.3))
-    key = F.when(T.effective_length(s) < 8, F.greatest(F.lit(0.0), F.col("score") - 0.5)).otherwise(F.col("score"))
-    return rows.select("query_id", "block", "id", "at", "sentence", "score", key.alias("key"), F.size(F.filter("terms", has)).alias("matched"))
+    rows = blocks.select("query_id", "block", "id", F.posexplode_outer(T.sentences(text)).alias("at", "sentence")).withColumn("solid", T.effective_length(s)).where("solid >= 4")  # none for null
+    rows = rows.withColumn("tokens", T.tokens(s)).join(asked, "query_id").withColumn("matched", F.array_intersect("terms", "tokens"))
+    rows = rows.withColumn("score", 0.55 * coverage(F.col("matched")) + 0.25 * phrase_share(F.col("phrases"), s, F.col("letters")) + 0.20 * number_share(F.col("numbers"), s, 0.3))
+    key = F.when(F.col("solid") < 8, F.greatest(F.lit(0.0), F.col("score") - 0.5)).otherwise(F.col("score"))
+    return rows.select("query_id", "block", "id", "at", "sentence", "score", key.alias("key"), F.size("matched").alias("matched"))
 
 
 def gate(found: DataFrame, questions: DataFrame) -> DataFrame:

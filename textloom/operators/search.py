@@ -112,16 +112,23 @@ def bm25(questions: DataFrame, held: Index, k: int = 20) -> DataFrame:
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def gram_weights(c: Column) -> Column:
-    """array<struct<gram, w>>: letters (1, counted), words of two characters and more (2); of CJK runs characters (1), pairs (2) and triples (1.5).  Those of weight 0 don't count."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    one = lambda g, w: F.struct(g.alias("gram"), w.alias("w"))
-    letters = F.array(*(one(F.lit(g), (F.length(low) - F.length(F.replace(low, F.lit(g)))).cast("double")) for g in LETTERS))
-    latin = F.transform(F.split(low, "[^a-z0-9]+"), lambda g: one(g, F.when(F.length(g) > 1, 2.0).otherwise(0.0)))
+def _grams(low: Column) -> Column:
+    """array<string>: words, CJK characters, pairs and triples, and for each letter `letter:count`; strings explode faster than structs."""
+    letters = F.array(*(F.concat(F.lit(f"{g}:"), F.octet_length(low) - F.octet_length(F.replace(low, F.lit(g)))) for g in LETTERS))
     runs = F.regexp_extract_all(low, F.lit(f"({T.CJK}+)"), F.lit(1))
-    of = lambda s, n, w: F.transform(F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: one(F.substr(s, i, F.lit(n)), F.lit(w)))
-    cjk = F.when(low.rlike(T.CJK), F.flatten(F.transform(runs, lambda s: F.concat(of(s, 1, 1.0), of(s, 2, 2.0), of(s, 3, 1.5)))))
-    return F.concat(letters, latin, F.coalesce(cjk, F.array().cast("array<struct<gram: string, w: double>>")))
+    of = lambda s, n: F.transform(F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(s, i, F.lit(n)))
+    cjk = F.when(low.rlike(T.CJK), F.flatten(F.transform(runs, lambda s: F.concat(*(of(s, n) for n in (1, 2, 3))))))
+    return F.concat(letters, F.split(low, "[^a-z0-9]+"), F.coalesce(cjk, F.array().cast("array<string>")))
+
+
+def gram_weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, gram, w: letters (1, counted), words of two characters and more (2); of CJK runs characters (1), pairs (2) and triples (1.5)."""
+    own = docs.select(F.col(key).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).repartition("id")  # texts are smaller than their grams, and no later step shuffles
+    found = own.select("id", F.explode_outer(_grams(F.col("low"))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("n"))
+    gram, n = F.col("gram"), F.length("gram")
+    letter = F.substring("gram", 2, 1) == ":"
+    each = F.when(letter, F.substring("gram", 3, 20).cast("double")).when(gram >= "\u4e00", F.when(n == 2, 2.0).when(n == 3, 1.5).otherwise(1.0)).when(n > 1, 2.0).otherwise(0.0)
+    return found.select("id", F.when(letter, F.left(gram, F.lit(1))).otherwise(gram).alias("gram"), (each * F.col("n")).alias("w")).where("w > 0")
 
 
 def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
@@ -131,8 +138,7 @@ def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim
 
 def sparse_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
     """id, v array<struct<bucket, value>>: `hashed_vectors` with one row for each text that has any."""
-    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")  # texts are smaller than their grams, and no later step shuffles
-    grams = own.select("id", F.explode_outer(gram_weights(F.col("text"))).alias("g")).where("g.w > 0").groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
+    grams = gram_weights(docs, key, text)
     h = F.md5("gram")
     sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % 2 == 1, 1.0).otherwise(-1.0)
     sums = grams.select("id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("bucket"), (sign * (1 + F.log("w"))).alias("v")).groupBy("id", "bucket").agg(F.sum("v").alias("v")).where("abs(v) > 1e-9")
@@ -272,11 +278,14 @@ def length_score(n: Column, ideal: int = 500) -> Column:
     return F.when(r < 0.2, 0.2).when(r < 0.5, 0.2 + (r - 0.2) / 0.3 * 0.8).when(r <= 1.5, 1.0).otherwise(F.greatest(F.lit(0.3), 1 - (r - 1.5) / 3)) if ideal > 0 else F.lit(1.0)
 
 
-def share_of(values: Column, present, weight=lambda v: F.lit(1.0)) -> Column:
-    """Weighted share of an array's values that satisfy `present`; 0 for none."""
-    add = lambda keep: F.aggregate(values, F.lit(0.0), lambda a, v: a + F.when(keep(v), weight(v)).otherwise(0.0))
-    total = add(lambda v: F.lit(True))
-    return F.when(total > 0, add(present) / total).otherwise(F.lit(0.0))
+def phrase_share(found: Column, text: Column, total: Column) -> Column:
+    """Share by length of the phrases that stand in the text; 0 for none."""
+    hit = F.aggregate(found, F.lit(0), lambda a, p: a + F.when(F.contains(text, p), F.length(p)).otherwise(0))
+    return F.when(total > 0, hit / total).otherwise(F.lit(0.0))
+
+
+def total_length(found: Column) -> Column:
+    return F.aggregate(found, F.lit(0), lambda a, p: a + F.length(p))
 
 
 def number_share(asked: Column, text: Column, some: float) -> Column:
@@ -284,30 +293,45 @@ def number_share(asked: Column, text: Column, some: float) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(T.numbers(text), asked)) / F.size(asked)).otherwise(F.when(text.rlike(T.DIGIT), some).otherwise(0.0))
 
 
-def weights() -> Column:
-    return F.coalesce("weights", F.array().cast("array<struct<term: string, w: double>>"))
-
-
 def term_weights(candidates: DataFrame, group: str, tokens: str, asked: DataFrame) -> DataFrame:
-    """asked(group, terms) with weights array<struct<term, w>>: ln((1 + n) / (1 + df)) + 1 over the group's own candidates."""
+    """asked(group, terms) with the map `weights`, ln((1 + n) / (1 + df)) + 1 over the group's own candidates, and their total."""
     rows = candidates.groupBy(group).agg(F.count("*").alias("n"))
-    df = candidates.select(group, F.explode_outer(F.array_distinct(tokens)).alias("term")).where("term is not null").groupBy(group, "term").agg(F.count("*").alias("df"))
+    df = candidates.select(group, F.explode_outer(F.array_distinct(tokens)).alias("term")).where("term is not null").join(asked.select(group, F.explode("terms").alias("term")), [group, "term"], "left_semi").groupBy(group, "term").agg(F.count("*").alias("df"))
     each = asked.select(group, F.explode("terms").alias("term")).join(rows, group).join(df, [group, "term"], "left")
     weight = F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    each = each.groupBy(group).agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("weights"))  # one question's terms
-    return asked.join(each, group, "left")
+    each = each.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("term", weight.alias("w")))).alias("weights"), F.sum(weight).alias("total"))  # one question's terms
+    none = F.create_map().cast("map<string, double>")
+    return asked.join(each, group, "left").withColumns({"weights": F.coalesce("weights", none), "total": F.coalesce("total", F.lit(0.0))})
+
+
+def coverage(matched: Column) -> Column:
+    """Share by weight of a question's terms that are `matched`; 0 without terms."""
+    found = F.aggregate(matched, F.lit(0.0), lambda a, t: a + F.coalesce(F.element_at("weights", t), F.lit(0.0)))
+    return F.when(F.col("total") > 0, found / F.col("total")).otherwise(F.lit(0.0))
 
 
 #: Rows of a side that is broadcast.
 SENT = 500_000
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """`df` of that many rows in parts of 200 or more, where each row is much work and the parts are fewer than the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = min(-(-rows // 200), cores)
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SENT else df
+
+
 def candidates(fused: DataFrame, docs: DataFrame) -> DataFrame:
     """`fused` hits with the texts of docs(id, text) and their distinct tokens, as a table; texts move only where there are more than SENT hits."""
     hits = written(fused, "fused")
-    small = F.broadcast(hits) if hits.count() <= SENT else hits
-    rows = small.join(docs.select("id", "text"), "id")
-    return written(rows.withColumn("tokens", F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))), "candidates")
+    n = hits.count()
+    texts = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(sent(hits.select("id").distinct(), n), "id", "left_semi")
+    texts = texts.withColumn("tokens", F.array_distinct(T.tokens(F.col("text"))))
+    return spread(written(texts.join(sent(hits, n), "id"), "candidates"), n)
 
 
 def rerank(rows: DataFrame, questions: DataFrame, ideal: int = 500, blend: float = 0.6) -> DataFrame:
@@ -317,12 +341,11 @@ def rerank(rows: DataFrame, questions: DataFrame, ideal: int = 500, blend: float
     question's own candidates.
     """
     asked = questions.select("query_id", T.content_terms(T.tokens(F.col("question"))).alias("terms"), T.phrases(F.col("question"), (2, 3, 4, 6), 40, True).alias("phrases"), T.numbers(F.col("question")).alias("numbers"))
+    asked = asked.withColumn("letters", total_length(F.col("phrases")))
     known = written(term_weights(rows, "query_id", "tokens", asked), "weights")
-    rows = rows.join(F.broadcast(known) if known.count() <= SENT // 50 else known, "query_id")
-    text = F.coalesce("text", F.lit(""))
-    coverage = share_of(weights(), lambda t: F.array_contains("tokens", t["term"]), lambda t: t["w"])
-    phrase = share_of(F.col("phrases"), lambda p: F.contains(text, p), lambda p: F.length(p).cast("double"))
-    score = 0.40 * coverage + 0.25 * phrase + 0.20 * number_share(F.col("numbers"), text, 0.5) + 0.15 * length_score(F.length(text), ideal)
+    rows = rows.join(sent(known, known.count() * 50), "query_id").withColumn("matched", F.array_intersect("terms", "tokens"))
+    text = F.col("text")
+    score = 0.40 * coverage(F.col("matched")) + 0.25 * phrase_share(F.col("phrases"), text, F.col("letters")) + 0.20 * number_share(F.col("numbers"), text, 0.5) + 0.15 * length_score(F.length(text), ideal)
     out = rows.withColumn("rerank", F.round(score, 4)).withColumn("score", F.round((1 - blend) * F.col("final") + blend * F.col("rerank"), 4))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
     return out.select("query_id", "id", "tokens", "final", "rerank", "score", F.row_number().over(order).alias("rank"))

@@ -71,8 +71,9 @@ def counters(questions: DataFrame, found: tuple[DataFrame, DataFrame], kept: Dat
 def blocks(found: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, block, score, and the columns of docs(id, text, ...) for ranked hits, as a table."""
     found = written(found, "ranked")
-    small = F.broadcast(found) if found.count() <= S.SENT else found
-    return written(small.join(docs, "id").select("query_id", F.col("rank").alias("block"), "score", *docs.columns), "blocks")
+    n = found.count()
+    rows = docs.join(S.sent(found, n), "id").select("query_id", F.col("rank").alias("block"), "score", *docs.columns)
+    return S.spread(written(rows, "blocks"), n)
 
 
 @dataclass

@@ -258,7 +258,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, gram, w FROM dgrams")
 def ngram_weights(spark, sf_dir):
-    return docs_of(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode_outer(S.gram_weights(F.col("text"))).alias("g")).where("g.w > 0").groupBy("id", "g.gram").agg(F.sum("g.w").alias("w"))
+    return S.gram_weights(docs_of(spark, sf_dir))
 
 
 @query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, bucket, round(value, 6) AS value FROM dvec")
