@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, read, small_batches
+from .common import give_back, pieces, read, small_batches
 
 
 def _byte_letters() -> list[str]:
@@ -175,10 +175,11 @@ class WordBpe:
 _loaded: dict[str, WordBpe] = {}
 
 
-def tokenizer(path: str) -> WordBpe:
-    """One per worker and file; the file must be at `path` on every executor."""
+def tokenizer(path: str, keep: int = 400_000) -> WordBpe:
+    """One per worker and file, which remembers `keep` words from now on; the file must be at `path` on every executor."""
     if path not in _loaded:
         _loaded[path] = WordBpe(path)
+    _loaded[path].keep = keep
     return _loaded[path]
 
 
@@ -203,6 +204,34 @@ def encode(docs: DataFrame, path: str, column: str = "text", into: str = "ids")
     return docs.drop(into).mapInArrow(run, types)
 
 
+def _texts_of(ids: pa.Array, names: dict[int, str], shown: pa.Array) -> pa.Array:
+    """The decoded text of each id list; null lists give an empty text, unknown ids leave no space behind."""
+    ids = ids.fill_null([]) if ids.null_count else ids
+    flat = ids.flatten()
+    known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(shown)))
+    parts = shown.take(pc.if_else(pc.fill_null(known, False), flat, pa.scalar(None, flat.type)))
+    if parts.null_count:
+        return pa.array([" ".join([names[i] for i in row if i in names]) for row in ids.to_pylist()], pa.string())
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), parts), " ")
+
+
+def round_trip(docs: DataFrame, path: str, keep: int = 100_000) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded text of each whole text, by one Python worker a task; `keep` encoded words are remembered in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path, keep)
+        shown = pa.array([bpe.names.get(i) for i in range(max(bpe.names) + 1)], pa.string())
+        for rows, _, _ in pieces(batches, most=256 << 10):
+            ids = pa.array(bpe.encode(rows.column("text").to_pylist()), pa.list_(pa.int32()))
+            yield pa.record_batch([rows.column("doc_id"), ids.value_lengths().cast(pa.int64()), ids, _texts_of(ids, bpe.names, shown)], names=["doc_id", "n_tokens", "ids", "decoded"])
+        give_back()
+
+    small_batches(docs.sparkSession)
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded string")
+
+
 def decode(tokens: DataFrame, path: str, column: str = "ids", into: str = "decoded") -> DataFrame:
     """`tokens` with the text of each id array, specials included; null ids give an empty text."""
     types = T.StructType([*tokens.drop(into).schema, T.StructField(into, T.StringType())])
@@ -215,15 +244,7 @@ def decode(tokens: DataFrame, path: str, column: str = "ids", into: str = "decod
             while at < batch.num_rows:
                 rows = batch.slice(at, 200)
                 at += 200
-                ids = rows.column(column).fill_null([])
-                flat = ids.flatten()
-                known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(shown)))
-                parts = shown.take(pc.if_else(pc.fill_null(known, False), flat, pa.scalar(None, flat.type)))
-                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pc.fill_null(parts, "")), " ")
-                if parts.null_count:  # unknown ids leave no space behind
-                    texts = pa.array([" ".join([names[i] for i in row if i in names]) for row in ids.to_pylist()], pa.string())
-                yield pa.record_batch([*rows.columns, texts], names=[*rows.schema.names, into])
+                yield pa.record_batch([*rows.columns, _texts_of(rows.column(column), names, shown)], names=[*rows.schema.names, into])
 
     return tokens.drop(into).mapInArrow(run, types)
 
