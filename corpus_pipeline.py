@@ -34,9 +34,7 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and what they decode to."""
-    path = bpe.default_vocabulary()
-    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
-    return tokens.selectExpr("doc_id", "cast(size(ids) as long) as n_tokens", "ids", "decoded")
+    return bpe.round_trip(docs, bpe.default_vocabulary())
 
 
 STAGES = [
