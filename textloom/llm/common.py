@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 _LIBC = ctypes.CDLL(None)  # this process and its libraries
 
 #: Bytes of text that one numpy pass works on; bounds a Python worker's memory.
@@ -38,23 +38,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a new one only where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """`df` as a table in the shared folder, by small Arrow batches."""
+    small_batches(df.sparkSession)
+    return tables.written(df, name)
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
