@@ -45,7 +45,7 @@ class Block:
 
     ids: list
     hashes: list[np.ndarray]
-    tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     bits: np.ndarray
 
 
@@ -63,7 +63,12 @@ def build(items: list[tuple[object, np.ndarray]], masks: tuple[str, ...] = MASKS
         item = np.concatenate([np.full(len(s), k, np.int32) for s, k in parts])
         place = np.concatenate([np.arange(len(s), dtype=np.int32) for s, _ in parts])
         order = np.argsort(seeds, kind="stable")
-        block.tables[mask] = (seeds[order], item[order], place[order])
+        seeds, item, place = seeds[order], item[order], place[order]
+        # neighbouring places of one seed in one item (as in a run of equal words) are one entry
+        new = np.ones(len(seeds), bool)
+        new[1:] = (seeds[1:] != seeds[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)
+        begin = np.flatnonzero(new)
+        block.tables[mask] = (seeds[begin], item[begin], place[begin], place[np.append(begin[1:], len(seeds)) - 1])
         block.bits[seeds >> np.uint64(64 - _BITS)] = True
     return block
 
@@ -89,6 +94,38 @@ def _blocks(benchmark: DataFrame, key: str, most: int) -> Iterator[list[tuple[ob
         yield held
 
 
+def _expanded(n: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray]]:
+    """Slices of about `most` repetitions (n[i] of i), each with the numbers 0.. of the repetitions of every i."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        part = n[at:to]
+        yield slice(at, to), np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+        at = to
+
+
+class Alignments:
+    """Distinct (document, item, begin of the item in the piece), in bounded memory: doubles are dropped as they gather."""
+
+    def __init__(self, items: int, span: int) -> None:
+        self.items, self.span, self.parts, self.size = items, span, [np.zeros(0, np.int64)], 0
+
+    def add(self, doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        for s, more in _expanded(high - low + 1):
+            n = (high - low + 1)[s]
+            self.parts.append(np.unique(np.repeat((doc[s] * self.items + item[s]) * (2 * self.span) + self.span + low[s], n) + more))
+            self.size += len(self.parts[-1])
+            if self.size > 1 << 22:
+                self.parts = [np.unique(np.concatenate(self.parts))]
+                self.size = 0
+
+    def all(self) -> Iterator[tuple[int, int, int]]:
+        keys = np.unique(np.concatenate(self.parts))
+        for at in range(0, len(keys), 1 << 16):
+            pair, begin = np.divmod(keys[at : at + (1 << 16)], 2 * self.span)
+            yield from zip((pair // self.items).tolist(), (pair % self.items).tolist(), (begin - self.span).tolist(), strict=True)
+
+
 def best_overlap(same: np.ndarray, share: float) -> tuple[int, int]:
     """(begin, end) of the stretch with the most matches among those of which `share` or more are matches."""
     total = np.concatenate([[0.0], np.cumsum(same - share)])
@@ -121,8 +158,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
             low = LOWER[data]
             starts, ends, first = words(low, offs, NON_ALNUM)
             hashes = word_hashes(low, starts, ends)
-            found = []
-            for mask, (seeds, of, place) in block.tables.items():
+            found = Alignments(len(block.ids), len(hashes) + max(map(len, block.hashes)) + 1)
+            for mask, (seeds, of, least, last) in block.tables.items():
                 here = _seeds(hashes, mask)
                 at = np.flatnonzero(block.bits[here >> np.uint64(64 - _BITS)])
                 lo, hi = np.searchsorted(seeds, here[at], "left"), np.searchsorted(seeds, here[at], "right")
@@ -131,14 +168,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
                 doc = np.searchsorted(first, at, "right") - 1
                 whole = at + len(mask) <= first[doc + 1]  # within one document
                 at, lo, n, doc = at[whole], lo[whole], n[whole], doc[whole]
-                for b in range(0, len(at), 1 << 16):  # a seed may have very many places
-                    s = slice(b, b + (1 << 16))
-                    k = np.repeat(lo[s] - np.concatenate([[0], np.cumsum(n[s])[:-1]]), n[s]) + np.arange(n[s].sum())
-                    found.append(np.unique(np.stack([np.repeat(doc[s], n[s]), of[k], np.repeat(at[s], n[s]) - place[k]]), axis=1))
-            if not found or not sum(f.shape[1] for f in found):
-                return None
+                # neighbouring hits of one seed are one run, from its first to its last place
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1] + 1) | (lo[1:] != lo[:-1]) | (doc[1:] != doc[:-1])
+                begin = np.flatnonzero(new)
+                end = at[np.append(begin[1:], len(at)) - 1] if len(at) else at
+                at, lo, n, doc = at[begin], lo[begin], n[begin], doc[begin]
+                for s, more in _expanded(n):
+                    k = np.repeat(lo[s], n[s]) + more
+                    found.add(np.repeat(doc[s], n[s]), of[k].astype(np.int64), np.repeat(at[s], n[s]) - last[k], np.repeat(end[s], n[s]) - least[k])
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for doc, k, begin in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
+            for doc, k, begin in found.all():
                 words_of = block.hashes[k]
                 a, b = max(begin, int(first[doc])), min(begin + len(words_of), int(first[doc + 1]))
                 same = hashes[a:b] == words_of[a - begin : b - begin]
