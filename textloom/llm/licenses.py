@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,6 +90,7 @@ class Scanner:
             finals[self.sam.add([ids[w] for w in _words(phrase)], len(texts))[-1]] = (label, len(_words(phrase)))
         for state in self.sam.finish():
             ends[self.sam.link[state]] |= ends[state]
+        self.least = min([self.shortest, *(len(_words(p)) for p in self.phrases)])
         self.ends = {s: sorted(e) for s, e in ends.items() if s > 0}
         self.phrase_at: dict[int, list[tuple[str, int]]] = {}
         for state in range(1, len(self.sam.length)):
@@ -123,16 +124,18 @@ class Scanner:
 
     def chains(self, matches: list[tuple[int, int, int]]) -> dict[int, float]:
         """For each template the largest share that a chain of its matches covers, in order in both texts."""
-        by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        by: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         for end, size, state in matches:
             for k, to in self.ends.get(state, ()):
-                by[k].append((end, to, min(size, to)))
+                by[k].append((end, to, min(size, to), end - size))
         best = {}
         for k, found in by.items():
-            done: list[tuple[int, int, int]] = []  # (end in file, end in template, words covered)
+            done: deque[tuple[int, int, int]] = deque()  # (end in file, end in template, words covered)
             top = 0
-            for end, to, size in found:
+            for end, to, size, begin in found:
                 covered = size
+                while done and done[0][0] < begin - self.gap:  # matches begin no earlier than those before them
+                    done.popleft()
                 for e, t, c in reversed(done):
                     if end - size - e > self.gap:
                         break
@@ -140,8 +143,6 @@ class Scanner:
                     if t < to and e < end and to - size - t <= self.gap and over < size:
                         covered = max(covered, c + size - over)
                 done.append((end, to, covered))
-                if len(done) > 4 * self.gap + 64:
-                    del done[: 2 * self.gap]
                 top = max(top, covered)
             best[k] = min(1.0, top / self.sizes[k])
         return best
@@ -173,7 +174,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
         cut[first] = True
         begins = np.flatnonzero(known[1:-1] & (~known[:-2] | cut[:-1]))
         stops = np.flatnonzero(known[1:-1] & (~known[2:] | cut[1:])) + 1
-        long = stops - begins >= min(scanner.shortest, 3)
+        long = stops - begins >= scanner.least
         begins, stops = begins[long], stops[long]
         of = np.searchsorted(first, begins, "right") - 1
         places: dict[int, list[tuple[int, str]]] = defaultdict(list)
