@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .common import components, read, written
 
-#: The bound on vectors that a rotation is learned from (the first by hash), and on their distinct lengths.
+#: The bound on vectors that a rotation is learned from (the first by hash), and on the lengths that have a learned one.
 SAMPLE, LENGTHS = 8_192, 64
 
 
@@ -44,6 +44,12 @@ def learn(sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 5) -
     return Quantiser(mean, axes @ turn)
 
 
+def drawn(length: int, bits: int = 64) -> Quantiser:
+    """A rotation that no data is needed for."""
+    turn = np.linalg.qr(np.random.default_rng(length).normal(size=(length, min(bits, length))))[0]
+    return Quantiser(np.zeros(length), turn)
+
+
 def _unit(column: pa.Array, length: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
     with np.errstate(over="ignore"):
@@ -59,10 +65,8 @@ def classes(table: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 
 def coded(distinct: DataFrame, bits: int = 64) -> DataFrame:
-    """Adds `code`: each vector length has its own rotation, learned from SAMPLE vectors of that length."""
-    lengths = [r[0] for r in distinct.select(F.size("vector").alias("n")).groupBy("n").count().orderBy("n").limit(LENGTHS + 1).collect()]
-    if len(lengths) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    """Adds `code`: each of the LENGTHS most frequent vector lengths has its own rotation, learned from SAMPLE vectors of that length; all others have one drawn for the length."""
+    lengths = [r[0] for r in distinct.select(F.size("vector").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect()]
     held = {}
     for n in lengths:
         rows = distinct.where(F.size("vector") == n).orderBy(F.xxhash64("vector"), "id").select("vector").limit(SAMPLE).toArrow()
@@ -74,7 +78,7 @@ def coded(distinct: DataFrame, bits: int = 64) -> DataFrame:
             sizes = rows.column("vector").value_lengths().to_numpy(zero_copy_only=False)
             for n in np.unique(sizes):
                 part = rows.filter(pa.array(sizes == n))
-                codes = sent.value[int(n)].codes(_unit(part.column("vector"), int(n)))
+                codes = (sent.value.get(int(n)) or drawn(int(n), bits)).codes(_unit(part.column("vector"), int(n)))
                 yield pa.record_batch([*part.columns, pa.array(codes)], names=[*part.schema.names, "code"])
 
     return distinct.mapInArrow(code, T.StructType([*distinct.schema, T.StructField("code", T.LongType())]))
