@@ -9,7 +9,7 @@ every copy of the window has at the same place.  The windows that share one
 anchor's place form a segment.  A segment that is equal, word for word, to one
 of a smaller doc_id goes whole; of the others one of each kind, kept with its
 smallest doc_id, is a reference.  References with the same anchor lie in the
-same shard, of bounded size; its automaton keeps the smallest owner of every
+same shard, of about SHARD_TOTAL references; its automaton keeps the smallest owner of every
 state, the references are streamed through it, and the matching statistics give
 each window's owner.  The shards grow with the corpus, so they are dealt to
 tasks by anchor rather than broadcast.  An anchor with very many references is
@@ -31,6 +31,8 @@ from .common import map_pieces, pieces, range_hashes, read, signed, word_hashes,
 
 #: References in a shard, at most about; an anchor with more is dealt to several shards.
 SHARD_SEGMENTS = 400
+#: References in a shard of several anchors, about; their number grows with the references.
+SHARD_TOTAL = 4_000
 
 
 def _segments(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -72,7 +74,6 @@ def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def removals(docs: DataFrame, window: int = 50, gram: int = 14, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """doc_id, fp, spans: for each document with something to remove, array<struct<start, size>> of words."""
-    spark = docs.sparkSession
 
     def segments(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
         hashes, _, _, first = _word_hashes(data, offs)
@@ -91,7 +92,7 @@ def removals(docs: DataFrame, window: int = 50, gram: int = 14, shard_segments:
     least = kinds.select("anchor", "segment", F.col("doc_id").alias("owner"), F.col("fp").alias("first_fp"), F.col("place").alias("first_place"))
     judge = shared.join(least, ["anchor", "segment"])
     # more places in the owner itself, which fare as the first of them
-    again = judge.where("owner = doc_id and (fp <> first_fp or place <> first_place)").select("doc_id", "fp", "place", "first_fp", "first_place")
+    again = judge.where("owner = doc_id and (fp <> first_fp or place <> first_place)").select("doc_id", "fp", "place", "first_fp", "first_place").distinct()  # repeated rows once
     whole = judge.where("owner < doc_id").select("doc_id", "fp", F.shiftright("place", 6).alias("start"), (F.col("place").bitwiseAND(F.lit(63)) + window - 1).alias("size"))
     # one of each kind: its words
     wanted = kinds.join(many, "anchor").select("doc_id", "fp", F.struct("place", "anchor", "n").alias("s"))
@@ -111,7 +112,7 @@ def removals(docs: DataFrame, window: int = 50, gram: int = 14, shard_segments:
     references = docs.join(wanted, ["doc_id", "fp"]).mapInArrow(cut, "doc_id long, fp long, place long, anchor long, n long, words binary")
     salts = F.ceil(F.col("n") / shard_segments)
     references = references.withColumn("salt", F.when(salts > 1, F.pmod(F.xxhash64("doc_id", "place"), salts)).otherwise(F.lit(0))).withColumn("hot", F.col("n") > shard_segments)
-    shards = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8)
+    shards = max(64, -(-(many.agg(F.coalesce(F.sum(F.least("n", F.lit(shard_segments))), F.lit(0))).first()[0]) // SHARD_TOTAL))
     references = references.withColumn("shard", F.when(F.col("hot"), F.xxhash64("anchor", "salt")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
 
     def owners(table: pa.Table) -> pa.Table:
@@ -153,7 +154,7 @@ def removals(docs: DataFrame, window: int = 50, gram: int = 14, shard_segments:
     first = marked.select("doc_id", F.col("fp").alias("first_fp"), F.col("place").alias("first_place"), (F.col("start") - F.shiftright("place", 6)).alias("off"))
     more = again.join(first, ["doc_id", "first_fp", "first_place"]).select("doc_id", "fp", (F.shiftright("place", 6) + F.col("off")).alias("start"))
     single = marked.select("doc_id", "fp", "start").union(more).withColumn("size", F.lit(window).cast("long"))
-    spans = whole.union(single).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = whole.union(single).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "size")).alias("spans"))  # a repeated row's spans once
     return spans
 
 
