@@ -11,15 +11,18 @@ collides before any text is replaced.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, read, small_batches
+from .common import pieces, read, small_batches, written
 
 #: The key where none is given; a production run passes its own.
 KEY = b"textloom public test key"
@@ -48,6 +51,12 @@ _HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
 
 _GIVEN = {n: k for k, names in NAMES.items() for n in names}
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆΈΉΊΌ][a-zß-öø-ÿа-яα-ωάέήίόύώ]+"
+#: A family name: with one letter and an apostrophe before it, or two names joined by a hyphen.
+_FAMILY = rf"(?:[A-Z]['’])?{_WORD}(?:-{_WORD})?"
+#: Keys of cloud accounts, and where IPv6 addresses may stand.
+ACCESS = re.compile(r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])")
+HEXTET = re.compile(r"[0-9A-Fa-f]{1,4}::?[0-9A-Fa-f]{1,4}:|::[0-9A-Fa-f]")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]{2,38}(?![\w:.])")
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 #: A hexadecimal string of 32 digits or more in either case, found by a digit in it with eight more after it.
@@ -62,8 +71,8 @@ NUMBER = re.compile(
 )
 #: Capitalised words, of which titles and given names are looked up; then what follows them.
 CAPITAL = re.compile(rf"[{_WORD[1:].partition(']')[0]}]\w*")
-AFTER_TITLE = re.compile(rf"\.? ({_WORD}(?: {_WORD})?)\b")
-AFTER_GIVEN = re.compile(rf" {_WORD}\b")
+AFTER_TITLE = re.compile(rf"\.? ({_FAMILY}(?: {_FAMILY})?)\b")
+AFTER_GIVEN = re.compile(rf" {_FAMILY}\b")
 
 
 def _stream(key: bytes, tweak: str, n: int) -> Iterator[int]:
@@ -74,23 +83,44 @@ def _stream(key: bytes, tweak: str, n: int) -> Iterator[int]:
             yield int.from_bytes(block[j : j + 4], "big")
 
 
-def permute(values: list[int], sizes: list[int], key: bytes, tweak: str, rounds: int = 8) -> list[int]:
-    """A keyed permutation of all lists with values[i] < sizes[i]."""
+def _feistel(values: list[int], sizes: list[int], key: bytes, tweak: str, sign: int, rounds: int = 8) -> list[int]:
+    """A keyed permutation of all lists with values[i] < sizes[i]; with sign -1 its inverse."""
     half = len(values) // 2
     parts = [values[:half], values[half:]]
     bases = [sizes[:half], sizes[half:]]
-    for r in range(rounds):
+    for r in range(rounds)[::sign]:
         own, other = r % 2, 1 - r % 2
         seed = f"{r}|{tweak}|{sizes}|{parts[other]}"
-        parts[own] = [(v + s) % b for v, s, b in zip(parts[own], _stream(key, seed, len(parts[own])), bases[own], strict=False)]
+        parts[own] = [(v + sign * s) % b for v, s, b in zip(parts[own], _stream(key, seed, len(parts[own])), bases[own], strict=False)]
     return parts[0] + parts[1]
 
 
-def letters(text: str, key: bytes, tweak: str, of: dict[str, str] = _OF) -> str:
+def permute(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
+    """One step on a keyed cycle through all lists with values[i] < sizes[i], so nothing stays itself where there is more than one."""
+    at = _feistel(values, sizes, key, tweak, 1)
+    for i in reversed(range(len(at))):
+        at[i] = (at[i] + 1) % sizes[i]
+        if at[i]:
+            break
+    return _feistel(at, sizes, key, tweak, -1)
+
+
+@lru_cache(4096)
+def alphabet(c: str) -> str:
+    """The letters that may stand for `c`: those of a listed alphabet, or else all of its kind among its 128 neighbours in Unicode; '' for what stays."""
+    if c in _OF or not c.isalpha():
+        return _OF.get(c, "")
+    kind = lambda x: (unicodedata.category(x), x.upper().lower() == x.lower() and len(x.upper()) == 1)
+    block = ord(c) >> 7 << 7
+    return "".join(x for x in map(chr, range(block, block + 128)) if x not in _OF and x.isalpha() and kind(x) == kind(c))
+
+
+def letters(text: str, key: bytes, tweak: str, of: dict[str, str] | None = None) -> str:
     """Each letter or digit becomes one of its own alphabet; all else stays."""
-    at = [i for i, c in enumerate(text) if c in of]
-    alphabets = [of[text[i]] for i in at]
-    shape = "".join("" if c in of else c for c in text)
+    sets = [of.get(c, "") if of else alphabet(c) for c in text]
+    at = [i for i, a in enumerate(sets) if a]
+    alphabets = [sets[i] for i in at]
+    shape = "".join("" if a else c for c, a in zip(text, sets, strict=True))
     new = permute([a.index(text[i]) for i, a in zip(at, alphabets, strict=True)], [len(a) for a in alphabets], key, f"{tweak}|{shape}|{[a[0] for a in alphabets]}")
     out = list(text)
     for i, v, a in zip(at, new, alphabets, strict=True):
@@ -145,6 +175,14 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> tuple[str, str, str]:
         canon = ".".join(map(str, octets))
         new = ".".join(map(str, permute(octets, [256] * 4, key, "ip")))
         return new, canon, new
+    if kind == "ipv6":
+        parts = ipaddress.IPv6Address(text).packed
+        new = permute(list(parts), [256] * 16, key, "ipv6")
+        shown = str(ipaddress.IPv6Address(bytes(new)))
+        return shown, str(ipaddress.IPv6Address(text)), shown
+    if kind == "access":
+        new = text[:4] + letters(text[4:], key, "access" + text[:4])
+        return new, text, new
     if kind == "phone":
         digits = re.sub("[^0-9]", "", text)
         country = next(c for n in (1, 2, 3) if (c := digits[:n]) in COUNTRIES or n == 3) if text[0] == "+" else "1"
@@ -197,6 +235,18 @@ def _secrets(text: str) -> Iterator[tuple[int, int, str]]:
         around = text[max(0, begin - 1) : begin] + text[end : end + 1]
         if 32 <= end - begin and not any(c.isalnum() for c in around):
             yield begin, end, "secret"
+    if "AKIA" in text or "ASIA" in text:
+        yield from ((m.start(), m.end(), "access") for m in ACCESS.finditer(text))
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    if HEXTET.search(text):
+        for m in IPV6.finditer(text):
+            try:
+                ipaddress.IPv6Address(m[0])
+            except ValueError:
+                continue
+            yield m.start(), m.end(), "ipv6"
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
@@ -221,8 +271,8 @@ def _names(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, type), in order and without overlaps; of overlapping ones the first found stays: email, iban, secret, number, name."""
-    found = [*_emails(text), *_ibans(text), *_secrets(text), *_numbers(text), *_names(text)]
+    """(begin, end, type), in order and without overlaps; of overlapping ones the first found stays: email, iban, secret, IPv6 address, number, name."""
+    found = [*_emails(text), *_ibans(text), *_secrets(text), *_addresses(text), *_numbers(text), *_names(text)]
     if len(found) < 2:
         return found
     kept: list[tuple[int, int, str, int]] = []
@@ -283,6 +333,7 @@ def pairs(docs: DataFrame, key: bytes = KEY, column: str = "text") -> DataFrame:
 
 def collisions(found: DataFrame) -> DataFrame:
     """Surrogates of more than one entity, and entities of more than one surrogate; none is right."""
+    found = written(found, "pairs")  # both sides of one table
     both = [found.groupBy("type", F.col(a).alias("of")).agg(F.min(b).alias("least"), F.max(b).alias("most")).where("least <> most").withColumn("side", F.lit(a)) for a, b in (("surrogate", "entity"), ("entity", "surrogate"))]
     return both[0].union(both[1])
 
