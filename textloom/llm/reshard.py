@@ -100,7 +100,8 @@ def transfers(blocks: list[tuple[int, int, int, int]], capacity: list[int]) -> d
 def place(docs: DataFrame, old: str, shards: int, key: str = "doc_id") -> DataFrame:
     """key, size, text_crc32, old_shard, shard, slot under the law `rows`.
 
-    docs[old] holds the present shard, 0 and up (null: 0).  Rows are blocked by
+    docs[old] holds the present shard, 0 and up (null: 0).  A column `row` that
+    names each row (see `numbered`) is passed through, for `rewrite`.  Rows are blocked by
     old shard, class of size and a hash of the key.  The driver sees the sums
     of the classes for the flow and one row per block for the ranges; which
     rows of a block move is decided by their rank within it, smallest first.
@@ -108,14 +109,15 @@ def place(docs: DataFrame, old: str, shards: int, key: str = "doc_id") -> DataFr
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(key, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.greatest(F.coalesce(F.col(old).cast("int"), F.lit(0)), F.lit(0)).alias("old_shard"))
+    rows = docs.select(key, *(["row"] if "row" in docs.columns else []), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.greatest(F.coalesce(F.col(old).cast("int"), F.lit(0)), F.lit(0)).alias("old_shard"))
     # eight classes of size to each power of two
     power = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
     rows = rows.withColumn("kind", (power * 8 + F.floor((F.col("size") / F.pow(F.lit(2.0), power) - 1) * 8)).cast("int"))
     rows = written(rows, "rows")
     n = rows.count()
-    parts = max(1, -(-n // BLOCK_ROWS))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(key, "size"), F.lit(parts)).cast("int"))
+    # blocks of about BLOCK_ROWS within each old shard and class, of which there are few
+    parts = rows.groupBy("old_shard", "kind").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(parts), ["old_shard", "kind"]).withColumn("part", F.pmod(F.xxhash64(key, "size"), F.col("parts")).cast("int"))
     block = ["old_shard", "kind", "part"]
     blocks = written(rows.groupBy(*block).agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")), "blocks")
     classes = [tuple(r) for r in blocks.groupBy("old_shard", "kind").agg(F.sum("rows"), F.sum("bytes")).orderBy("old_shard", "kind").collect()]  # old shards x 8 classes a power of two
@@ -135,18 +137,24 @@ def place(docs: DataFrame, old: str, shards: int, key: str = "doc_id") -> DataFr
     ranges = ranges.select(*block, "begin", "low", "high", "shard", "base")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*block).orderBy("size", key, "text_crc32")) - 1)
     found = ranked.join(ranges, block).withColumn("where", F.col("begin") + F.col("rank")).where("where >= low and where < high")
-    return found.select(key, "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("where") - F.col("low")).alias("slot"))
+    return found.select(key, *(["row"] if "row" in docs.columns else []), "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("where") - F.col("low")).alias("slot"))
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with `row`, a number of each row, as a table, so that the numbers stay."""
+    return written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def rewrite(docs: DataFrame, placed: DataFrame, path: str) -> DataFrame:
     """Writes the shards that lose or gain rows, one folder each, and returns their rows with `shard` and `slot`.
 
-    Shards that no transfer touches keep their files.  Keys must be unique.
+    Both tables have the `row` of `numbered`, so repeated and null keys keep
+    all their rows.  Shards that no transfer touches keep their files.
     """
     touched = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    moved = placed.join(touched, "shard", "left_semi").select(key, "shard", "slot")
-    out = docs.drop("shard", "slot").join(moved, key)
-    out.repartition("shard", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    moved = placed.join(touched, "shard", "left_semi").select("row", "shard", "slot")
+    out = docs.drop("shard", "slot").join(moved, "row").drop("row")
+    out.repartition("shard", F.pmod(F.col("slot"), F.lit(16))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
