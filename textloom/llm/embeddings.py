@@ -32,8 +32,13 @@ class Quantiser:
 
 
 def learn(sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 5) -> Quantiser:
-    """ITQ: principal directions, then alternately codes for the rotation and the rotation for the codes."""
+    """ITQ: principal directions, then alternately codes for the rotation and the rotation for the codes.
+
+    Unit vectors are centred by at most half their length: all of their mean
+    would tear a sample apart that is one tight cluster.
+    """
     mean = sample.mean(axis=0)
+    mean = mean * min(1.0, 0.5 / max(float(np.linalg.norm(mean)), 1e-12))
     _, _, axes = np.linalg.svd((sample - mean).T @ (sample - mean))
     axes = axes[: min(bits, sample.shape[1])].T
     low = (sample - mean) @ axes
