@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, components, give_back, map_pieces, mix, range_hashes, read, signed, word_hashes, words, written
@@ -203,6 +203,29 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return map_pieces(_texts(docs), work, "doc_id long, shingles binary")
 
 
+def rare_shingles(docs: DataFrame, width: int = 5, least: float = JACCARD) -> DataFrame:
+    """id, h, n, left: of each document's n distinct shingles the n - ceil(least * n) + 1 that the fewest of `docs` have, where others have them too.
+
+    Two documents with a Jaccard similarity of `least` or more share one of
+    these at least.  `left` counts the document's shingles from this one on in
+    that order, so from the first one shared on no more can be shared.
+    """
+
+    def work(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+        found = list(_sets(data, offs, width))
+        at = np.repeat([i for i, _ in found], [len(x) for _, x in found]).astype(np.int64)
+        which = np.repeat([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True) for _, x in found], [len(x) for _, x in found]).astype(np.int64)
+        n = np.repeat([len(x) for _, x in found], [len(x) for _, x in found]).astype(np.int64)
+        h = signed(np.concatenate([x for _, x in found])) if found else np.zeros(0, np.int64)
+        return pa.record_batch([rows.column("doc_id").take(pa.array(at)), pa.array(which), pa.array(n), pa.array(h)], names=["id", "which", "n", "h"])
+
+    every = written(map_pieces(_texts(docs), work, "id long, which long, n long, h long"), "shingles")
+    counts = every.groupBy("h").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id", "which").orderBy("df", "h"))  # one document's shingles
+    first = every.join(counts, "h").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    return first.where("df > 1").select("id", "h", "n", (F.col("n") - F.col("rank") + 1).alias("left"))
+
+
 def _segments_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, RING).astype(np.int64)
 
@@ -269,14 +292,15 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int = 5, least: float = JA
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of one key's ids (u < v) that are in different components and within MOST bits."""
+def _across(batches: Iterator[pa.RecordBatch], least: float = JACCARD) -> Iterator[pa.RecordBatch]:
+    """All pairs (u < v) of those who have one rare shingle that are in different components, can share enough from it on, and are within MOST bits."""
     for rows in batches:
         for group in rows.column("members"):
-            ids, heads, fps = group.values.flatten()
-            ids, heads, segments = ids.to_numpy(), heads.to_numpy(), _segments_of(fps)
+            ids, heads, n, left, fps = group.values.flatten()
+            ids, heads, n, left, segments = ids.to_numpy(), heads.to_numpy(), n.to_numpy(), left.to_numpy(), _segments_of(fps)
             for i in range(len(ids)):
-                other = i + 1 + np.flatnonzero(heads[i + 1 :] != heads[i])
+                enough = np.minimum(left[i], left[i + 1 :]) * (1 + least) >= least * (n[i] + n[i + 1 :]) - 1e-6
+                other = i + 1 + np.flatnonzero((heads[i + 1 :] != heads[i]) & (ids[i + 1 :] != ids[i]) & enough)
                 other = other[ring_check(np.broadcast_to(segments[i], (len(other), RING)), segments[other])]
                 if len(other):
                     yield pa.record_batch([pa.array(np.full(len(other), ids[i])), pa.array(ids[other])], names=["u", "v"])
@@ -286,19 +310,31 @@ def near_copies(docs: DataFrame, distinct: DataFrame, width: int = 5) -> DataFra
     """(id, component) of all ids of `distinct(id, fp, bands)` with a near copy.
 
     Ids that share a key are candidates: all of them, however many share it.
-    First each is compared with the first of its key and the one before it;
+    First each is compared with the first of its key, the one before it and the
+    key's hub, which shares most keys with others, as the text does that the
+    others were made from;
     what this joins needs no further comparison, so that a large group of
     copies costs no square.  Of the keys that still hold several components,
-    all pairs across these are compared.
+    all pairs across these are compared that share a rare shingle, as all near
+    copies do (see `rare_shingles`).
     """
     groups = distinct.select("id", F.explode("bands").alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
     groups = written(groups.groupBy("ids").agg(F.min("key").alias("key")), "groups")  # the same ids under several keys are compared once
-    lines = groups.select(F.explode(F.expr("concat(transform(slice(ids, 2, size(ids)), x -> struct(ids[0] as u, x as v)), transform(sequence(1, size(ids) - 1), i -> struct(ids[i - 1] as u, ids[i] as v)))")).alias("e")).select("e.*").distinct()
+    lines = groups.select(F.explode(F.expr("concat(transform(slice(ids, 2, size(ids)), x -> struct(ids[0] as u, x as v)), transform(sequence(1, size(ids) - 1), i -> struct(ids[i - 1] as u, ids[i] as v)))")).alias("e")).select("e.*")
+    of_key = groups.where("size(ids) > 2").select("key", F.explode("ids").alias("id"))
+    shared = groups.select(F.explode("ids").alias("id"), (F.size("ids") - 1).alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
+    hubs = of_key.join(shared, "id").groupBy("key").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub"))
+    lines = lines.union(of_key.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))).distinct()
     links = written(similar(docs, written(near(distinct, lines), "pairs"), width), "near")
     heads = components(links)
     of = distinct.select("id", "fp").join(heads, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
-    members = groups.where("size(ids) > 2").select("key", F.explode("ids").alias("id")).join(of, "id")
-    rest = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.array_sort(F.collect_list(F.struct("id", "component", "fp"))).alias("members")).where("a <> b")
+    members = groups.where("size(ids) > 2").select("key", F.explode("ids").alias("id")).join(of.select("id", "component"), "id")
+    open_ = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    left = written(members.join(open_.select("key"), "key", "left_semi").select("id").distinct(), "open")  # its size is known to the join
+    if not left.limit(1).count():
+        return heads
+    rare = rare_shingles(docs.join(left.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), width)
+    rest = rare.join(of, "id").groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.array_sort(F.collect_list(F.struct("id", "component", "n", "left", "fp"))).alias("members")).where("a <> b")
     pairs = written(rest.select("members").mapInArrow(_across, "u long, v long").distinct(), "pairs")
     if not pairs.limit(1).count():
         return heads
