@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -396,12 +397,51 @@ def test_lm(spark, sf_dir, docs, monkeypatch, head):
 
 def test_lm_is_normalised(docs):
     model, counts = lm.fit(docs.select("doc_id", "text"))
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(axis=1), 1, atol=1e-4)
+    n = len(model.share)
+    for one, two in ((n, n), (0, n), (n - 1, 3)):
+        logs = model.log10(np.full(n, one), np.full(n, two), np.arange(n))
+        assert (10.0**logs).sum() == pytest.approx(1, abs=1e-4)
     c = {r.h: (r.kind, r.c) for r in counts.collect()}
     own = {int(h) for h in common.signed(model.head[model.symbol >= 0])}
-    for kind in range(1 + lm.FREQUENT, lm.SYMBOLS):
+    for kind, symbol in enumerate(model.classes[: lm.CLASSES]):
         total = sum(x + lm.ALPHA for h, (k, x) in c.items() if k == kind and h not in own) + lm.ALPHA
-        assert total == pytest.approx(10 ** model.rest[kind])
+        assert total == pytest.approx(10 ** model.rest[symbol])
+    assert sorted([*model.classes[: lm.CLASSES], *model.symbol[model.symbol >= 0]]) == list(range(n))
+
+
+def test_lm_score_by_hand(spark):
+    """The score of each text, token by token, from the model's own parts."""
+    texts = ["a b a c", "", "b b zz", "a " * 60, "b " * 60 + "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = lm.fit(docs)
+    c = {r.h: (r.kind, r.c) for r in counts.collect()}
+    begin = len(model.share)
+    for r in lm.score(docs, model, counts).collect():
+        hashes, kind, _ = lm.tokens(*common.buffers(pa.array([texts[r.doc_id]])))
+        want, two, one = 0.0, begin, begin
+        for h, k in zip(common.signed(hashes), kind):
+            at = [i for i, x in enumerate(common.signed(model.head)) if x == h]
+            symbol = int(model.symbol[at[0]]) if at and model.symbol[at[0]] >= 0 else int(model.classes[k])
+            q = np.append(model.part["r"][one, : lm.SIZE] @ model.part["one"][:, : lm.SIZE] + model.part["r"][two, : lm.SIZE] @ model.part["two"][:, : lm.SIZE], 1)
+            groups, inner = model.part["g"] @ q, (model.part["w"] @ q)[symbol // lm.GROUP * lm.GROUP :][: lm.GROUP]
+            p = np.exp(groups)[symbol // lm.GROUP] / np.exp(groups).sum() * np.exp(inner)[symbol % lm.GROUP] / np.exp(inner).sum()
+            if not (at and model.symbol[at[0]] >= 0):
+                p *= (c[int(h)][1] + lm.ALPHA) / 10 ** model.rest[symbol]
+            want += math.log10(p)
+            two, one = one, symbol
+        assert r.score == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_learns_what_follows():
+    """After training, the symbol that always follows is likely, though it is rare."""
+    share = np.full(200, 1 / 200)
+    model = lm.Model(*[np.zeros(0)] * 4, share, np.zeros(200), lm.start(share), 0, 0)
+    trainer = lm.Trainer(model, 0.2, 1)
+    for _ in range(60):
+        trainer.text(np.tile(np.arange(200), 10), np.array([0, 2000]))
+    one = np.arange(50, 150)
+    before, after = model.log10(one, one - 1, one + 1), trainer.model.log10(one, one - 1, one + 1)
+    assert before.mean() < -2 and after.mean() > -0.7
 
 
 def test_lm_odd(odd, none):
