@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, with SQL where it can express them."""
+"""The queries of the operators and of the pipeline, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, licenses, lm, pii, reshard, simhash, substrings, toxicity
+from . import bpe, byte_bpe, decontaminate, embeddings, importance, licenses, lm, pii, reshard, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_reshard": reshard.op8_reshard,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm": lm.op10_lm,
+        "op12_importance": importance.op12_importance,
+        "op13_byte_bpe": byte_bpe.op13_byte_bpe,
     }
 
 
