@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import sql
 from .common import map_pieces, pieces, read, small_batches, written
 from .ranking import ranked
 
@@ -169,3 +170,28 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
 
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for op12's rows."""
+    word = f"regexp_extract_all({sql.lowered("coalesce(text, '')")}, '[^{SEPARATOR[1:-2]}]+')"
+    return f"""with
+  texts as (select row_number() over () as r, * from (select doc_id, text, true as source from documents union all select null, text, false from benchmark)),
+  lists as (select r, doc_id, source, {word} as w from texts),
+  places as (select r, source, w, unnest(range(1, len(w) + 1)) as i from lists),
+  runs as (select r, source, w[i] as g from places
+    union all select r, source, w[i] || ' ' || w[i + 1] from places where i + 1 <= len(w)
+    union all select r, source, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from places where i + 2 <= len(w)),
+  kinds as (select g, {sql.crc32("g")} % {BUCKETS} as bucket from (select distinct g from runs)),
+  features as (select r, source, bucket from runs join kinds using (g)),
+  counts as (select bucket, count(*) filter (where source) as s, count(*) filter (where not source) as t from features group by bucket),
+  totals as (select coalesce(sum(s), 0)::double + {BUCKETS} as s_all, coalesce(sum(t), 0)::double + {BUCKETS} as t_all from counts),
+  gains as (select bucket, floor(1000 * ln((t + 1)::double * s_all / ((s + 1)::double * t_all)))::bigint as gain from counts, totals),
+  sums as (select r, count(*) as n_features, sum(gain)::bigint as weight from features join gains using (bucket) where source group by r),
+  scored as (
+    select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+      coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || doc_id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+    from lists left join sums using (r) where source),
+  placed as (select *, row_number() over (partition by n_words >= {LEAST_WORDS} order by score desc, doc_id) as place, count(*) over (partition by n_words >= {LEAST_WORDS}) as n from scored)
+select doc_id, n_features, weight, score, case when n_words >= {LEAST_WORDS} and place <= {PERCENT} * n // 100 then place end as rank
+from placed"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, byte_bpe, decontaminate, embeddings, importance, licenses, lm, pii, reshard, simhash, substrings, toxicity
+from . import bpe, byte_bpe, decontaminate, embeddings, importance, licenses, lm, merkle, pii, reshard, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_reshard": reshard.op8_reshard,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm": lm.op10_lm,
+        "op11_merkle": merkle.op11_merkle,
         "op12_importance": importance.op12_importance,
         "op13_byte_bpe": byte_bpe.op13_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle": merkle.oracle_sql(), "op12_importance": importance.oracle_sql()}
