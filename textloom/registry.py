@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import ann
 from .operators import answers as A
 from .operators import chunking as C
 from .operators import collections as M
@@ -284,6 +285,23 @@ def vector_topk_filtered(spark, sf_dir):
     return _knn(spark, sf_dir, M.where_equal(label=3))
 
 
+@query(_KNN.format(""))
+def ann_topk_exact(spark, sf_dir):
+    """vector_topk by the inverted file, whose bounds rule out the cells and rows that it doesn't read."""
+    rows = table(spark, sf_dir, "embeddings")
+    hits = ann.search(ann.build(rows, ann.fit(rows)), rows.where("vec_id % 50 = 0"), 20, exact=True)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_KNN.format("").replace("SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20", "SELECT count(*) AS wanted, true AS enough FROM r WHERE rank <= 10"))
+def ann_recall(spark, sf_dir):
+    """Pairs of the exact top ten, and whether the approximate search, with as many probes as it tunes itself to, finds nine tenths of them."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked, index = rows.where("vec_id % 50 = 0"), ann.build(rows, ann.fit(rows))
+    found = ann.recall(ann.search(index, asked, 10, probes=ann.tune(index)), S.knn(rows, asked, 10))
+    return found.select("wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 _FUSED = f"""WITH RECURSIVE {_BM25.strip()}, {_vectors("documents", "doc_id", "d").strip()}, {_vectors("benchmark", "item_id", "q").strip()},
 dn AS (SELECT q.id AS query_id, d.id, greatest(0, least(1, sum(d.value * q.value))) AS score FROM dvec d JOIN qvec q USING (bucket) GROUP BY ALL),
 dense AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM dn) WHERE rank <= 20),
