@@ -272,14 +272,14 @@ def search(index: Index, questions: DataFrame, k: int = 20, probes: int = 8, sho
 
 
 def tune(index: Index, k: int = 10, share: float = 0.95, asked: int = 200) -> int:
-    """The least number of probes whose cells hold `share` of the k nearest rows of `asked` rows, picked by the hash of their keys.
+    """The least number of probes whose cells hold `share` of the k nearest rows of about `asked` rows, picked by the hash of their keys.
 
-    Those rows ask for themselves, which doesn't count.  `asked` vectors and k
+    Those rows ask for themselves, which doesn't count.  Twice `asked` vectors at most and k
     hits of each come to the driver, and the search through all rows is exact.
     """
     rows = index.rows.select("id", "v", "cell")
     n = max(rows.count(), 1)
-    picked = written(rows.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(n)) < 2 * asked).limit(asked), "picked")
+    picked = written(rows.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(n)) < asked).limit(2 * asked), "picked")
     near = knn(rows, picked, k + 1, "id", "v").where("query_id <> id")
     cells = near.join(rows.select("id", "cell"), "id").select("query_id", "cell").collect()
     (places, unit), ids = vectors_of(pa.concat_arrays([c for c in picked.toArrow().column("v").chunks] or [pa.array([], pa.list_(pa.float64()))]), index.model.length), [r.id for r in picked.select("id").collect()]
