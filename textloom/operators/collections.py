@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import store
 
 
 def windows(docs: DataFrame, size: int = 500, overlap: int = 80, key: str = "doc_id") -> DataFrame:
@@ -57,9 +58,13 @@ def summary(rows: DataFrame, kind: str = "source") -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of `new` replace those of `old` with the same key; of repeated keys in `new` the last by `version` stays."""
-    last = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), "version").alias("r")).select(key, "r.*")
-    return old.join(new, key, "left_anti").unionByName(last)
+    """Rows of `new` replace those of `old` with the same key; of repeated keys in `new` the last by `version` stays, null versions being the first.
+
+    A null key is a key like others.
+    """
+    order = F.struct(F.col("version").isNotNull(), F.col("version"))  # max_by passes over null orders, but not over structs with nulls
+    last = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), order).alias("r")).select(key, "r.*")
+    return old.join(new.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(last)
 
 
 def delete(old: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -156,45 +161,26 @@ def rewritten_or(question: Column, rewritten: Column) -> Column:
 
 
 def write(rows: DataFrame, root: str, name: str, key: str = "chunk_id", version: str | None = None) -> None:
-    """Upserts rows into the collection `name` below `root`: the new version is written whole beside the old one, which stays readable."""
-    spark = rows.sparkSession
-    old = versions(spark, root, name)
-    if rows.columns and key not in rows.columns:
-        raise ValueError(f"rows need the column {key}")
-    if old:
-        rows = spark.read.parquet(f"{root}/{name}/{old[-1]}").join(rows.select(key), key, "left_anti").unionByName(rows.dropDuplicates([key]), allowMissingColumns=True)
-    else:
-        rows = rows.dropDuplicates([key])
-    rows.write.parquet(f"{root}/{name}/v{len(old):08d}")
-
-
-def versions(spark, root: str, name: str) -> list[str]:
-    """The complete versions of a collection, old to new; none for a collection that doesn't exist."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/v*/_SUCCESS")) or []
-    return sorted(f.getPath().getParent().getName() for f in found)
+    """Upserts rows into the collection `name` below `root` as a new version; see `Collection.upsert`."""
+    store.Collection(rows.sparkSession, root, name).upsert(rows, key, version)
+
+
+def versions(spark, root: str, name: str) -> list[int]:
+    """The versions of a collection, old to new; none for a collection that doesn't exist."""
+    return store.Collection(spark, root, name).versions()
 
 
 def collections(spark, root: str) -> list[str]:
-    """Names of the collections below `root` that have a complete version, sorted."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/v*/_SUCCESS")) or []
-    return sorted({f.getPath().getParent().getParent().getName() for f in found})
+    """Names of the collections below `root`, sorted."""
+    return store.names(spark, root)
 
 
 def drop(spark, root: str, name: str) -> bool:
     """Removes a collection with all its versions; whether there was one."""
-    if not name or "/" in name or name in (".", ".."):
-        raise ValueError("not the name of a collection")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return store.Collection(spark, root, name).drop()
 
 
 def scan(spark, root: str, name: str, limit: int | None = None) -> DataFrame | None:
     """The newest version of a collection, or None without one."""
-    held = versions(spark, root, name)
-    if not held:
-        return None
-    rows = spark.read.parquet(f"{root}/{name}/{held[-1]}")
-    return rows if limit is None else rows.limit(limit)
+    rows = store.Collection(spark, root, name).scan()
+    return rows if rows is None or limit is None else rows.limit(limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from .operators import chunking as C
 from .operators import collections as M
 from .operators import search as S
 from .plans import ingest, qa
-from .sources.tables import written
+from .sources import store
+from .sources.tables import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -223,6 +225,19 @@ def upsert(spark, sf_dir):
     return M.upsert(old, new, "doc_id").select("doc_id", "value")
 
 
+@query("SELECT doc_id::VARCHAR AS chunk_id, coalesce(CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' END, source) AS source, l.quality FROM documents LEFT JOIN labels l USING (doc_id) WHERE lang <> 'de' OR lang IS NULL UNION ALL SELECT concat('b', item_id), 'benchmark', NULL FROM benchmark")
+def collection_log(spark, sf_dir):
+    """The last version of a collection after an upsert, one of other columns, a delete and an append."""
+    docs, labels = docs_of(spark, sf_dir), table(spark, sf_dir, "labels")
+    held = store.Collection(spark, shared_dir(spark), f"collection-{uuid.uuid4().hex}")
+    held.upsert(docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "source"))
+    known = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    held.upsert(known.select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("labelled").alias("source"), "quality"))
+    held.delete(docs.where("lang = 'de'").select(F.col("doc_id").cast("string").alias("chunk_id")))
+    held.append(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("chunk_id"), F.lit("benchmark").alias("source")))
+    return held.scan()
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_document(spark, sf_dir):
     return M.delete(docs_of(spark, sf_dir).select("doc_id", "lang"), table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
