@@ -14,6 +14,7 @@ from .operators import answers as A
 from .operators import chunking as C
 from .operators import collections as M
 from .operators import search as S
+from .operators.postings import Postings
 from .plans import ingest, qa
 from .sources import store
 from .sources.tables import shared_dir, written
@@ -272,6 +273,35 @@ def bm25_topk(spark, sf_dir):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _postings(spark) -> Postings:
+    return Postings(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}")
+
+
+def _pruned(spark, sf_dir, held: Postings):
+    hits = held.search(questions_of(spark, sf_dir), 5).hits
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_BM25.strip()} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 5")
+def bm25_topk_pruned(spark, sf_dir):
+    """bm25_topk from posting blocks, without those whose bound is too low."""
+    held = _postings(spark)
+    held.add(docs_of(spark, sf_dir))
+    return _pruned(spark, sf_dir, held)
+
+
+@query(f"WITH {_BM25.strip().replace('FROM documents)', "FROM documents WHERE lang <> 'de' OR lang IS NULL)")} SELECT query_id, id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 5")
+def bm25_topk_deltas(spark, sf_dir):
+    """bm25_topk without the German documents, from an index that got half of all, then others' texts, then all again, and lost those."""
+    held, docs = _postings(spark), docs_of(spark, sf_dir)
+    held.add(docs.where("doc_id % 2 = 0"))
+    held.add(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("an older text")))
+    held.delete(docs.where("lang = 'de'"))
+    held.add(docs.where("doc_id % 2 = 1 or doc_id % 3 = 0"))
+    held.delete(docs.where("lang = 'de'"))
+    return _pruned(spark, sf_dir, held)
+
+
 @query(f"WITH {_vectors('documents', 'doc_id', 'd').strip()} SELECT id, gram, w FROM dgrams")
 def ngram_weights(spark, sf_dir):
     return S.gram_weights(docs_of(spark, sf_dir))
