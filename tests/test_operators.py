@@ -276,34 +276,6 @@ def test_files(spark, tmp_path):
     assert by["d.docx"][0].text == "Para\nh1:a;h2:b"
 
 
-def test_streaming_memory(spark, tmp_path):
-    from textloom.streaming import sessions
-
-    spark.createDataFrame([("s", f"q{i}", f"a{i}") for i in range(8)] + [(" ", "q", "a")], "session_id string, question string, answer string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session_id string, question string, answer string").parquet(str(tmp_path / "in"))
-    q = sessions.remember(stream, 3).writeStream.format("memory").queryName("remembered").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    until = time.time() + 60  # timeouts keep the trigger busy, so no processAllAvailable
-    while not spark.table("remembered").count() and time.time() < until:
-        time.sleep(0.3)
-    q.stop()
-    rows = spark.table("remembered").collect()
-    assert [(r.session_id, r.turns[-1], len(r.turns)) for r in rows] == [("s", "q7\ta7", 3)]
-
-
-def test_streaming_ingest(spark, tmp_path):
-    from textloom.streaming import sessions
-
-    rows = spark.createDataFrame([("x", "s1"), ("x", "s2"), ("y", "s1")], "text string, source string")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("text string, source string").parquet(str(tmp_path / "in"))
-    for _ in range(2):
-        q = sessions.ingest(stream, str(tmp_path / "out"), str(tmp_path / "c"))
-        q.processAllAvailable()
-        q.stop()
-        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-
-
 def test_evidence_report_and_outcome(spark):
     named = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, "gamma")], "query_id int, question string")
     found = A.evidence(spark.createDataFrame([(1, 1, "a", "alpha beta stand here"), (2, 1, "b", "nothing of the kind")], "query_id int, block int, id string, text string"), named)
