@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -271,6 +272,19 @@ def test_decontaminate(spark, odd, none, docs, sf_dir):
     assert decontaminate.drop_contaminated(odd, small).count() == 9
 
 
+@pytest.mark.parametrize("n", range(3, 13))
+def test_decontaminate_short_items(spark, n):
+    """Every place of every allowed substitution in items of up to 12 words, and none beyond."""
+    most = n - math.ceil(0.8 * n)
+    item = [f"i{k}" for k in range(n)]
+    places = [p for m in range(most + 2) for p in itertools.combinations(range(n), m)]
+    texts = [" ".join(["pre", *("x" if k in p else w for k, w in enumerate(item)), "post"]) for p in places]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_same for r in decontaminate.overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    for i, p in enumerate(places):
+        assert (found.get(i) == n - len(p)) if len(p) <= most else i not in found, (n, p)
+
+
 def test_decontaminate_equal_words(spark):
     many = " ".join(["same"] * 20_000)
     row = decontaminate.overlaps(spark.createDataFrame([(1, many)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(["same"] * 3_000))], "item_id long, text string")).first()
@@ -449,3 +463,10 @@ def test_lm_odd(odd, none):
     assert lm.score(odd, model, counts).count() == 9
     model, counts = lm.fit(none)
     assert lm.score(odd, model, counts).count() == 9 and lm.score(none, model, counts).count() == 0
+
+
+def test_toxicity_query_of_null_keys(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = toxicity.op9_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == 9 and all(r.held_out is (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)

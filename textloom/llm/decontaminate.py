@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -15,6 +16,8 @@ from .common import LOWER, NON_ALNUM, map_pieces, mix, read, word_hashes, words,
 
 #: Which word positions of a window a seed compares (1) and ignores (0).
 MASKS = ("1111001", "110100111", "1101100011", "10110010101")
+#: Words of an item up to which every substitution that its share allows is found; longer ones have many windows for the seeds.
+SHORT = 12
 #: The bound on benchmark words that are broadcast at once; more are taken in blocks of so many.
 BLOCK_WORDS = 2_000_000
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,13 +52,20 @@ class Block:
     bits: np.ndarray
 
 
-def build(items: list[tuple[object, np.ndarray]], masks: tuple[str, ...] = MASKS) -> Block:
-    """Items shorter than a mask are sought as a whole, by a mask of their own length."""
-    shortest = min(map(len, masks))
-    lengths = sorted({len(h) for _, h in items if 0 < len(h) < shortest})
+def short_masks(n: int, share: float) -> list[str]:
+    """Masks over all n words of an item, one of which hits wherever the substitutions stand that `share` allows.
+
+    With m substitutions, two at least of m + 2 parts have none, so each pair of parts is a mask.
+    """
+    parts = np.array_split(np.arange(n), n - math.ceil(share * n) + 2) if n > math.ceil(share * n) else [np.arange(n)]
+    return ["".join("1" if i in own else "0" for i in range(n)) for own in ({*a, *b} for k, a in enumerate(parts) for b in parts[k + 1 :] or parts[: len(parts) == 1])]
+
+
+def build(items: list[tuple[object, np.ndarray]], masks: tuple[str, ...] = MASKS, share: float = 0.8) -> Block:
+    """Items of up to SHORT words are also sought as a whole, by masks of their own length."""
+    lengths = sorted({len(h) for _, h in items if 0 < len(h) <= SHORT})
     block = Block([i for i, _ in items], [h for _, h in items], {}, np.zeros(1 << _BITS, bool))
-    for mask in (*masks, *("1" * n for n in lengths)):
-        own = mask not in masks
+    for mask, own in [*((m, False) for m in masks), *((m, True) for n in lengths for m in short_masks(n, share) if m not in masks)]:
         parts = [(_seeds(h, mask), k) for k, (_, h) in enumerate(items) if (len(h) == len(mask) if own else len(h) >= len(mask))]
         if not parts:
             continue
@@ -200,7 +210,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(benchmark.select(item).schema[0].dataType)
-    passes = [pass_over(docs.sparkSession.sparkContext.broadcast(build(items, masks))) for items in _blocks(benchmark, item, most)]
+    passes = [pass_over(docs.sparkSession.sparkContext.broadcast(build(items, masks, share))) for items in _blocks(benchmark, item, most)]
     return reduce(DataFrame.union, passes) if passes else docs.sparkSession.createDataFrame([], schema)
 
 
