@@ -87,3 +87,15 @@ def test_string_keys_and_hits_of_knn(spark, rows):
     index = ann.build(named, ann.fit(named, length=24))
     got = found(ann.search(index, named.where("vec_id = 'k7'"), 3, exact=True))
     assert {i[1:] for _, i, _ in got} == {str(i) for _, i, _ in brute(rows.where("vec_id < 500"), rows.where("vec_id = 7"), 3)}
+
+
+def test_knn_of_mixed_lengths_and_string_keys(spark, monkeypatch):
+    """Hits don't depend on which questions share a block, and keys keep their type."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(f"k{i}", rng.normal(size=(3, 5, 8)[i % 3]).tolist()) for i in range(40)] + [("z", None), ("y", []), (None, [1.0] * 3), ("x", [0.0] * 3)], "vec_id string, embedding array<double>")
+    whole = found(S.knn(rows, rows, 4))
+    assert len({q for q, _, _ in whole}) == 40 and all(int(q[1:]) % 3 == int(i[1:]) % 3 for q, i, _ in whole)
+    monkeypatch.setattr(S, "BLOCK", 7)
+    assert found(S.knn(rows, rows, 4)) == whole
+    small = rows.where("vec_id like 'k%'").limit(9).withColumn("vec_id", F.substring("vec_id", 2, 3).cast("int"))
+    assert dict(S.knn(small, small, 2).dtypes)["id"] == "int" and S.knn(small, small, 2).count() == 18

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import shared_dir, written
-from .search import knn, top
+from .search import knn, top, vectors_of
 
 #: Bytes of the sample that centres and codes are learned from, and its rows for each cell.
 SAMPLE_BYTES, SAMPLE_ROWS = 64 << 20, 64
@@ -57,17 +57,6 @@ class Index:
     cells: DataFrame
 
 
-def vectors_of(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, unit vectors) of the arrays of that length that hold finite numbers only and aren't zero."""
-    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    at = np.flatnonzero(sizes == length)
-    flat = column.take(pa.array(at)).flatten().cast(pa.float64())
-    m = flat.to_numpy(zero_copy_only=False).reshape(len(at), length)  # nulls are NaN here
-    norm = np.linalg.norm(m, axis=1)
-    ok = np.isfinite(norm) & (norm > 0)
-    return at[ok], m[ok] / norm[ok, None]
-
-
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The centre next to each point."""
     half = (centres**2).sum(axis=1) / 2

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from ..sources.tables import written
@@ -217,41 +218,54 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
     return top(_in_blocks(of(questions), one), "query_id", "score", "id", k)
 
 
+def vectors_of(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the arrays of that length that hold finite numbers only and aren't zero."""
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(sizes == length)
+    flat = column.take(pa.array(at)).flatten().cast(pa.float64())
+    m = flat.to_numpy(zero_copy_only=False).reshape(len(at), length)  # nulls are NaN here
+    norm = np.linalg.norm(m, axis=1)
+    ok = np.isfinite(norm) & (norm > 0)
+    return at[ok], m[ok] / norm[ok, None]
+
+
 def knn(rows: DataFrame, questions: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
-    """query_id, id, score, rank: exact cosine top k of every question against all rows.
+    """query_id, id, score, rank: exact cosine top k of every question against all rows of its length; ids keep their types.
 
     Questions are taken in blocks of BLOCK; each task keeps its own top k of
-    each question from one matrix product per batch, so k rows of a question
-    and task are shuffled.  Null, empty and zero vectors, and those of another
-    length, have no score.  `where` filters rows, not questions.
+    each question from one matrix product for each length and batch, so k rows
+    of a question and task are shuffled.  Null keys and vectors that are null,
+    empty, zero or not finite have no score.  `where` filters rows, not questions.
     """
-    source = (rows.where(where) if where is not None else rows).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-
-    def matrix(ids: list, vectors: list, length: int) -> tuple[np.ndarray, np.ndarray]:
-        good = [(i, v) for i, v in zip(ids, vectors, strict=True) if i is not None and v is not None and len(v) == length and None not in v]
-        m = np.array([v for _, v in good], float).reshape(len(good), length)
-        norm = np.linalg.norm(m, axis=1)
-        keep = np.isfinite(norm) & (norm > 0)
-        return np.array([i for i, _ in good], np.int64)[keep], m[keep] / norm[keep, None]
+    source = (rows.where(where) if where is not None else rows).where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    types = {name: df.schema[key].dataType for name, df in (("query_id", questions), ("id", rows))}
+    arrow = {name: to_arrow_type(t) for name, t in types.items()}
 
     def one(asked: list) -> DataFrame:
-        length = max((len(r.v) for r in asked if r.v), default=1)
-        sent = rows.sparkSession.sparkContext.broadcast(matrix([r.id for r in asked], [r.v for r in asked], length))  # BLOCK vectors at most
+        column = pa.array([r.v for r in asked], pa.list_(pa.float64()))
+        lengths = sorted({len(r.v) for r in asked if r.v})
+        sent = rows.sparkSession.sparkContext.broadcast({n: vectors_of(column, n) for n in lengths})  # BLOCK vectors at most
 
-        def scores(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def scores(batches: Iterator[pa.RecordBatch], held: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS):
                     part = batch.slice(at, ROWS)
-                    mine, m = matrix(part.column("id").to_pylist(), part.column("v").to_pylist(), length)
-                    yield mine, np.round(np.clip(q @ m.T, 0, 1), 9)
+                    ids = np.array(part.column("id").to_pylist())
+                    for n, (places, q) in held.items():
+                        mine, unit = vectors_of(part.column("v"), n)
+                        s = np.full((len(asked_ids), len(mine)), -1.0)
+                        s[places] = np.round(np.clip(q @ unit.T, 0, 1), 9)
+                        yield ids[mine], s
+
+        asked_ids = [r.id for r in asked]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            yield from _best(scores(batches, q), ids.tolist(), k)
+            for best in _best(scores(batches, sent.value), asked_ids, k):
+                yield pa.record_batch([best.column(0).cast(arrow["query_id"]), best.column(1).cast(arrow["id"]), best.column(2)], names=best.schema.names)
 
-        return source.mapInArrow(run, "query_id long, id long, score double")
+        return source.mapInArrow(run, f"query_id {types['query_id'].simpleString()}, id {types['id'].simpleString()}, score double")
 
-    asked = questions.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = questions.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     return top(_in_blocks(asked, one), "query_id", "score", "id", k)
 
 
