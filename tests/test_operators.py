@@ -273,7 +273,7 @@ def test_files(spark, tmp_path):
     assert by["x.exe"][0].error == "unsupported type"
     assert by["e.txt"][0].error == "empty document"
     assert by["old.doc"][0].error == "legacy .doc"
-    assert by["d.docx"][0].text == "Para\nh1:a;h2:b"
+    assert by["d.docx"][0].text == "Para\n\n【表格 1】\n\nh1:a;h2:b"
 
 
 def test_evidence_report_and_outcome(spark):

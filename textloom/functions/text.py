@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -50,6 +51,29 @@ def normalize(c: Column) -> Column:
     return strip(t)
 
 
+#: The same replacements for Python's own patterns.
+_CLEANING = tuple(
+    (re.compile(pattern), new)
+    for pattern, new in (
+        ("[\u200b-\u200f\u202a-\u202e\ufeff\u00ad]", ""),
+        (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""),
+        (r"\r\n?", "\n"),
+        (r"([A-Za-z])-\n([a-z])", r"\1\2"),
+        (r"(?m)^[^\w\u4e00-\u9fff]\s*$", ""),
+        ("[ \\t\u3000]{2,}", " "),
+        (r"\n{3,}", "\n\n"),
+    )
+)
+
+
+def cleaned(text: str | None) -> str:
+    """`normalize` of one text inside a Python task that has it at hand."""
+    text = unicodedata.normalize("NFKC", text or "")
+    for pattern, new in _CLEANING:
+        text = pattern.sub(new, text)
+    return "\n".join(line.strip() for line in text.split("\n")).strip()
+
+
 def content_hash(c: Column) -> Column:
     return F.left(F.sha2(c, 256), F.lit(16))
 

@@ -19,56 +19,80 @@ TYPES = ("pdf", "docx", "doc", "txt", "md", "markdown", "csv")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+#: Charsets in the order in which they are tried, where a new part of a text file begins, and the least characters of a PDF page.
+CHARSETS = ("utf-8", "utf-8-sig", "gbk", "gb18030", "latin-1")
+HEADING = re.compile(r"\n(?=#{1,6}\s)")
+LEAST_PAGE = 10
+
+
 def decode_text(raw: bytes) -> str:
-    for charset in ("utf-8", "utf-8-sig", "gbk", "gb18030"):
+    for charset in CHARSETS[:-1]:
         try:
             return raw.decode(charset)
         except UnicodeDecodeError:
             continue
-    return raw.decode("latin-1")
+    return raw.decode(CHARSETS[-1])
 
 
 def _cells(row) -> list[str]:
-    """A table row's texts; equal neighbours (merged cells) once."""
-    texts = [" ".join(t.text or "" for t in cell.iter(f"{_W}t")).strip() for cell in row.iter(f"{_W}tc")]
+    """A table row's cleaned texts; equal neighbours (merged cells) once."""
+    texts = [T.cleaned("\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in cell.iter(f"{_W}p"))) for cell in row.iter(f"{_W}tc")]
     return [t for i, t in enumerate(texts) if not i or t != texts[i - 1]]
 
 
 def docx_text(raw: bytes) -> str:
-    """Paragraphs, then every table row as `header：cell` pairs; a lone row once, as it is."""
+    """Cleaned paragraphs, then each table under its number, row by row as `header：cell` pairs; a lone row is its own header."""
     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
-    parts = ["".join(t.text or "" for t in p.iter(f"{_W}t")) for p in body.findall(f"{_W}p")]
-    for table in body.findall(f"{_W}tbl"):
-        rows = [_cells(r) for r in table.findall(f"{_W}tr")]
-        if len(rows) == 1:
-            parts.append("；".join(rows[0]))
-        for row in rows[1:]:
-            parts.append("；".join(f"{rows[0][i] if i < len(rows[0]) else f'列{i + 1}'}：{c}" for i, c in enumerate(row)))
-    return "\n".join(p for p in parts if p.strip())
+    parts = [t for p in body.findall(f"{_W}p") if (t := T.cleaned("".join(t.text or "" for t in p.iter(f"{_W}t"))))]
+    for n, table in enumerate(body.findall(f"{_W}tbl"), 1):
+        rows = [cells for r in table.findall(f"{_W}tr") if any(cells := _cells(r))]
+        if not rows:
+            continue
+        parts.append(f"\n【表格 {n}】")
+        names = dict(enumerate(rows[0]))
+        lines = ["；".join(f"{names.get(i, f'列{i + 1}')}：{c}" for i, c in enumerate(row) if c) for row in (rows[1:] or rows)]
+        parts += [*filter(None, lines), *(lines if len(rows) == 1 else ())]
+    return T.cleaned("\n\n".join(parts))
+
+
+def pdf_pages(raw: bytes) -> list[tuple[int, str]]:
+    """(page from 1, cleaned text) of the pages that can be read and have text enough."""
+    from pypdf import PdfReader
+
+    found = []
+    for n, page in enumerate(PdfReader(io.BytesIO(raw)).pages, 1):
+        try:
+            text = T.cleaned(page.extract_text())
+        except Exception:  # one bad page is no bad file
+            continue
+        if len(text) >= LEAST_PAGE:
+            found.append((n, text))
+    return found
+
+
+def kind_of(path: str) -> str:
+    return path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
 
 
 def _parse(path: str, raw: bytes) -> tuple[list[tuple[int, str]], str | None]:
-    """(page, text) of one file, or what was wrong with it."""
-    kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    """(page, cleaned text) of one file, or what was wrong with it."""
+    kind = kind_of(path)
     try:
         if kind not in TYPES:
             return [], "unsupported type"
         if kind == "pdf":
             try:
-                from pypdf import PdfReader
+                units = pdf_pages(raw)
             except ImportError:
                 return [], "pypdf is not installed"
-            pages = [(i + 1, p.extract_text() or "") for i, p in enumerate(PdfReader(io.BytesIO(raw)).pages)]
-            units = [(i, t) for i, t in pages if len(t.strip()) >= 10]
         elif kind in ("docx", "doc"):
             if raw[:2] != b"PK":
                 return [], "legacy .doc"
             units = [(1, docx_text(raw))]
         else:
-            parts = re.split(r"\n(?=#{1,6}\s)", re.sub(r"\r\n?", "\n", decode_text(raw)))
-            units = [(i + 1, t) for i, t in enumerate(p for p in parts if p.strip())]
-        return ([], "empty document") if not any(t.strip() for _, t in units) else (units, None)
+            units = [(n, t.strip()) for n, t in enumerate(HEADING.split(T.cleaned(decode_text(raw))), 1) if t.strip()]
+        return ([], "empty document") if not any(t for _, t in units) else (units, None)
     except Exception as e:  # one bad file is a row of its own, not the end of the job
         return [], f"{type(e).__name__}: {e}"
 
@@ -90,7 +114,6 @@ def units(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "page", "text", "error"])
 
     parsed = files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
-    parsed = parsed.withColumn("text", T.normalize(F.col("text")))
     whole = parsed.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda r: r["text"]), "\n").alias("whole"))
     hashes = files.select("path", T.content_hash(F.col("content")).alias("file_hash"))
     name = F.element_at(F.split("path", "/"), -1)
