@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.store import TRIES, Log
-from ..sources.tables import written
+from ..sources.tables import counted, written
 from .order import ranked
 from .search import B, EPSILON, K1, Index, index, query_terms, sent, top
 
@@ -164,8 +164,7 @@ class Postings(Log):
         kinds = questions.schema["query_id"].dataType.simpleString(), self._kind(held[0]) if held else "long"
         terms, _, average = self.statistics()
         mean = F.lit(average)
-        asked = written(query_terms(questions).join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")), "asked")
-        pairs = asked.count()
+        asked, pairs = counted(query_terms(questions).join(terms, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")), "asked")
         folders = [r.folder for r in asked.select(F.pmod(F.xxhash64("token"), F.lit(FOLDERS)).cast("int").alias("folder")).distinct().collect()]  # FOLDERS numbers at most
         lists = self._table("blocks", f"token string, block long, n long, max_tf long, min_dl long, ids array<{kinds[1]}>, tfs array<long>, dls array<long>, folder int", held).where(F.col("folder").isin(folders))
         # the bounds of the asked tokens' blocks; the lists themselves are other columns, which this doesn't read

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -11,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType
 
 from ..functions import text as T
-from ..sources.tables import written
+from ..sources.tables import counted, written
 
 #: BM25's constants and the share of the mean idf that replaces negative ones.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -132,17 +134,37 @@ def gram_weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return found.select("id", F.when(letter, F.left(gram, F.lit(1))).otherwise(gram).alias("gram"), (each * F.col("n")).alias("w")).where("w > 0")
 
 
-def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
-    """id, bucket, value: signed feature hashing (MD5) of 1 + ln(weight), of unit length."""
-    return sparse_vectors(docs, key, text, dim).select("id", F.explode("v").alias("b")).select("id", "b.bucket", "b.value")
+def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512, digest: str = "md5") -> DataFrame:
+    """id, bucket, value: signed feature hashing of 1 + ln(weight), of unit length."""
+    return sparse_vectors(docs, key, text, dim, digest).select("id", F.explode("v").alias("b")).select("id", "b.bucket", "b.value")
 
 
-def sparse_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512) -> DataFrame:
+@F.arrow_udf(returnType=BinaryType())
+def blake2b_64(grams: pa.Array) -> pa.Array:
+    """BLAKE2b of 8 bytes; each distinct gram of a batch is hashed once."""
+    coded = grams.dictionary_encode()
+    hashed = [hashlib.blake2b(g.encode(), digest_size=8).digest() for g in coded.dictionary.to_pylist()]
+    return pa.array(hashed, pa.binary()).take(coded.indices)
+
+
+def bucket_and_sign(gram: Column, dim: int, digest: str) -> tuple[Column, Column]:
+    """Where a gram counts and which way: by `md5`, which SQL has too, or by `blake2b`, little-endian, as the reference values are."""
+    if digest == "blake2b":
+        h = F.hex(blake2b_64(gram))
+        low = F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1)))
+        odd = F.conv(F.substring(h, 9, 2), 16, 10)
+    elif digest == "md5":
+        low, odd = F.substring(F.md5(gram), 1, 8), F.conv(F.substring(F.md5(gram), 9, 1), 16, 10)
+    else:
+        raise ValueError("digest is md5 or blake2b")
+    return F.conv(low, 16, 10).cast("long") % dim, F.when(odd.cast("long") % 2 == 1, 1.0).otherwise(-1.0)
+
+
+def sparse_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 512, digest: str = "md5") -> DataFrame:
     """id, v array<struct<bucket, value>>: `hashed_vectors` with one row for each text that has any."""
     grams = gram_weights(docs, key, text)
-    h = F.md5("gram")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % 2 == 1, 1.0).otherwise(-1.0)
-    sums = grams.select("id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("bucket"), (sign * (1 + F.log("w"))).alias("v")).groupBy("id", "bucket").agg(F.sum("v").alias("v")).where("abs(v) > 1e-9")
+    bucket, sign = bucket_and_sign(F.col("gram"), dim, digest)
+    sums = grams.select("id", bucket.alias("bucket"), (sign * (1 + F.log("w"))).alias("v")).groupBy("id", "bucket").agg(F.sum("v").alias("v")).where("abs(v) > 1e-9")
     whole = sums.groupBy("id").agg(F.collect_list(F.struct("bucket", "v")).alias("b"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))  # `dim` buckets at most
     return whole.select("id", F.transform("b", lambda e: F.struct(e["bucket"].alias("bucket"), (e["v"] / F.col("norm")).alias("value"))).alias("v"))
 
@@ -341,8 +363,7 @@ def sent(df: DataFrame, rows: int) -> DataFrame:
 
 def candidates(fused: DataFrame, docs: DataFrame) -> DataFrame:
     """`fused` hits with the texts of docs(id, text) and their distinct tokens, as a table; texts move only where there are more than SENT hits."""
-    hits = written(fused, "fused")
-    n = hits.count()
+    hits, n = counted(fused, "fused")
     texts = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(sent(hits.select("id").distinct(), n), "id", "left_semi")
     texts = texts.withColumn("tokens", F.array_distinct(T.tokens(F.col("text"))))
     return spread(written(texts.join(sent(hits, n), "id"), "candidates"), n)
@@ -356,8 +377,8 @@ def rerank(rows: DataFrame, questions: DataFrame, ideal: int = 500, blend: float
     """
     asked = questions.select("query_id", T.content_terms(T.tokens(F.col("question"))).alias("terms"), T.phrases(F.col("question"), (2, 3, 4, 6), 40, True).alias("phrases"), T.numbers(F.col("question")).alias("numbers"))
     asked = asked.withColumn("letters", total_length(F.col("phrases")))
-    known = written(term_weights(rows, "query_id", "tokens", asked), "weights")
-    rows = rows.join(sent(known, known.count() * 50), "query_id").withColumn("matched", F.array_intersect("terms", "tokens"))
+    known, n = counted(term_weights(rows, "query_id", "tokens", asked), "weights")
+    rows = rows.join(sent(known, n * 50), "query_id").withColumn("matched", F.array_intersect("terms", "tokens"))
     text = F.col("text")
     score = 0.40 * coverage(F.col("matched")) + 0.25 * phrase_share(F.col("phrases"), text, F.col("letters")) + 0.20 * number_share(F.col("numbers"), text, 0.5) + 0.15 * length_score(F.length(text), ideal)
     out = rows.withColumn("rerank", F.round(score, 4)).withColumn("score", F.round((1 - blend) * F.col("final") + blend * F.col("rerank"), 4))

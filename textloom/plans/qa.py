@@ -10,22 +10,23 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as A
 from ..operators import search as S
-from ..sources.tables import written
+from ..sources.tables import counted, written
 
 
 @dataclass
 class Corpus:
-    """docs(id, text, ...) with their BM25 index and sparse vectors, both tables."""
+    """docs(id, text, ...) with their BM25 index and sparse vectors, both tables, and the digest of the latter."""
 
     docs: DataFrame
     index: S.Index
     vectors: DataFrame
+    digest: str = "md5"
 
 
-def corpus(docs: DataFrame, key: str = "doc_id") -> Corpus:
+def corpus(docs: DataFrame, key: str = "doc_id", digest: str = "md5") -> Corpus:
     """What `hits` searches; made once for any number of questions."""
     own = docs.withColumnRenamed(key, "id")
-    return Corpus(own, S.index(own, "id"), written(S.sparse_vectors(own, "id"), "vectors"))
+    return Corpus(own, S.index(own, "id"), written(S.sparse_vectors(own, "id", digest=digest), "vectors"), digest)
 
 
 def asked_of(questions: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def hits(held: Corpus, questions: DataFrame, fetch: int = 20, hybrid: bool = Tru
     """Dense and lexical hits, both tables; `where` filters documents on the dense side alone."""
     asked = asked_of(questions).withColumnRenamed("question", "text")
     vectors = held.vectors if where is None else held.vectors.join(held.docs.where(where).select("id"), "id", "left_semi")
-    dense = written(S.dense(vectors, S.sparse_vectors(asked, "query_id"), fetch), "dense")
+    dense = written(S.dense(vectors, S.sparse_vectors(asked, "query_id", digest=held.digest), fetch), "dense")
     return dense, written(S.bm25(asked, held.index, fetch), "lexical") if hybrid else dense.limit(0)
 
 
@@ -70,8 +71,7 @@ def counters(questions: DataFrame, found: tuple[DataFrame, DataFrame], kept: Dat
 
 def blocks(found: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, block, score, and the columns of docs(id, text, ...) for ranked hits, as a table."""
-    found = written(found, "ranked")
-    n = found.count()
+    found, n = counted(found, "ranked")
     rows = docs.join(S.sent(found, n), "id").select("query_id", F.col("rank").alias("block"), "score", *docs.columns)
     return S.spread(written(rows, "blocks"), n)
 

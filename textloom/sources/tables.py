@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list[str] = []
 
@@ -30,6 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`written`, and how many rows that wrote, observed while it did."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def clear(spark: SparkSession) -> int:
     """Removes the tables that this process has written, once no DataFrame needs them; returns how many."""
     n = len(_MADE)
