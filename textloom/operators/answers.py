@@ -152,18 +152,27 @@ def answer_summary(rows: DataFrame) -> DataFrame:
 LEAST = {"recall": 0.6, "refusal_accuracy": 0.6}
 
 
-def evaluation(cases: DataFrame, ranks: DataFrame, answered: DataFrame, questions: DataFrame) -> DataFrame:
+def evaluation(cases: DataFrame, ranks: DataFrame, answered: DataFrame, questions: DataFrame, failed: DataFrame | None = None, latency: DataFrame | None = None) -> DataFrame:
     """One row with every measure of an evaluation, and whether it passes LEAST.
 
     cases of `metrics`, ranks of `answer_hits`, answered of `answer_cases`, and
-    questions(query_id, question), the blank ones of which are errors: they
-    count as misses and stop nothing.
+    questions(query_id, question), the blank ones of which are errors, as are
+    those in failed(query_id, error): they count as misses and stop nothing.
+    latency(query_id, ms) adds avg_latency_ms, over cases without errors.
     """
     rows = answered.join(cases, "query_id", "left").join(ranks, "query_id", "left").join(questions.select("query_id", (T.strip(F.coalesce("question", F.lit(""))) == "").alias("error")), "query_id", "left")
+    if failed is not None:
+        rows = rows.join(failed.select("query_id", F.lit(True).alias("failed")).distinct(), "query_id", "left").withColumn("error", F.coalesce("error", F.lit(False)) | F.coalesce("failed", F.lit(False)))
+        missed = {c: F.when(~F.col("error"), F.col(c)) for c in ("hit", "precision", "rr", "answer_hit", "answer_rr", "citation_hit", "keyword_hit", "refused")}
+        rows = rows.withColumns(missed)
+    extra = []
+    if latency is not None:
+        rows = rows.join(latency.groupBy("query_id").agg(F.sum("ms").alias("ms")), "query_id", "left")
+        extra = [F.coalesce(F.avg(F.when(~F.coalesce("error", F.lit(False)), F.col("ms").cast("double"))), F.lit(0.0)).alias("avg_latency_ms")]
     able = ~F.col("expect_refusal")
     mean = lambda c, keep: F.coalesce(F.avg(F.when(keep, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))), F.lit(0.0))
     names = {"hit": "recall", "precision": "precision", "rr": "mrr", "answer_hit": "answer_hit", "answer_rr": "answer_mrr", "citation_hit": "citation_accuracy", "keyword_hit": "keyword_hit_rate"}
-    out = rows.agg(F.count("*").alias("cases"), F.count(F.when(able, 1)).alias("answerable"), F.count(F.when(~able, 1)).alias("refusals"), *(mean(c, able).alias(name) for c, name in names.items()), mean("refused", ~able).alias("refusal_accuracy"), F.count(F.when(F.col("error"), 1)).alias("errors"))
+    out = rows.agg(F.count("*").alias("cases"), F.count(F.when(able, 1)).alias("answerable"), F.count(F.when(~able, 1)).alias("refusals"), *(mean(c, able).alias(name) for c, name in names.items()), mean("refused", ~able).alias("refusal_accuracy"), F.count(F.when(F.col("error"), 1)).alias("errors"), *extra)
     passed = (F.col("recall") >= LEAST["recall"]) & ((F.col("refusals") == 0) | (F.col("refusal_accuracy") >= LEAST["refusal_accuracy"]))
     return out.withColumn("passed", passed)
 

@@ -48,8 +48,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def listing(chunks: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Per document: chunks, and the source and type of its first chunk."""
-    return chunks.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("unknown")).alias("doc_id")).agg(F.count("*").alias("chunks"), F.min_by("source", "chunk_index").alias("source"))
+    """Per document: chunks, and the source of its first chunk; by source, documents without one first."""
+    rows = chunks.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("unknown")).alias("doc_id")).agg(F.count("*").alias("chunks"), F.min_by("source", "chunk_index").alias("source"))
+    return rows.orderBy("source", "doc_id")
 
 
 def summary(rows: DataFrame, kind: str = "source") -> DataFrame:

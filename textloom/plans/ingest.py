@@ -27,3 +27,14 @@ def chunks_of(units: DataFrame, size: int = 500, overlap: int = 80, near: float
     by = Window.partitionBy("doc_id").orderBy("chunk_index")
     rows = rows.withColumn("chunk_index", (F.row_number().over(by) - 1).cast("long")).join(whole.select("doc_id", "source"), "doc_id")
     return rows.select("doc_id", "chunk_index", "page", "source", "text", T.content_hash(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), "text")).alias("chunk_id"))
+
+
+#: Why a document that was read has nothing to store.
+NO_CHUNKS = "no chunks"
+
+
+def failures(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, source, error: the units(doc_id, source, error) that could not be read, and documents of which no chunk is left."""
+    bad = units.where("error is not null").select("doc_id", "source", "error")
+    read = units.where("error is null").groupBy("doc_id").agg(F.min("source").alias("source"))
+    return bad.unionByName(read.join(chunks.select("doc_id"), "doc_id", "left_anti").withColumn("error", F.lit(NO_CHUNKS)))

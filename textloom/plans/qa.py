@@ -57,8 +57,11 @@ def retrieve(held: Corpus, questions: DataFrame, k: int = 5, fetch: int | None =
     return ranked(held, questions, hits(held, questions, fetch or max(20, k), hybrid, where), k, reranked, threshold)
 
 
-def counters(questions: DataFrame, found: tuple[DataFrame, DataFrame], kept: DataFrame) -> DataFrame:
-    """query_id, vector_hits, bm25_hits, fused, kept, note: what each question's search went through; `empty_query` and `no_hits` say why there is nothing."""
+def counters(questions: DataFrame, found: tuple[DataFrame, DataFrame], kept: DataFrame, hybrid: bool = True, reranked: bool = True) -> DataFrame:
+    """query_id, vector_hits, bm25_hits, fused, kept, reranked, used_hybrid, used_rerank, note: what each question's search went through.
+
+    `reranked` is what was returned, as `kept`; `empty_query` and `no_hits` say why there is nothing.
+    """
     count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
     union = found[0].select("query_id", "id").union(found[1].select("query_id", "id")).distinct()
     out = questions.select("query_id", (T.strip(F.coalesce("text", F.lit(""))) == "").alias("blank"))
@@ -66,7 +69,8 @@ def counters(questions: DataFrame, found: tuple[DataFrame, DataFrame], kept: Dat
         out = out.join(count(df, name), "query_id", "left")
     out = out.fillna(0, ["vector_hits", "bm25_hits", "fused", "kept"])
     note = F.when(F.col("blank"), "empty_query").when(F.col("fused") == 0, "no_hits")
-    return out.select("query_id", "vector_hits", "bm25_hits", "fused", "kept", note.alias("note"))
+    used = (F.lit(hybrid) & ~F.col("blank")).alias("used_hybrid"), (F.lit(reranked) & (F.col("fused") > 0)).alias("used_rerank")
+    return out.select("query_id", "vector_hits", "bm25_hits", "fused", "kept", F.col("kept").alias("reranked"), *used, note.alias("note"))
 
 
 def blocks(found: DataFrame, docs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from .operators import ann
 from .operators import answers as A
 from .operators import chunking as C
 from .operators import collections as M
+from .operators import prompts
 from .operators import search as S
 from .operators.postings import Postings
 from .plans import ingest, qa
@@ -203,6 +204,15 @@ def exact_dedup(spark, sf_dir):
     return M.exact_dedup(docs_of(spark, sf_dir))
 
 
+@query(f"SELECT item_id // 5 AS query_id, (item_id % 5 + 1)::INTEGER AS block, {_STRIP.format('text')} AS text, {_STRIP.format("concat('What of ', min(text) OVER (PARTITION BY item_id // 5), '?')")} AS question FROM benchmark")
+def prompt_blocks(spark, sf_dir):
+    """Benchmark passages, five to a prompt, taken out of the prompts again."""
+    items = table(spark, sf_dir, "benchmark").select(F.expr("item_id div 5").alias("query_id"), (F.col("item_id") % 5 + 1).cast("int").alias("block"), "text", F.lit("benchmark").alias("source"), F.col("item_id").alias("page"))
+    asked = items.groupBy("query_id").agg(F.concat(F.lit("What of "), F.min("text"), F.lit("?")).alias("question"))
+    rows = prompts.parsed(prompts.prompts(asked, items))
+    return rows.select("query_id", "question", F.inline("blocks"))
+
+
 @query(f"WITH {_WINDOWS} SELECT doc_id::VARCHAR AS doc_id, count(*) AS chunks, arg_min(source, chunk_index) AS source FROM chunks GROUP BY 1")
 def list_documents(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
@@ -440,7 +450,7 @@ def hybrid_topk(spark, sf_dir):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"{_FUSED}, n AS (SELECT query_id, count(*) FILTER (vr IS NOT NULL) AS vector_hits, count(*) FILTER (br IS NOT NULL) AS bm25_hits, count(*) AS fused FROM f GROUP BY 1),{_ASKED},{_CANDIDATES},{_RERANKED},{_deduped('hit', 'found')} SELECT item_id AS query_id, coalesce(vector_hits, 0) AS vector_hits, coalesce(bm25_hits, 0) AS bm25_hits, coalesce(fused, 0) AS fused, (SELECT count(*) FROM found WHERE found.query_id = item_id) AS kept, CASE WHEN {_STRIP.format('text')} = '' THEN 'empty_query' WHEN fused IS NULL THEN 'no_hits' END AS note FROM benchmark LEFT JOIN n ON n.query_id = item_id")
+@query(f"{_FUSED}, n AS (SELECT query_id, count(*) FILTER (vr IS NOT NULL) AS vector_hits, count(*) FILTER (br IS NOT NULL) AS bm25_hits, count(*) AS fused FROM f GROUP BY 1),{_ASKED},{_CANDIDATES},{_RERANKED},{_deduped('hit', 'found')} SELECT item_id AS query_id, coalesce(vector_hits, 0) AS vector_hits, coalesce(bm25_hits, 0) AS bm25_hits, coalesce(fused, 0) AS fused, (SELECT count(*) FROM found WHERE found.query_id = item_id) AS kept, (SELECT count(*) FROM found WHERE found.query_id = item_id) AS reranked, {_STRIP.format('text')} <> '' AS used_hybrid, fused IS NOT NULL AS used_rerank, CASE WHEN {_STRIP.format('text')} = '' THEN 'empty_query' WHEN fused IS NULL THEN 'no_hits' END AS note FROM benchmark LEFT JOIN n ON n.query_id = item_id")
 def retrieval_counters(spark, sf_dir):
     held, asked = qa.corpus(docs_of(spark, sf_dir)), questions_of(spark, sf_dir)
     found = qa.hits(held, asked)
