@@ -26,7 +26,7 @@ from .order import ranked
 from .search import B, EPSILON, K1, Index, index, query_terms, sent, top
 
 #: Documents of a block; folders that tokens are dealt to by hash; blocks whose scores give the first bound.
-BLOCK_DOCS, FOLDERS, FIRST = 128, 32, 4
+BLOCK_DOCS, FOLDERS, FIRST = 16, 32, 16
 #: Scores are rounded to 9 digits, and equal ones ordered by id, so that a block's bound has to be below by more than that.
 SLACK = 2e-9
 

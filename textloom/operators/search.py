@@ -361,11 +361,18 @@ def sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT else df
 
 
-def candidates(fused: DataFrame, docs: DataFrame) -> DataFrame:
-    """`fused` hits with the texts of docs(id, text) and their distinct tokens, as a table; texts move only where there are more than SENT hits."""
+def candidates(fused: DataFrame, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """`fused` hits with the texts of docs(id, text) and their distinct tokens, as a table; texts move only where there are more than SENT hits.
+
+    Tokens are those of known(id, tokens), as an index has them ('' stands for none there), else they are found in the texts.
+    """
     hits, n = counted(fused, "fused")
     texts = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(sent(hits.select("id").distinct(), n), "id", "left_semi")
-    texts = texts.withColumn("tokens", F.array_distinct(T.tokens(F.col("text"))))
+    if known is None:
+        texts = texts.withColumn("tokens", F.array_distinct(T.tokens(F.col("text"))))
+    else:
+        own = known.select("id", F.array_remove("tokens", "").alias("tokens")).join(sent(hits.select("id").distinct(), n), "id", "left_semi")
+        texts = texts.join(own, "id")
     return spread(written(texts.join(sent(hits, n), "id"), "candidates"), n)
 
 

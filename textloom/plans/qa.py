@@ -44,7 +44,7 @@ def hits(held: Corpus, questions: DataFrame, fetch: int = 20, hybrid: bool = Tru
 
 def ranked(held: Corpus, questions: DataFrame, found: tuple[DataFrame, DataFrame], k: int = 5, reranked: bool = True, threshold: float = 0.0) -> DataFrame:
     """query_id, rank, id, score: fused hits, with `reranked` by their texts, without near-duplicates, those over the threshold."""
-    rows = S.candidates(S.fuse(*found), held.docs)
+    rows = S.candidates(S.fuse(*found), held.docs, held.index.rows)
     if reranked:
         rows = S.rerank(rows, asked_of(questions))
     else:
