@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, mix, pieces, read, word_hashes, words
+from .common import LOWER, SPACE, mix, pieces, read, word_hashes, words, written
 
 #: The bound on labelled documents to train on, the first by a hash of doc_id.
 SAMPLE_DOCS = 20_000
+#: The bound on the bytes of their texts: no further document is taken once they hold so many.
+SAMPLE_BYTES = 256 << 20
 #: Buckets of hashed words and pieces of words, and how many of them the model may use: its size, whatever the corpus.
 BUCKETS, CHOSEN = 1 << 20, 20_000
 #: Bytes in a piece of a word, so that inflected and joined forms share evidence.
@@ -118,8 +120,8 @@ def train(bag: Bags, label: np.ndarray, rounds: int = 200, rate: float = 0.1, l2
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE_DOCS) -> Model:
-    """The model from at most `sample` labelled documents, those with the smallest hashes of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES) -> Model:
+    """The model from at most `sample` labelled documents, those with the smallest hashes of doc_id, until their texts hold `most` bytes.
 
     Labels other than 0 and 1 are left out, and a document with both counts as
     1.  Without both kinds the score rests on the label's base rate.  Rows of
@@ -129,7 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # `sample` rows at most
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    sizes = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))  # `sample` rows at most
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = written(sizes.withColumn("before", before).where(F.col("before") < most).select("doc_id", "y"), "sample")
+    chosen = texts.join(F.broadcast(known), "doc_id")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
@@ -156,22 +162,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(held.value).astype(bool)
+        place = np.cumsum(mask) - 1
         for rows, data, offs in pieces(batches, most=512 << 10):
             bag = bags(data, offs, mask)
+            x, n = place[bag.feature].astype(np.uint16), np.bincount(bag.of, minlength=len(bag.row)).astype(np.int32)
             edge = np.searchsorted(bag.row, np.arange(rows.num_rows + 1))
             inner = np.searchsorted(bag.of, edge)
-            out = [(bag.feature[a:b].tobytes(), (bag.of[a:b] - s).astype(np.int32).tobytes(), t - s) for a, b, s, t in zip(inner, inner[1:], edge, edge[1:], strict=False)]
-            yield pa.record_batch([rows.column("y").cast(pa.int64()), pa.array([x for x, _, _ in out], pa.binary()), pa.array([o for _, o, _ in out], pa.binary()), pa.array([k for _, _, k in out], pa.int64())], names=["y", "x", "o", "k"])
+            out = [(x[a:b].tobytes(), n[s:t].tobytes()) for a, b, s, t in zip(inner, inner[1:], edge, edge[1:], strict=False)]
+            yield pa.record_batch([rows.column("y").cast(pa.int8()), pa.array([x for x, _ in out], pa.binary()), pa.array([n for _, n in out], pa.binary())], names=["y", "x", "n"])
 
-    got = chosen.mapInArrow(features, "y long, x binary, o binary, k long").toArrow()  # `sample` rows of chosen buckets
+    # of each document its label, its chosen buckets by their places among these (16 bits), and their number in each sentence
+    got = chosen.mapInArrow(features, "y byte, x binary, n binary").toArrow()  # `sample` rows and `most` bytes of text at most
     label_of = got.column("y").to_numpy().astype(float)
-    sizes = got.column("k").to_numpy()
-    begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    xs = [np.frombuffer(x, np.int32) for x in got.column("x").to_pylist()]
-    of = [np.frombuffer(o, np.int32) + b for o, b in zip(got.column("o").to_pylist(), begins, strict=False)]
+    joined = lambda name, kind: np.frombuffer(b"".join(got.column(name).to_pylist()), kind)
+    sizes = np.array([len(n) // 4 for n in got.column("n").to_pylist()], np.int64)
+    n = joined("n", np.int32)
     none = np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(label_of)), sizes) if len(label_of) else none
-    return train(Bags(np.concatenate(xs) if xs else none.astype(np.int32), np.concatenate(of) if of else none, rows, none, none), label_of)
+    feature = np.flatnonzero(use).astype(np.int32)[joined("x", np.uint16)]
+    return train(Bags(feature, np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(label_of)), sizes), none, none), label_of)
 
 
 def _sent(docs: DataFrame, model: Model):
