@@ -135,6 +135,8 @@ SEGMENT, RING, MOST = 28, 9, 72
 JACCARD = 0.8
 #: Keys of a document, and least hashes in each: at Jaccard J two documents share none with (1 - J**ROWS)**BANDS, 0.0004 at 0.8.
 BANDS, ROWS = 20, 5
+#: Documents of a block: what a task holds of those who share a key or a rare shingle.
+BLOCK = 512
 _FACTORS = np.random.default_rng(20240301).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -293,55 +295,77 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int = 5, least: float = JA
 
 
 def _across(batches: Iterator[pa.RecordBatch], least: float = JACCARD) -> Iterator[pa.RecordBatch]:
-    """All pairs (u < v) of those who have one rare shingle that are in different components, can share enough from it on, and are within MOST bits."""
+    """All pairs of those who have one rare shingle that are in different components, can share enough from it on, and are within MOST bits.
+
+    A row holds the members of two blocks of a shingle, and pairs go across
+    these, or those of one block (`alone`), and pairs go within it.
+    """
     for rows in batches:
-        for group in rows.column("members"):
-            ids, heads, n, left, fps = group.values.flatten()
-            ids, heads, n, left, segments = ids.to_numpy(), heads.to_numpy(), n.to_numpy(), left.to_numpy(), _segments_of(fps)
+        for group, alone in zip(rows.column("members"), rows.column("alone").to_pylist(), strict=True):
+            ids, heads, n, left, block, fps = group.values.flatten()
+            ids, heads, n, left, block, segments = ids.to_numpy(), heads.to_numpy(), n.to_numpy(), left.to_numpy(), block.to_numpy(), _segments_of(fps)
             for i in range(len(ids)):
                 enough = np.minimum(left[i], left[i + 1 :]) * (1 + least) >= least * (n[i] + n[i + 1 :]) - 1e-6
-                other = i + 1 + np.flatnonzero((heads[i + 1 :] != heads[i]) & (ids[i + 1 :] != ids[i]) & enough)
+                apart = alone | (block[i + 1 :] != block[i])
+                other = i + 1 + np.flatnonzero((heads[i + 1 :] != heads[i]) & (ids[i + 1 :] != ids[i]) & enough & apart)
                 other = other[ring_check(np.broadcast_to(segments[i], (len(other), RING)), segments[other])]
                 if len(other):
                     yield pa.record_batch([pa.array(np.full(len(other), ids[i])), pa.array(ids[other])], names=["u", "v"])
 
 
-def near_copies(docs: DataFrame, distinct: DataFrame, width: int = 5) -> DataFrame:
+def rare_blocks(found: DataFrame, size: int = BLOCK) -> DataFrame:
+    """alone, members: of `found(id, h, n, left, component, fp)` those who have one shingle `h`, where they are of several components.
+
+    The members of a shingle are dealt to blocks of about `size`; each two
+    blocks are one row, as is each block alone, so no row grows with the group.
+    """
+    many = found.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count("*") / size).alias("blocks")).where("a <> b").select("h", "blocks")
+    dealt = found.join(many, "h").withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).groupBy("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return met.agg(F.array_sort(F.collect_list(F.struct("id", "component", "n", "left", "block", "fp"))).alias("members")).select((F.col("x") == F.col("y")).alias("alone"), "members").where("size(members) > 1")
+
+
+def near_copies(docs: DataFrame, distinct: DataFrame, width: int = 5, block: int = BLOCK) -> DataFrame:
     """(id, component) of all ids of `distinct(id, fp, bands)` with a near copy.
 
     Ids that share a key are candidates: all of them, however many share it.
-    First each is compared with the first of its key, the one before it and the
-    key's hub, which shares most keys with others, as the text does that the
+    First each is compared with the first of its key, the one before it in its
+    block of the key and the key's hub, which shares most keys with others, as the text does that the
     others were made from;
     what this joins needs no further comparison, so that a large group of
     copies costs no square.  Of the keys that still hold several components,
     all pairs across these are compared that share a rare shingle, as all near
     copies do (see `rare_shingles`).
     """
-    groups = distinct.select("id", F.explode("bands").alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
-    groups = written(groups.groupBy("ids").agg(F.min("key").alias("key")), "groups")  # the same ids under several keys are compared once
-    lines = groups.select(F.explode(F.expr("concat(transform(slice(ids, 2, size(ids)), x -> struct(ids[0] as u, x as v)), transform(sequence(1, size(ids) - 1), i -> struct(ids[i - 1] as u, ids[i] as v)))")).alias("e")).select("e.*")
-    of_key = groups.where("size(ids) > 2").select("key", F.explode("ids").alias("id"))
-    shared = groups.select(F.explode("ids").alias("id"), (F.size("ids") - 1).alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
+    every = distinct.select("id", F.explode("bands").alias("key")).distinct()
+    same = [F.count("*").alias("size"), F.min("id").alias("head"), F.sum(F.shiftrightunsigned(F.xxhash64("id"), 32)).alias("total"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("xor")]
+    keys = every.groupBy("key").agg(*same).where("size > 1")
+    keys = keys.groupBy("size", "head", "total", "xor").agg(F.min("key").alias("key"))  # the same ids under several keys are compared once
+    groups = written(every.join(keys.select("key", "size", "head"), "key"), "groups")
+    before = F.lag("id").over(Window.partitionBy("key", F.expr(f"pmod(xxhash64(id), ceil(size / {block}))")).orderBy("id"))
+    lines = groups.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    lines = lines.union(groups.select(before.alias("u"), F.col("id").alias("v")).where("u is not null"))
+    of_key = groups.where("size > 2").select("key", "id")
+    shared = groups.groupBy("id").agg(F.sum(F.col("size") - 1).alias("n"))
     hubs = of_key.join(shared, "id").groupBy("key").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub"))
     lines = lines.union(of_key.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))).distinct()
     links = written(similar(docs, written(near(distinct, lines), "pairs"), width), "near")
     heads = components(links)
     of = distinct.select("id", "fp").join(heads, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
-    members = groups.where("size(ids) > 2").select("key", F.explode("ids").alias("id")).join(of.select("id", "component"), "id")
+    members = of_key.join(of.select("id", "component"), "id")
     open_ = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     left = written(members.join(open_.select("key"), "key", "left_semi").select("id").distinct(), "open")  # its size is known to the join
     if not left.limit(1).count():
         return heads
     rare = rare_shingles(docs.join(left.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), width)
-    rest = rare.join(of, "id").groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.array_sort(F.collect_list(F.struct("id", "component", "n", "left", "fp"))).alias("members")).where("a <> b")
-    pairs = written(rest.select("members").mapInArrow(_across, "u long, v long").distinct(), "pairs")
+    rest = rare_blocks(written(rare.join(of, "id"), "rare"), block)
+    pairs = written(rest.mapInArrow(_across, "u long, v long").distinct(), "pairs")
     if not pairs.limit(1).count():
         return heads
     return components(links.union(similar(docs, pairs, width)))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, block: int = BLOCK) -> DataFrame:
     """One document of each group of near copies stays, with all its columns: that with the smallest doc_id.
 
     Documents are linked where their sets of five-word shingles have a Jaccard
@@ -354,7 +378,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     own = docs.where("doc_id is not null")
     marked = written(wide_fingerprints(own, width), "wide")
     distinct = written(marked.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("x")).select("same", F.col("x.doc_id").alias("id"), "x.fp", "x.bands"), "distinct")
-    groups = near_copies(own, distinct, width)
+    groups = near_copies(own, distinct, width, block)
     heads = distinct.join(groups, "id", "left").select("same", F.coalesce("component", "id").alias("head"))
     gone = written(marked.select("doc_id", "same").join(heads, "same").where("doc_id <> head").select("doc_id").distinct(), "gone")  # its size is known to the join
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
