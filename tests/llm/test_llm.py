@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from textloom.llm import bpe, common, decontaminate, embeddings, licenses, lm, pii, reshard, simhash, substrings, toxicity
 
@@ -446,6 +447,38 @@ def test_lm_score_by_hand(spark):
         assert r.score == pytest.approx(want, rel=1e-4)
 
 
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    """The first documents by hash are learned from, until they hold the bytes; repeated rows count as often as they stand."""
+    docs = spark.createDataFrame([(i, ("you vile fool. " if i % 3 == 0 else "a calm day. ") * (1 + i % 5)) for i in range(90)], "doc_id long, text string")
+    docs = docs.union(docs.where("doc_id < 10"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).distinct()
+    whole, all_bytes = toxicity.fit(docs, labels), toxicity.fit(docs, labels, most=1 << 40)
+    assert np.allclose(whole.weights, all_bytes.weights, atol=1e-5) and np.flatnonzero(whole.weights).size
+    order = docs.groupBy(F.xxhash64("doc_id").alias("h"), "doc_id").agg(F.sum(F.length("text")).alias("n")).orderBy("h").collect()
+    first = [r.doc_id for r in order[:60]]
+    part = toxicity.fit(docs, labels, most=sum(r.n for r in order[:60]))
+    want = toxicity.fit(docs, labels.where(F.col("doc_id").isin(first)))
+    assert np.allclose(part.weights, want.weights, atol=1e-5) and not np.allclose(part.weights, whole.weights, atol=1e-5)
+
+
+def test_lm_counts_repeated_noise():
+    """A step with few symbols, so that noise repeats, moves the vectors as the sum over all its draws does."""
+    share = np.array([0.7, 0.2, 0.1])
+    model = lm.Model(*[np.zeros(0)] * 4, share, np.zeros(3), lm.start(share), 0, 0)
+    trainer = lm.Trainer(model, 0.1, 4)
+    drawn = np.minimum(np.searchsorted(np.cumsum(share), np.random.default_rng(4).random(lm.NOISE), "right"), 2)
+    one, two, target = np.array([0, 1, 2, 0]), np.array([1, 1, 0, 2]), np.array([0, 2, 1, 0])
+    q = model.state(one, two)
+    want = np.zeros((3, lm.SIZE + 1))
+    for i in range(4):
+        for s, y in [(target[i], 1), *((d, 0) for d in drawn)]:
+            z = q[i] @ model.part["w"][s] - np.log(lm.NOISE * share[s])
+            want[s] += (1 / (1 + np.exp(-z)) - y) * q[i]
+    trainer.step(one, two, target)
+    squares = 1e-3 + (want**2).mean(axis=1, keepdims=True)
+    assert np.allclose(trainer.model.part["w"], model.part["w"] - 0.1 * want / np.sqrt(squares), atol=1e-4)
+
+
 def test_lm_learns_what_follows():
     """After training, the symbol that always follows is likely, though it is rare."""
     share = np.full(200, 1 / 200)

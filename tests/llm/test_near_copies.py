@@ -36,8 +36,8 @@ def brute(rows, least=0.8):
     return {i for i in ids if find(i) == i}
 
 
-def kept(spark, rows):
-    return {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+def kept(spark, rows, **how):
+    return {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
 
 
 def some(rng, n):
@@ -79,6 +79,19 @@ def test_partner_behind_others(spark):
     want = brute(rows)
     assert len(want) == 120
     assert kept(spark, rows) == want
+    assert kept(spark, rows, block=7) == want  # keys and rare shingles cut into many blocks
+
+
+def test_blocks_of_a_rare_shingle(spark):
+    """Every two members of a shingle meet once, whatever the blocks."""
+    rows = [(i, h, 9, 9, i % 4, b"") for h, m in ((1, 40), (2, 3), (3, 1)) for i in range(m)]
+    found = spark.createDataFrame([*rows, (1, 4, 9, 9, 1, b""), (5, 4, 9, 9, 1, b"")], "id long, h long, n long, left long, component long, fp binary")
+    for size in (3, 512):
+        met = []
+        for r in simhash.rare_blocks(found, size).collect():
+            assert len(r.members) <= 6 * size
+            met += [(a.id, b.id) for k, a in enumerate(r.members) for b in r.members[k + 1 :] if r.alone or a.block != b.block]
+        assert sorted(met) == sorted([(i, j) for m in (40, 3) for j in range(m) for i in range(j)])
 
 
 def test_lone_pairs(spark):
