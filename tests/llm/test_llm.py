@@ -479,6 +479,64 @@ def test_lm_counts_repeated_noise():
     assert np.allclose(trainer.model.part["w"], model.part["w"] - 0.1 * want / np.sqrt(squares), atol=1e-4)
 
 
+def test_lm_rounds_do_not_follow_the_size(spark, monkeypatch):
+    """Ninety tokens and ten million are gone over equally often."""
+    for rows, times in ((10, 2), (2600, 1000)):
+        seen = []
+        monkeypatch.setattr(lm, "average", lambda texts, model, rate, *more: seen.append(rate) or model.part)
+        docs = spark.range(rows, numPartitions=4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b c d "), times).alias("text"))
+        model, _ = lm.fit(docs)
+        assert model.n == rows * (4 * times + 1)
+        assert seen == [lm.RATE / (1 + at) for at in range(lm.ROUNDS)]
+
+
+def test_lm_symbols_do_not_follow_the_head(docs, monkeypatch):
+    """The same words are symbols, however few words the broadcast head holds."""
+    monkeypatch.setattr(lm, "average", lambda texts, model, *more: model.part)
+    models = []
+    for head in (1 << 18, 10):
+        monkeypatch.setattr(lm, "HEAD", head)
+        models.append(lm.fit(docs)[0])
+    many, few = ({int(h): int(x) for h, x in zip(m.head, m.symbol) if x >= 0} for m in models)
+    assert len(few) > 100 and many == few and np.array_equal(models[0].share, models[1].share) and np.array_equal(models[0].rest, models[1].rest)
+
+
+def test_lm_symbols_are_written_once(odd):
+    """The written symbols are those of the texts' tokens, in their order; null and empty texts are an end alone."""
+    model, _ = lm.fit(odd, rounds=0)
+    want = [model.symbols(*lm.tokens(*common.buffers(pa.array([r.text], pa.string())))[:2])[0].tolist() for r in odd.select(F.col("text").cast("string")).collect()]
+    assert sorted(np.frombuffer(r.symbols, "<u2").tolist() for r in lm.coded(odd, model).collect()) == sorted(want)
+
+
+def test_lm_step_by_hand():
+    """One step moves every vector as plain loops over tokens and noise do."""
+    rng = np.random.default_rng(0)
+    share = np.sort(rng.random(130))[::-1] / 65
+    model = lm.Model(*[np.zeros(0)] * 4, share, np.zeros(130), lm.start(share), 0, 0)
+    one, two, target = rng.integers(0, 131, 40), rng.integers(0, 4, 40), rng.integers(0, 130, 40) // 3
+    trainer = lm.Trainer(model, 0.1, 4)
+    p, size = {k: x.astype(float) for k, x in model.part.items()}, lm.SIZE
+    drawn = np.minimum(np.searchsorted(np.cumsum(share), np.random.default_rng(4).random(lm.NOISE) * share.sum(), "right"), 129)
+    want = {k: np.zeros(x.shape) for k, x in p.items()}
+    for a, b, t in zip(one, two, target):
+        q = np.append(p["r"][a, :size] @ p["one"][:, :size] + p["r"][b, :size] @ p["two"][:, :size], 1)
+        back = np.zeros(size)
+        for name, at, part in (("w", lambda s: s, share), ("g", lambda s: s // lm.GROUP, np.add.reduceat(share, [0, 64, 128]))):
+            for s, y in [(t, 1), *((d, 0) for d in drawn)]:
+                up = 1 / (1 + np.exp(np.log(lm.NOISE * part[at(s)]) - p[name][at(s)] @ q)) - y
+                want[name][at(s)] += up * q
+                back += up * p[name][at(s), :size]
+        for name, row in (("one", a), ("two", b)):
+            want["r"][row, :size] += p[name][:, :size] @ back
+            want[name][:, :size] += np.outer(p["r"][row, :size], back)
+    trainer.step(one, two, target)
+    for name, g in want.items():
+        moved = p[name] - 0.1 * g / np.sqrt(1e-3 + (g**2).mean(axis=1, keepdims=True))
+        assert np.allclose(trainer.model.part[name], moved, atol=1e-4), name
+    seen = trainer.seen()
+    assert (seen["r"] == np.bincount(one, minlength=131)).all() and seen["g"].tolist() == [40, 0, 0] and (seen["two"] == 40).all()
+
+
 def test_lm_learns_what_follows():
     """After training, the symbol that always follows is likely, though it is rare."""
     share = np.full(200, 1 / 200)

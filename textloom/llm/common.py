@@ -45,8 +45,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of a string column; nulls are empty."""
-    col = (col.fill_null("") if col.null_count else col).cast(pa.large_string())
+    """Bytes (of strings in UTF-8) and row offsets of a string or binary column; nulls are empty."""
+    col = (col.fill_null("") if col.null_count else col).cast(pa.large_string() if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else pa.large_binary())
     _, offs, data = col.buffers()
     offs = np.frombuffer(offs, np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)

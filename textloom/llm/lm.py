@@ -5,7 +5,8 @@ words by their last bytes; their number follows the corpus up to SYMBOLS.  The
 log-bilinear model predicts the next symbol from the two before it.  It has
 vectors for all symbols and for groups of symbols of like frequency, trained
 together by noise-contrastive estimation with drawn noise: each Spark task goes
-over all its training texts, and the tasks' changes are averaged, by rounds.
+over all its training texts, and the tasks' changes are averaged, in ROUNDS
+rounds whatever the corpus's size.
 A token's probability is that of its group times that of its symbol within the
 group, each from a matrix product and normalised; a word of a class then gets
 its smoothed share of the class's counts.  So a token's probability is one of a
@@ -33,8 +34,8 @@ SYMBOLS, CLASSES, LEAST, GROUP = 4096, 128, 20, 64
 HEAD = 1 << 18
 #: Length of the vectors; tokens of a training step, noise symbols drawn for it, rate of the first round.
 SIZE, STEP, NOISE, RATE = 16, 1024, 64, 0.04
-#: A corpus is gone over whole until its rounds hold so many tokens: once if it has as many, ROUNDS times at most.
-LEARNT, ROUNDS = 10_000_000, 4
+#: How often training goes over the whole corpus, of whatever size.
+ROUNDS = 4
 #: Fixed value: the end's stand-in among the hashed words.
 END_HASH = np.uint64(0x0E0D_E0D0_E0D0_E0D0)
 END = -1
@@ -85,7 +86,8 @@ class Model:
         """The prediction from each pair of context symbols, and a 1 for the bias."""
         p = self.part
         q = np.ones((len(one), SIZE + 1), np.float32)
-        q[:, :SIZE] = p["r"][one, :SIZE] @ p["one"][:, :SIZE] + p["r"][two, :SIZE] @ p["two"][:, :SIZE]
+        q[:, :SIZE] = np.take(p["r"], one, axis=0)[:, :SIZE] @ p["one"][:, :SIZE]
+        q[:, :SIZE] += np.take(p["r"], two, axis=0)[:, :SIZE] @ p["two"][:, :SIZE]
         return q
 
     def log10(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -105,9 +107,12 @@ class Model:
 
 def _normal(scores: np.ndarray, pick: np.ndarray) -> np.ndarray:
     """log10 of the picked one's share in each row of scores."""
-    scores -= scores.max(axis=1, keepdims=True)
     own = scores[np.arange(len(pick)), pick].astype(float)
-    return (own - np.log(np.exp(scores, out=scores).sum(axis=1))) / np.log(10)
+    # one maximum for all rows, unless exp would make one of them zeros
+    top = scores.max()
+    top = scores.max(axis=1, keepdims=True) if top - scores.min() > 60 else np.full((1, 1), top)
+    scores -= top
+    return (own - top[:, 0] - np.log((np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)).astype(float))) / np.log(10)
 
 
 def contexts(symbols: np.ndarray, first: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,90 +139,143 @@ def start(share: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
 
 
 class Trainer:
-    """Steps of noise-contrastive estimation on a copy of a model's vectors, with a rate of its own for each row (Adagrad)."""
+    """Steps of noise-contrastive estimation on a copy of a model's vectors, with a rate of its own for each row (Adagrad).
+
+    The vectors of symbols and groups are one matrix here, and so are the two that take contexts to predictions;
+    all have one more column, of zeros.
+    """
 
     def __init__(self, model: Model, rate: float, seed: int, step: int = STEP):
-        self.model = Model(**{**vars(model), "part": {k: x.copy() for k, x in model.part.items()}})
-        self.squares = {k: np.full(len(x), 1e-3, np.float32) for k, x in model.part.items()}
-        self.seen = {k: np.zeros(len(x)) for k, x in model.part.items()}
+        p, self.n = model.part, len(model.share)
+        wide = lambda x, rows=0: np.pad(x, ((0, rows), (0, 1)))
+        self.out, self.into, self.r = wide(np.concatenate([p["w"], p["g"]])), np.concatenate([wide(p["one"], 2), wide(p["two"], 2)]), wide(p["r"])
+        part = {"r": self.r, "w": self.out[: self.n], "g": self.out[self.n :], "one": self.into[:SIZE], "two": self.into[SIZE + 2 : -2]}
+        part = {k: x[:, : SIZE + 1] for k, x in part.items()}
+        self.model = Model(**{**vars(model), "part": {k: part[k] for k in p}})
+        self.squares = {k: np.full(len(x), 1e-3, np.float32) for k, x in (("r", self.r), ("out", self.out), ("into", self.into))}
+        self.seen_r, self.seen_w, self.tokens = np.zeros(len(self.r), np.int64), np.zeros(self.n, np.int64), 0
         self.rate, self.size, self.rng = rate, step, np.random.default_rng(seed)
         self.below = np.cumsum(model.share)
-        self.noise = {"w": np.log(NOISE * model.share).astype(np.float32), "g": np.log(NOISE * np.add.reduceat(model.share, np.arange(0, len(model.share), GROUP))).astype(np.float32)}
-
-    def change(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
-        """One step down the rows' summed gradients."""
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix
-        ordered = rows[order]
-        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        rows, g = ordered[at], np.add.reduceat(grads[order], at, axis=0)
-        self.squares[name][rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        self.model.part[name][rows] -= self.rate * g / np.sqrt(self.squares[name][rows])[:, None]
+        edge = np.arange(0, self.n, GROUP)
+        self.noise = np.log(NOISE * np.concatenate([model.share, np.add.reduceat(model.share, edge)])).astype(np.float32)
+        self.sums, self.mark = np.zeros_like(self.out), np.zeros(len(self.out), bool)
+
+    def seen(self) -> dict[str, np.ndarray]:
+        """How many tokens have moved each row, by name."""
+        every = np.full(SIZE, self.tokens)
+        return {"r": self.seen_r, "w": self.seen_w, "g": np.add.reduceat(self.seen_w, np.arange(0, self.n, GROUP)), "one": every, "two": every}
+
+    def change(self, name: str, x: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+        """One step down the gradients of distinct rows."""
+        squares = self.squares[name][rows] + np.einsum("ij,ij->i", g, g) / (SIZE + 1)
+        self.squares[name][rows] = squares
+        g *= (self.rate / np.sqrt(squares))[:, None]
+        x[rows] = np.take(x, rows, axis=0) - g
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
         """Tells the tokens from NOISE symbols drawn by their shares, and the tokens' groups from the groups of these."""
-        p, q = self.model.part, self.model.state(one, two)
-        drawn = np.minimum(np.searchsorted(self.below, self.rng.random(NOISE) * self.below[-1], "right"), len(self.below) - 1)
+        n, order = self.n, np.argsort(target.astype(np.uint16), kind="stable")  # by radix
+        target, pairs = target[order], np.stack([one[order], two[order]], axis=1).reshape(-1)
+        context = np.take(self.r, pairs, axis=0).reshape(len(target), -1)  # both vectors side by side, two zeros after each
+        q = context @ self.into
+        q[:, SIZE] = 1
+        drawn = np.minimum(np.searchsorted(self.below, self.rng.random(NOISE) * self.below[-1], "right"), n - 1)
         # a symbol drawn several times is one column with its number as weight
-        false_w, times_w = np.unique(drawn, return_counts=True)
-        false_g, times_g = np.unique(drawn // GROUP, return_counts=True)
-        back = np.zeros_like(q)
-        changes = []
-        for name, true, false, times in (("w", target, false_w, times_w), ("g", target // GROUP, false_g, times_g)):
-            x, y, base = p[name][true], p[name][false], self.noise[name]
-            up = _sigmoid(np.einsum("ij,ij->i", q, x) - base[true]) - 1  # d loss / d score
-            down = q @ y.T
-            down -= base[false]
-            down = _sigmoid(down)
-            down *= times.astype(np.float32)
-            back += up[:, None] * x + down @ y
-            changes.append((name, np.concatenate([true, false]), np.concatenate([up[:, None] * q, down.T @ q])))
-            self.seen[name] += np.bincount(true, minlength=len(self.seen[name]))
+        times = np.bincount(np.concatenate([drawn, n + drawn // GROUP]), minlength=len(self.out))
+        false = np.flatnonzero(times)
+        y = np.take(self.out, false, axis=0)
+        down = y.copy()
+        down[:, SIZE] -= self.noise[false]
+        down = _sigmoid(q @ down.T, times[false].astype(np.float32))  # d loss / d score
+        back = down @ y
+        rows, sums = [], []
+        for true in (target, n + target // GROUP):
+            x = np.take(self.out, true, axis=0)
+            up = (_sigmoid(np.einsum("ij,ij->i", q, x) - self.noise[true]) - 1)[:, None]
+            x *= up
+            back += x
+            at = _edges(true)
+            rows.append(true[at])
+            sums.append(_sums(up * q, at))
+        for true, g in zip(rows, sums, strict=True):
+            self.sums[true] = g
+            self.mark[true] = True
+        self.sums[false] += down.T @ q
+        self.mark[false] = True
+        moved = np.flatnonzero(self.mark)
+        g = np.take(self.sums, moved, axis=0)
+        self.sums[moved], self.mark[moved] = 0, False
         back[:, SIZE] = 0
-        a, b = p["r"][one, :SIZE], p["r"][two, :SIZE]
-        rows = np.zeros((2 * len(one), SIZE + 1), np.float32)
-        rows[: len(one), :SIZE] = back[:, :SIZE] @ p["one"][:, :SIZE].T
-        rows[len(one) :, :SIZE] = back[:, :SIZE] @ p["two"][:, :SIZE].T
-        changes.append(("r", np.concatenate([one, two]), rows))
-        changes += [(name, np.arange(SIZE), x.T @ back) for name, x in (("one", a), ("two", b))]
-        self.seen["r"] += np.bincount(one, minlength=len(self.seen["r"]))
-        for name in ("one", "two"):
-            self.seen[name] += len(one)
-        for change in changes:
-            self.change(*change)
+        grads = (back @ self.into.T).reshape(-1, SIZE + 2)
+        into = context.T @ back
+        self.change("out", self.out, moved, g)
+        order = np.argsort(pairs.astype(np.uint16), kind="stable")
+        ordered = pairs[order]
+        at = _edges(ordered)
+        self.change("r", self.r, ordered[at], _sums(np.take(grads, order, axis=0), at))
+        self.change("into", self.into, np.arange(len(into)), into)
+        self.seen_w += np.bincount(target, minlength=n)
+        self.seen_r += np.bincount(one, minlength=n + 1)
+        self.tokens += len(one)
 
     def text(self, symbols: np.ndarray, first: np.ndarray) -> None:
         """Steps over all tokens of some texts, in random order."""
-        one, two = contexts(symbols, first, len(self.model.share))
+        one, two = contexts(symbols, first, self.n)
         order = self.rng.permutation(len(symbols))
         for at in range(0, len(order), self.size):
             here = order[at : at + self.size]
             self.step(one[here], two[here], symbols[here])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)), in place."""
-    np.multiply(x, -1, out=x)
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of `at` to the next; two columns at a time, as a complex number."""
+    return np.add.reduceat(x.view(np.complex64), at, axis=0).view(np.float32)
+
+
+def _sigmoid(x: np.ndarray, times: np.ndarray | float = 1) -> np.ndarray:
+    """times / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
     np.minimum(x, 80, out=x)
     np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    return np.divide(times, x, out=x)
 
 
-def average(docs: DataFrame, model: Model, rate: float, step: int = STEP) -> dict[str, np.ndarray]:
-    """The vectors after each task's steps over its texts: every row's changes, weighted by how often a task has seen it.
+def coded(docs: DataFrame, model: Model) -> DataFrame:
+    """symbols: each text's, 2 bytes each; written once for all rounds."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offs in pieces(batches):
+            hashes, kind, first = tokens(data, offs)
+            symbols = held.value.symbols(hashes, kind)[0].astype("<u2")
+            yield pa.record_batch([pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(symbols)])], names=["symbols"])
+
+    return written(docs.select("text").mapInArrow(code, "symbols binary"), "symbols")
+
+
+def average(symbols: DataFrame, model: Model, rate: float, step: int = STEP) -> dict[str, np.ndarray]:
+    """The vectors after each task's steps over its texts' symbols: every row's changes, weighted by how often a task has seen it.
 
     A task sends one model of SYMBOLS rows at most; blocks of rows are summed
     as they stream, so a reducer holds its blocks' sums however many tasks there are.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = symbols.sparkSession.sparkContext.broadcast(model)
     names = list(model.part)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(held.value, rate, TaskContext.get().partitionId(), step)  # a task that runs again draws the same
-        for _, data, offs in pieces(batches):
-            hashes, kind, first = tokens(data, offs)
-            trainer.text(held.value.symbols(hashes, kind)[0], first)
-        seen = np.concatenate([trainer.seen[k] for k in names])
+        for _, data, offs in pieces(batches, "symbols"):
+            trainer.text(data.view("<u2").astype(np.int64), offs // 2)
+        moved = trainer.seen()
+        seen = np.concatenate([moved[k] for k in names]).astype(float)
         delta = np.concatenate([trainer.model.part[k] - held.value.part[k] for k in names])
         for at in range(0, len(seen), BLOCK):
             n = seen[at : at + BLOCK]
@@ -234,7 +292,7 @@ def average(docs: DataFrame, model: Model, rate: float, step: int = STEP) -> dic
         for block, (n, x) in sums.items():
             yield pa.record_batch([pa.array([block]), pa.array([n.tobytes()]), pa.array([x.tobytes()])], names=["block", "n", "x"])
 
-    sent = docs.select("text").mapInArrow(learn, "block long, n binary, x binary")
+    sent = symbols.mapInArrow(learn, "block long, n binary, x binary")
     total = np.concatenate([model.part[k] for k in names]).astype(float)
     for r in sent.repartition("block").mapInArrow(add, "block long, n binary, x binary").collect():  # one model
         n, x = np.frombuffer(r.n), np.frombuffer(r.x).reshape(-1, SIZE + 1)
@@ -255,11 +313,10 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, kind long, c long").groupBy("h").agg(F.min("kind").alias("kind"), F.sum("c").alias("c"))
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, learnt: int = LEARNT, rate: float = RATE, step: int = STEP) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, step: int = STEP) -> tuple[Model, DataFrame]:
     """The model of all texts in `docs`, and the whole vocabulary's counts.
 
-    Every round goes over all texts; they end when they hold `learnt` tokens
-    together, or after `rounds` of them.
+    Every one of the `rounds` goes over all texts, whatever their number.
     """
     counts = written(vocabulary(docs), "vocabulary")
     # the least count that HEAD words or fewer have, from a histogram by eighths of a power of two
@@ -271,13 +328,14 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, learnt: int = LEARNT, rate: float
             break
         least = r.c
     end = F.col("h") == int(signed(np.array([END_HASH]))[0])
-    top = counts.where((F.col("c") >= least if least else F.lit(False)) | end).toArrow()  # HEAD rows and the end at most
-    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.lexsort((signed(h), -c))
-    h, c = h[order], c[order]
-    own = np.zeros(len(h), bool)
-    own[np.flatnonzero((h != END_HASH) & (c >= LEAST))[: SYMBOLS - CLASSES - 1]] = True
-    own |= h == END_HASH
+    top = counts.where((F.col("c") >= least if least else F.lit(False)) | end).select("h", "c").toArrow()  # HEAD rows and the end at most
+    # the words that are symbols, whether HEAD holds them or not
+    first = counts.where(~end & (F.col("c") >= LEAST)).orderBy(F.desc("c"), "h").limit(SYMBOLS - CLASSES - 1).select("h", "c").toArrow()
+    h, at = np.unique(np.concatenate([t.column("h").to_numpy() for t in (top, first)]), return_index=True)
+    c = np.concatenate([t.column("c").to_numpy() for t in (top, first)])[at]
+    order = np.lexsort((h, -c))
+    h, c = h[order].view(np.uint64), c[order]
+    own = np.isin(signed(h), first.column("h").to_numpy()) | (h == END_HASH)
     names = docs.sparkSession.createDataFrame([(int(x),) for x in signed(h[own])], "h long")
     others = counts.join(F.broadcast(names), "h", "left_anti")  # SYMBOLS rows at most
     total, types = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -298,8 +356,9 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, learnt: int = LEARNT, rate: float
     share[place] = (mass + 0.5) / (mass.sum() + 0.5 * len(mass))
     order = np.argsort(h)
     model = Model(h[order], np.log10(c + ALPHA)[order], symbol[order], classes, share, rest, start(share), int(everything[0]), int(everything[1]))
-    for at in range(min(rounds, -(-learnt // max(1, model.n)))):
-        model.part = average(docs, model, rate / (1 + at), step)
+    symbols = coded(docs, model)
+    for at in range(rounds):
+        model.part = average(symbols, model, rate / (1 + at), step)
     return model, counts
 
 
