@@ -537,6 +537,57 @@ def test_lm_step_by_hand():
     assert (seen["r"] == np.bincount(one, minlength=131)).all() and seen["g"].tolist() == [40, 0, 0] and (seen["two"] == 40).all()
 
 
+def test_lm_steps_laid_out_together():
+    """Steps that are laid out together move the vectors as single ones do, and every token is gone over once."""
+    rng = np.random.default_rng(2)
+    share = np.sort(rng.random(300))[::-1] / 150
+    model = lm.Model(*[np.zeros(0)] * 4, share, np.zeros(300), lm.start(share), 0, 0)
+    one, two, target = rng.integers(0, 301, (5, 64)), rng.integers(0, 9, (5, 64)), rng.integers(0, 300, (5, 64)) // 2
+    many, single = lm.Trainer(model, 0.1, 4, 64), lm.Trainer(model, 0.1, 4, 64)
+    many.steps(one, two, target)
+    for at in zip(one, two, target):
+        single.step(*at)
+    for name, x in many.model.part.items():
+        assert np.allclose(x, single.model.part[name], atol=1e-5), name
+    assert all((x == single.seen()[k]).all() for k, x in many.seen().items()) and many.tokens == 320
+    symbols = rng.integers(0, 300, 64 * (2 * lm.AHEAD + 1) + 7)
+    many.text(symbols, np.array([0, 5, len(symbols)]))
+    assert many.tokens == 320 + len(symbols) and many.seen()["w"].sum() == many.tokens
+
+
+def test_lm_together():
+    """Single values first, those of `last` at the end, equal ones in one run, every column once."""
+    rng = np.random.default_rng(3)
+    for width in (12, 1 << 22):  # keys of 32 and of 64 bits
+        x, tags = rng.integers(0, 12, (6, 20)), np.arange(20)
+        last = np.zeros((6, width), int)
+        last[:, 2] = 1
+        value, place, begin, each, lone, rest = lm.together(x, tags, width, 9, last)
+        assert (np.take_along_axis(x, place, axis=1) == value).all() and (np.sort(place, axis=1) == tags).all()
+        for row, n, k, starts in zip(value, lone, rest, np.split(begin, np.cumsum(each)[:-1])):
+            count = collections.Counter(row.tolist())
+            assert row[:n].tolist() == sorted(v for v, c in count.items() if c == 1 and v < 9 and v != 2)
+            assert (row[k:] == 2).all() and 2 not in row[:k] and len(starts) == len(set(row[:k].tolist()))
+            assert starts.tolist() == [i for i in range(k) if not i or row[i] != row[i - 1]]
+
+
+def test_lm_scores_of_long_vectors(monkeypatch):
+    """Scores beyond exp's range are normalised too, and however many tokens are scored together."""
+    rng = np.random.default_rng(1)
+    share = np.full(150, 1 / 150)
+    model = lm.Model(*[np.zeros(0)] * 4, share, np.zeros(150), {k: x * 30 for k, x in lm.start(share).items()}, 0, 0)
+    one, two, target = (rng.integers(0, 150, 500) for _ in range(3))
+    q = model.state(one, two).astype(float)
+    want = np.zeros(500)
+    for rows, pick, of in ((model.part["g"], target // lm.GROUP, lambda t: slice(None)), (model.part["w"], target % lm.GROUP, lambda t: slice(t // lm.GROUP * lm.GROUP, (t // lm.GROUP + 1) * lm.GROUP))):
+        for i, t in enumerate(target):
+            z = rows[of(t)].astype(float) @ q[i]
+            want[i] += (z[pick[i]] - z.max() - np.log(np.exp(z - z.max()).sum())) / np.log(10)
+    for most in (1 << 11, 7):
+        monkeypatch.setattr(lm, "TOGETHER", most)
+        assert np.allclose(model.log10(one, two, target), want, rtol=1e-3, atol=1e-2)
+
+
 def test_lm_learns_what_follows():
     """After training, the symbol that always follows is likely, though it is rare."""
     share = np.full(200, 1 / 200)

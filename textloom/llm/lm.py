@@ -42,18 +42,32 @@ END = -1
 ALPHA = 0.1
 #: Rows of a model that are summed together.
 BLOCK = 512
+#: Bytes of text whose words are hashed together; tokens that are scored together; training steps that are laid out together.
+NEAR, TOGETHER, AHEAD = 1 << 17, 1 << 11, 32
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and class (END: none) of each token, the rows' first tokens; every row ends with one end token."""
-    low = LOWER[data]
+    parts, at = [], 0
+    while at < len(offs) - 1:  # a few rows at a time, which stay in the processor's cache
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + NEAR, "right")) - 1)
+        parts.append(_tokens(LOWER[data[offs[at] : offs[to]]], offs[at : to + 1] - offs[at]))
+        at = to
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    hashes, kind, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, kind, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _tokens(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and class of each token, and the rows' numbers of tokens, of lower-cased rows."""
     starts, ends, first = words(low, offs)
     hashes = word_hashes(low, starts, ends)
     last = low[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
     before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.uint64) if len(ends) else last
     kind = (mix(last * np.uint64(256) + before) % np.uint64(CLASSES)).astype(np.int64)
     at = first[1:]
-    return np.insert(hashes, at, END_HASH), np.insert(kind, at, END), first + np.arange(len(first))
+    return np.insert(hashes, at, END_HASH), np.insert(kind, at, END), np.diff(first) + 1
 
 
 @dataclass
@@ -72,47 +86,60 @@ class Model:
     n: int
     v: int
 
-    def symbols(self, hashes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's symbol, and its place in the head (-1: none)."""
+    def symbols(self, hashes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's symbol, whether this is its own, whether the head holds the token, and its log10(c + ALPHA) if so, else 0."""
         if not len(self.head):
-            return self.classes[kind], np.full(len(hashes), -1)
+            return self.classes[kind], *np.zeros((2, len(hashes)), bool), np.zeros(len(hashes))
         unique, back = np.unique(hashes, return_inverse=True)
         at = np.minimum(np.searchsorted(self.head, unique), len(self.head) - 1)
-        at = np.where(self.head[at] == unique, at, -1)[back]
-        own = np.where(at >= 0, self.symbol[at], -1)
-        return np.where(own >= 0, own, self.classes[kind]), at
+        held = self.head[at] == unique
+        own = np.where(held, self.symbol[at], -1)[back]
+        return np.where(own >= 0, own, self.classes[kind]), own >= 0, held[back], np.where(held, self.logs[at], 0.0)[back]
 
     def state(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The prediction from each pair of context symbols, and a 1 for the bias."""
-        p = self.part
-        q = np.ones((len(one), SIZE + 1), np.float32)
-        q[:, :SIZE] = np.take(p["r"], one, axis=0)[:, :SIZE] @ p["one"][:, :SIZE]
-        q[:, :SIZE] += np.take(p["r"], two, axis=0)[:, :SIZE] @ p["two"][:, :SIZE]
+        p, q = self.part, np.ones((len(one), SIZE + 1), np.float32)
+        # both vectors side by side, each with its last column, of zeros
+        pairs = np.take(p["r"], np.stack([one, two], axis=1).reshape(-1), axis=0).reshape(len(one), -1)
+        none = np.zeros((1, SIZE), np.float32)
+        into = np.concatenate([p["one"][:, :SIZE], none, p["two"][:, :SIZE], none])
+        for cut in _cuts(len(q), into.size):
+            np.matmul(pairs[cut], into, out=q[cut, :SIZE])
         return q
 
     def log10(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 P(target | one, two): of the group, and of the symbol within it."""
-        out = np.zeros(len(target))
-        for at in range(0, len(target), 1 << 14):
-            cut = slice(at, at + (1 << 14))
-            q, symbol = self.state(one[cut], two[cut]), target[cut]
-            out[cut] = _normal(q @ self.part["g"].T, symbol // GROUP)
-            order = np.argsort((symbol // GROUP).astype(np.uint16), kind="stable")
-            edge = np.searchsorted((symbol // GROUP)[order], np.arange(len(self.part["g"]) + 1))
-            for g in np.flatnonzero(np.diff(edge)):
-                here = order[edge[g] : edge[g + 1]]
-                out[at + here] += _normal(q[here] @ self.part["w"][g * GROUP : (g + 1) * GROUP].T, symbol[here] - g * GROUP)
+        p, out = self.part, np.empty(len(target))
+        order = np.argsort((target // GROUP).astype(np.uint16), kind="stable")
+        one, two, target = one[order], two[order], target[order]
+        edge = np.searchsorted(target // GROUP, np.arange(len(p["g"]) + 1))
+        for g in np.flatnonzero(np.diff(edge)):
+            inner = p["w"][g * GROUP : (g + 1) * GROUP]
+            rows, groups = np.concatenate([p["g"], inner]), len(p["g"])
+            across = rows.T.copy()
+            parts = np.zeros((len(rows), 2), np.float32)
+            parts[:groups, 0] = parts[groups:, 1] = 1
+            longest = _dots(rows, rows).max()
+            for at in range(edge[g], edge[g + 1], TOGETHER):
+                cut = slice(at, min(at + TOGETHER, edge[g + 1]))
+                q = self.state(one[cut], two[cut])
+                scores = np.empty((len(q), len(rows)), np.float32)
+                for part in _cuts(len(q), rows.size):
+                    np.matmul(q[part], across, out=scores[part])
+                # no score exceeds both lengths' product; maxima are taken off where exp could leave the numbers' range
+                if _dots(q, q).max() * longest > 60**2:
+                    for part in (scores[:, :groups], scores[:, groups:]):
+                        part -= part.max(axis=1, keepdims=True)
+                own = scores[:, g] + np.take(scores, np.arange(0, scores.size, len(rows)) + (groups - g * GROUP) + target[cut]).astype(float)
+                out[order[cut]] = (own - np.log((np.exp(scores, out=scores) @ parts).astype(float)).sum(axis=1)) / np.log(10)
         return out
 
 
-def _normal(scores: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """log10 of the picked one's share in each row of scores."""
-    own = scores[np.arange(len(pick)), pick].astype(float)
-    # one maximum for all rows, unless exp would make one of them zeros
-    top = scores.max()
-    top = scores.max(axis=1, keepdims=True) if top - scores.min() > 60 else np.full((1, 1), top)
-    scores -= top
-    return (own - top[:, 0] - np.log((np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)).astype(float))) / np.log(10)
+def _cuts(rows: int, each: int) -> list[slice]:
+    """Parts of the rows for matrix products of `each` multiplications a row: products of under a million take the BLAS less time each."""
+    size = max(1, 1_000_000 // each)
+    size = -(-rows // -(-rows // size)) if rows else size
+    return [slice(at, min(at + size, rows)) for at in range(0, rows, size)]
 
 
 def contexts(symbols: np.ndarray, first: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,24 +168,25 @@ def start(share: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
 class Trainer:
     """Steps of noise-contrastive estimation on a copy of a model's vectors, with a rate of its own for each row (Adagrad).
 
-    The vectors of symbols and groups are one matrix here, and so are the two that take contexts to predictions;
-    all have one more column, of zeros.
+    The vectors of symbols and groups are one matrix here, with one more column, of zeros, and so are the two
+    matrices that take contexts to predictions.  What depends on the symbols alone is laid out for AHEAD steps at once.
     """
 
     def __init__(self, model: Model, rate: float, seed: int, step: int = STEP):
-        p, self.n = model.part, len(model.share)
-        wide = lambda x, rows=0: np.pad(x, ((0, rows), (0, 1)))
-        self.out, self.into, self.r = wide(np.concatenate([p["w"], p["g"]])), np.concatenate([wide(p["one"], 2), wide(p["two"], 2)]), wide(p["r"])
-        part = {"r": self.r, "w": self.out[: self.n], "g": self.out[self.n :], "one": self.into[:SIZE], "two": self.into[SIZE + 2 : -2]}
-        part = {k: x[:, : SIZE + 1] for k, x in part.items()}
-        self.model = Model(**{**vars(model), "part": {k: part[k] for k in p}})
+        p, self.n, self.first = model.part, len(model.share), model
+        self.out = np.pad(np.concatenate([p["w"], p["g"]]), ((0, 0), (0, 1)))
+        self.into, self.r = np.concatenate([p["one"], p["two"]])[:, :SIZE].copy(), p["r"][:, :SIZE].copy()
         self.squares = {k: np.full(len(x), 1e-3, np.float32) for k, x in (("r", self.r), ("out", self.out), ("into", self.into))}
         self.seen_r, self.seen_w, self.tokens = np.zeros(len(self.r), np.int64), np.zeros(self.n, np.int64), 0
         self.rate, self.size, self.rng = rate, step, np.random.default_rng(seed)
         self.below = np.cumsum(model.share)
-        edge = np.arange(0, self.n, GROUP)
-        self.noise = np.log(NOISE * np.concatenate([model.share, np.add.reduceat(model.share, edge)])).astype(np.float32)
-        self.sums, self.mark = np.zeros_like(self.out), np.zeros(len(self.out), bool)
+        self.noise = np.log(NOISE * np.concatenate([model.share, np.add.reduceat(model.share, np.arange(0, self.n, GROUP))])).astype(np.float32)
+
+    @property
+    def model(self) -> Model:
+        wide, out = lambda x: np.pad(x, ((0, 0), (0, 1))), self.out[:, : SIZE + 1]
+        part = {"r": wide(self.r), "w": out[: self.n], "g": out[self.n :], "one": wide(self.into[:SIZE]), "two": wide(self.into[SIZE:])}
+        return Model(**{**vars(self.first), "part": {k: part[k] for k in self.first.part}})
 
     def seen(self) -> dict[str, np.ndarray]:
         """How many tokens have moved each row, by name."""
@@ -167,85 +195,172 @@ class Trainer:
 
     def change(self, name: str, x: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
         """One step down the gradients of distinct rows."""
-        squares = self.squares[name][rows] + np.einsum("ij,ij->i", g, g) / (SIZE + 1)
+        squares = np.take(self.squares[name], rows) + _dots(g, g) / np.float32(SIZE + 1)
         self.squares[name][rows] = squares
         g *= (self.rate / np.sqrt(squares))[:, None]
-        x[rows] = np.take(x, rows, axis=0) - g
+        _put(x, rows, np.subtract(np.take(x, rows, axis=0), g, out=g))
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
-        """Tells the tokens from NOISE symbols drawn by their shares, and the tokens' groups from the groups of these."""
-        n, order = self.n, np.argsort(target.astype(np.uint16), kind="stable")  # by radix
-        target, pairs = target[order], np.stack([one[order], two[order]], axis=1).reshape(-1)
-        context = np.take(self.r, pairs, axis=0).reshape(len(target), -1)  # both vectors side by side, two zeros after each
-        q = context @ self.into
-        q[:, SIZE] = 1
-        drawn = np.minimum(np.searchsorted(self.below, self.rng.random(NOISE) * self.below[-1], "right"), n - 1)
+        self.steps(one[None], two[None], target[None])
+
+    def steps(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
+        """A step for each row: tells its tokens from NOISE symbols drawn by their shares, and the tokens' groups from the groups of these."""
+        n, (k, size) = self.n, target.shape
+        drawn = np.minimum(np.searchsorted(self.below, self.rng.random((k, NOISE)) * self.below[-1], "right"), n - 1)
+        drawn.sort(axis=1)
+        drawn = np.concatenate([drawn, n + drawn // GROUP], axis=1)
         # a symbol drawn several times is one column with its number as weight
-        times = np.bincount(np.concatenate([drawn, n + drawn // GROUP]), minlength=len(self.out))
-        false = np.flatnonzero(times)
+        new = _new(drawn)
+        at, number = np.flatnonzero(new), np.count_nonzero(new, axis=1)
+        false, times = drawn.reshape(-1)[at], np.diff(at, append=drawn.size).astype(np.float32)
+        column = np.zeros((k, len(self.out)), np.int32)
+        column[np.arange(k)[:, None], drawn] = np.cumsum(new).reshape(drawn.shape)
+        true = np.concatenate([target, n + target // GROUP], axis=1).astype(np.int32)
+        value, token, at, each, lone, rest = together(true, np.tile(np.arange(size, dtype=np.int32), 2), len(self.out), n, column)
+        pairs = np.stack([one, two], axis=2).reshape(k, -1)
+        context, place, begin, contexts, single, _ = together(pairs.astype(np.int32), np.arange(2 * size, dtype=np.int32), n + 1, n + 1)
+        parts = zip(pairs, _split(number, false, times, self.noise[false] * np.float32(0.5)), column, np.cumsum(number) - number, value, token, rest, _split(each, at), lone, context, place, _split(contexts, begin), single, strict=True)
+        q = np.ones((size, SIZE + 2), np.float32)
+        q[:, SIZE + 1] = 0
+        for at in parts:
+            self.move(q, *at)
+        self.seen_w += np.bincount(target.reshape(-1), minlength=n)
+        self.seen_r += np.bincount(one.reshape(-1), minlength=n + 1)
+        self.tokens += target.size
+
+    def move(self, q: np.ndarray, pairs: np.ndarray, drawn: tuple, column: np.ndarray, before: int, value: np.ndarray, token: np.ndarray, rest: int, firsts: tuple, lone: int, context: np.ndarray, place: np.ndarray, begin: tuple, single: int) -> None:
+        """One step as laid out by `steps`; sigmoid(x) is (1 + tanh(x / 2)) / 2."""
+        vectors = np.take(self.r, pairs, axis=0).reshape(len(q), -1)  # both side by side
+        np.matmul(vectors, self.into, out=q[:, :SIZE])
+        false, times, shift = drawn
         y = np.take(self.out, false, axis=0)
-        down = y.copy()
-        down[:, SIZE] -= self.noise[false]
-        down = _sigmoid(q @ down.T, times[false].astype(np.float32))  # d loss / d score
-        back = down @ y
-        rows, sums = [], []
-        for true in (target, n + target // GROUP):
-            x = np.take(self.out, true, axis=0)
-            up = (_sigmoid(np.einsum("ij,ij->i", q, x) - self.noise[true]) - 1)[:, None]
-            x *= up
-            back += x
-            at = _edges(true)
-            rows.append(true[at])
-            sums.append(_sums(up * q, at))
-        for true, g in zip(rows, sums, strict=True):
-            self.sums[true] = g
-            self.mark[true] = True
-        self.sums[false] += down.T @ q
-        self.mark[false] = True
-        moved = np.flatnonzero(self.mark)
-        g = np.take(self.sums, moved, axis=0)
-        self.sums[moved], self.mark[moved] = 0, False
-        back[:, SIZE] = 0
-        grads = (back @ self.into.T).reshape(-1, SIZE + 2)
-        into = context.T @ back
-        self.change("out", self.out, moved, g)
-        order = np.argsort(pairs.astype(np.uint16), kind="stable")
-        ordered = pairs[order]
-        at = _edges(ordered)
-        self.change("r", self.r, ordered[at], _sums(np.take(grads, order, axis=0), at))
-        self.change("into", self.into, np.arange(len(into)), into)
-        self.seen_w += np.bincount(target, minlength=n)
-        self.seen_r += np.bincount(one, minlength=n + 1)
-        self.tokens += len(one)
+        half = (y * np.float32(0.5)).T.copy()
+        half[SIZE] -= shift
+        down = np.empty((len(q), len(false)), np.float32)
+        cuts = _cuts(len(q), half.size)
+        for cut in cuts:
+            part = np.matmul(q[cut], half, out=down[cut])
+            np.tanh(part, out=part)
+            part += 1  # by half of `times` d loss / d score
+        # a true symbol that is drawn has its score in the drawn one's column
+        at = np.take(column, value[rest:])
+        at -= before + 1
+        weight = np.take(1 / times, at)
+        at += token[rest:] * len(false)
+        scores = down.reshape(-1)
+        score = np.take(scores, at)
+        weight *= score - 2
+        weight += score
+        scores[at] = weight
+        times = (times * np.float32(0.5))[:, None]
+        y, back, more = y[:, :SIZE] * times, np.empty((len(q), SIZE), np.float32), 0
+        for cut in cuts:
+            np.matmul(down[cut], y, out=back[cut])
+            more += q[cut].T @ down[cut]
+        # the others
+        value, token = value[:rest], token[:rest]
+        x, own = np.take(self.out, value, axis=0), np.take(q, token, axis=0)
+        up = _dots(x, own)
+        up -= np.take(self.noise, value)
+        up *= 0.5
+        np.tanh(up, out=up)
+        up -= 1
+        up *= 0.5
+        up = up[:, None]
+        x *= up
+        own *= up
+        split = np.count_nonzero(value < self.n)
+        for cut in (slice(split), slice(split, None)):  # symbols and groups, each of any token once
+            _put(back, token[cut], np.take(back, token[cut], axis=0) + x[cut, :SIZE])
+        (at,) = firsts
+        g = np.empty((len(at) + len(false), SIZE + 2), np.float32)
+        _sums(own, at, lone, g)
+        np.multiply(more.T, times, out=g[len(at) :])
+        grads, into = (back @ self.into.T.copy()).reshape(-1, SIZE), (back.T @ vectors).T
+        self.change("out", self.out, np.concatenate([value[at], false]), g)
+        (at,) = begin
+        g = np.empty((len(at), SIZE), np.float32)
+        _sums(np.take(grads, place, axis=0), at, single, g)
+        self.change("r", self.r, context[at], g)
+        squares = self.squares["into"]
+        squares += _dots(into, into) / np.float32(SIZE + 1)
+        self.into -= into * (self.rate / np.sqrt(squares))[:, None]
 
     def text(self, symbols: np.ndarray, first: np.ndarray) -> None:
         """Steps over all tokens of some texts, in random order."""
-        one, two = contexts(symbols, first, self.n)
+        each = np.stack([*contexts(symbols, first, self.n), symbols], axis=1).astype(np.uint16)  # with the start of a text, symbols fit
         order = self.rng.permutation(len(symbols))
-        for at in range(0, len(order), self.size):
-            here = order[at : at + self.size]
-            self.step(one[here], two[here], symbols[here])
-
-
-def _edges(x: np.ndarray) -> np.ndarray:
-    """Where each run of equal values starts."""
-    new = np.ones(len(x), bool)
-    np.not_equal(x[1:], x[:-1], out=new[1:])
-    return np.flatnonzero(new)
+        whole = len(order) - len(order) % self.size
+        for at in [*range(0, whole, AHEAD * self.size), whole]:
+            here = order[at : min(at + AHEAD * self.size, whole)] if at < whole else order[at:]
+            if len(here):
+                self.steps(*each[here].T.astype(np.int64).reshape(3, -1, min(self.size, len(here))))
 
 
-def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of the rows from each of `at` to the next; two columns at a time, as a complex number."""
-    return np.add.reduceat(x.view(np.complex64), at, axis=0).view(np.float32)
+def together(x: np.ndarray, tags: np.ndarray, width: int, single: int, last: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Each row's values and the tags of their columns, sorted so that equal values stand together.
 
-
-def _sigmoid(x: np.ndarray, times: np.ndarray | float = 1) -> np.ndarray:
-    """times / (1 + exp(-x)), in place."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.divide(times, x, out=x)
+    First come those under `single` that stand once in the row, and last those that aren't 0 in `last`'s row.  Then,
+    without these, where each value begins, and how many begin in a row; the numbers of values that stand once and
+    that aren't in `last`.
+    """
+    k, m = x.shape
+    at = x + np.arange(0, k * width, width)[:, None]
+    kind = (np.bincount(at.reshape(-1), minlength=k * width) != 1).view(np.int8).reshape(k, width)
+    kind[:, single:] = 1
+    if last is not None:
+        kind[last > 0] = 2
+    kind = np.take(kind.reshape(-1), at)
+    rest = np.count_nonzero(kind < 2, axis=1)
+    lone = m - np.count_nonzero(kind, axis=1)
+    # all in one number, of 32 bits where they are enough
+    high, low = int(width).bit_length(), int(m).bit_length()
+    key = kind.astype(np.int32 if high + low < 30 else np.int64)
+    key <<= high
+    key |= x
+    key <<= low
+    key |= tags
+    key.sort(axis=1)
+    value = key >> low
+    new = _new(value)
+    if last is not None:
+        new &= np.arange(m) < rest[:, None]
+    value &= (1 << high) - 1
+    key &= (1 << low) - 1
+    each = np.count_nonzero(new, axis=1)
+    begin = np.flatnonzero(new) - np.repeat(np.arange(0, k * m, m), each)
+    return value.astype(np.int64), key.astype(np.int64), begin, each, lone, rest
+
+
+def _split(lengths: np.ndarray, *arrays: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The arrays cut into parts of these lengths."""
+    ends = np.cumsum(lengths).tolist()
+    return [tuple(x[a:b] for x in arrays) for a, b in zip([0, *ends], ends)]
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts, along the last axis."""
+    new = np.ones(x.shape, bool)
+    np.not_equal(x[..., 1:], x[..., :-1], out=new[..., 1:])
+    return new
+
+
+def _sums(x: np.ndarray, at: np.ndarray, lone: int, out: np.ndarray) -> None:
+    """Sums of the rows from each of `at` to the next, the first `lone` being single rows; two columns at a time, as a complex number."""
+    out[:lone] = x[:lone]
+    if lone < len(at):
+        np.add.reduceat(x[lone:].view(np.complex64), at[lone:] - lone, axis=0, out=out[lone : len(at)].view(np.complex64))
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The products of two arrays' rows, summed."""
+    return (x * y) @ np.ones(x.shape[1], x.dtype)
+
+
+def _put(x: np.ndarray, rows: np.ndarray, new: np.ndarray) -> None:
+    """x[rows] = new, each row as one value."""
+    row = f"V{x.strides[0]}"
+    x.view(row)[:, 0][rows] = new.view(row)[:, 0]
 
 
 def coded(docs: DataFrame, model: Model) -> DataFrame:
@@ -274,9 +389,9 @@ def average(symbols: DataFrame, model: Model, rate: float, step: int = STEP) ->
         trainer = Trainer(held.value, rate, TaskContext.get().partitionId(), step)  # a task that runs again draws the same
         for _, data, offs in pieces(batches, "symbols"):
             trainer.text(data.view("<u2").astype(np.int64), offs // 2)
-        moved = trainer.seen()
+        moved, part = trainer.seen(), trainer.model.part
         seen = np.concatenate([moved[k] for k in names]).astype(float)
-        delta = np.concatenate([trainer.model.part[k] - held.value.part[k] for k in names])
+        delta = np.concatenate([part[k] - held.value.part[k] for k in names])
         for at in range(0, len(seen), BLOCK):
             n = seen[at : at + BLOCK]
             if n.any():
@@ -307,8 +422,10 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in pieces(batches, most=8 << 20):
             hashes, kind, _ = tokens(data, offs)
-            unique, at, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array(signed(unique)), pa.array(kind[at]), pa.array(n)], names=["h", "kind", "c"])
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            at = np.flatnonzero(_new(hashes))
+            yield pa.record_batch([pa.array(signed(hashes[at])), pa.array(kind[order[at]]), pa.array(np.diff(at, append=len(hashes)))], names=["h", "kind", "c"])
 
     return docs.select("text").mapInArrow(count, "h long, kind long, c long").groupBy("h").agg(F.min("kind").alias("kind"), F.sum("c").alias("c"))
 
@@ -376,12 +493,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m: Model = held.value
         for rows, data, offs in pieces(batches):
             hashes, kind, first = tokens(data, offs)
-            symbols, at = m.symbols(hashes, kind)
-            own = np.where(at >= 0, m.symbol[at] >= 0 if len(m.symbol) else False, False)
-            logs = np.where(at >= 0, m.logs[at] if len(m.logs) else 0.0, 0.0)
+            symbols, own, known, logs = m.symbols(hashes, kind)
             lm = m.log10(*contexts(symbols, first, len(m.share)), symbols) + np.where(own, 0.0, logs - m.rest[symbols])
             sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
-            rare = np.flatnonzero(at < 0)
+            rare = np.flatnonzero(~known)
             doc = np.searchsorted(first, rare, "right") - 1
             # the rare words of each row, once each
             order = np.lexsort((hashes[rare], doc))
@@ -390,7 +505,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             new[1:] = (doc[1:] != doc[:-1]) | (hashes[rare][1:] != hashes[rare][:-1])
             begin = np.flatnonzero(new)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[begin], np.arange(len(first))), pa.int32()), pa.StructArray.from_arrays([pa.array(signed(hashes[rare[begin]])), pa.array(np.diff(np.append(begin, len(rare))).astype(np.int32))], ["h", "n"]))
-            yield pa.record_batch([rows.column("doc_id"), rows.column("row"), pa.array(np.diff(first)), pa.array(sums(at >= 0)), pa.array(sums(logs)), pa.array(sums(lm)), lists], names=["doc_id", "row", "n_tokens", "known", "logs", "lm", "rare"])
+            yield pa.record_batch([rows.column("doc_id"), rows.column("row"), pa.array(np.diff(first)), pa.array(sums(known)), pa.array(sums(logs)), pa.array(sums(lm)), lists], names=["doc_id", "row", "n_tokens", "known", "logs", "lm", "rare"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     part = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, logs double, lm double, rare array<struct<h: long, n: int>>")
